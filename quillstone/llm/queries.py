@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import syntax
+from . import encoding, syntax
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: syntax.syntax_found(table(s, d, "files")),
     "p1_rates": lambda s, d: syntax.syntax_rates(table(s, d, "files")),
+    "p9_found": lambda s, d: encoding.encoding_found(table(s, d, "documents")),
+    "p9_restored": lambda s, d: encoding.restore(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
