@@ -16,7 +16,7 @@ import re
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -25,6 +25,8 @@ from .common import map_rows
 BUCKETS = 1 << 18
 #: Frequency below which a character pair counts as unseen.
 RARE = 1e-4
+#: Log frequency above which a pair is so common that it needs no second look.
+UNCOMMON = -4.2
 #: Nats a change must gain: with a transformation that twins support, and with one that none does.
 GAIN, GAIN_ALONE = 3.0, 6.0
 #: Share of a unit's non-ASCII characters inside quotes from which it only quotes garbled text.
@@ -69,17 +71,30 @@ def _to_chars(codec: str) -> str:
     return "".join(chr(back.get(b, b)) for b in range(256))
 
 
+@cache
+def _codes(codec: str) -> dict[int, str]:
+    return {c: chr(b) for c, b in _to_bytes(codec).items()}
+
+
+@cache
+def _repertoire(codec: str) -> frozenset[str]:
+    return frozenset(map(chr, _to_bytes(codec)))
+
+
+@cache
+def _rereading(true: str, wrong: str) -> dict[int, str]:
+    """Character as ``wrong`` shows it -> character that ``true`` has for the byte."""
+    chars = _to_chars(true)
+    return {c: chars[b] for c, b in _to_bytes(wrong).items()}
+
+
 def _unread(text: str, codec: str) -> bytes | None:
     if codec not in SINGLE:
         try:
             return text.encode(codec)
         except UnicodeEncodeError:
             return None
-    table = _to_bytes(codec)
-    try:
-        return bytes([table[ord(c)] for c in text])
-    except KeyError:
-        return None
+    return text.translate(_codes(codec)).encode("latin-1") if set(text) <= _repertoire(codec) else None
 
 
 def _read(data: bytes, codec: str) -> str | None:
@@ -120,6 +135,7 @@ def garble(text: str, chain: tuple[str, ...]) -> str | None:
 
 
 def units(text: str) -> list[tuple[int, int]]:
+    """Spans of sentences and lines."""
     return [m.span() for m in _SPLIT.finditer(text)]
 
 
@@ -138,7 +154,7 @@ def _pairs(text: str) -> np.ndarray:
 
 
 def pair_frequencies(documents: DataFrame) -> np.ndarray:
-    """Log frequency, among documents with non-ASCII text, of each bucket of character pairs; shape (BUCKETS,)."""
+    """Log frequency, among documents with non-ASCII text, of each bucket of character pairs; shape (BUCKETS + 1,), 0 at the end."""
     import pyarrow as pa
 
     schema = "bucket int, n bigint"
@@ -161,7 +177,7 @@ def pair_frequencies(documents: DataFrame) -> np.ndarray:
             docs = max(1, int(n))
         else:
             table[bucket] = n
-    return np.log(table / docs + RARE).astype(np.float32)
+    return np.append(np.log(table / docs + RARE), 0.0)
 
 
 # learning --------------------------------------------------------------------------------------------------------
@@ -217,52 +233,72 @@ def learn(documents: DataFrame) -> DataFrame:
     """(chain int, pairs bigint): how many twin pairs each transformation explains; at most ``len(CHAINS)`` rows."""
     found = map_rows(documents, ["text"], "skeleton string, unit string", _make_units)
     counted = found.groupBy("skeleton", "unit").agg(F.count("*").alias("n"))
-    best = counted.groupBy("skeleton").agg(F.max_by("unit", F.struct("n", -F.length("unit"), "unit")).alias("clean"), F.count("*").alias("variants"))
-    twins = counted.join(best.where("variants > 1"), "skeleton").where(F.col("unit") != F.col("clean"))
+    # a window over the counted units, not a join with their maximum: the texts are read and moved once
+    best = F.max(F.struct("n", -F.length("unit"), "unit")).over(Window.partitionBy("skeleton"))
+    twins = counted.select("unit", best["unit"].alias("clean")).where(F.col("unit") != F.col("clean"))
     return map_rows(twins, ["unit", "clean"], "chain int", _make_explain).groupBy("chain").agg(F.count("*").alias("pairs"))
 
 
 # applying --------------------------------------------------------------------------------------------------------
 
 
-def _sum(text: str, table: np.ndarray) -> tuple[float, int]:
-    p = _pairs(text)
-    p = p[p >= 0]
-    return float(table[p].sum()), len(p)
+_CONTROL = re.compile("[\x7f-\x9f]")
+
 
+def _sums(texts: list[str], logs: np.ndarray) -> np.ndarray:
+    """The log frequencies of each text's pairs, summed; ``logs`` has a 0 after the table for pairs that do not count."""
+    each = logs[_pairs("\n".join(texts))]
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    return np.add.reduceat(each, starts)
 
-def mend(unit: str, table: np.ndarray, supported: frozenset[int]) -> tuple[str, float, int]:
+
+def _candidates(unit: str) -> list[tuple[int, str]]:
+    """(chain, text before it) for every chain that can have given the unit."""
+    out, chars = [], set(unit)
+    fits = {c for c in SINGLE if chars <= _repertoire(c)}
+    data: dict[str, bytes | None] = {}
+    for i, chain in enumerate(CHAINS):
+        wrong = chain[-1]
+        if wrong in SINGLE and wrong not in fits:
+            continue
+        if len(chain) == 2 and wrong in SINGLE and chain[0] in SINGLE:
+            text = unit.translate(_rereading(chain[0], wrong))
+        else:
+            if wrong not in data:
+                data[wrong] = _unread(unit, wrong)
+            text = None if data[wrong] is None else _read(data[wrong], chain[-2])
+            if text is not None and len(chain) > 2:
+                text = undo(text, chain[:-2])
+        if text is not None and text != unit and not _CONTROL.search(text):
+            out.append((i, text))
+    return out
+
+
+def mend(unit: str, logs: np.ndarray, supported: frozenset[int]) -> tuple[str, float, int]:
     """(text, gain, chain) of the best change of a unit; chain is -1 if nothing gains enough."""
     masked = _QUOTED.sub(lambda m: "'" * len(m[0]) if not m[0].isascii() else m[0], unit)
     if len(_NON_ASCII.findall(masked)) < (1 - QUOTED_SHARE) * len(_NON_ASCII.findall(unit)):
         return unit, 0.0, -1
     best = (unit, 0.0, -1)
     for tried in dict.fromkeys((unit, masked)):
-        before, chars = _sum(tried, table)[0], set(tried)
-        for i, chain in enumerate(CHAINS):
-            if chain[-1] in SINGLE and not chars <= _repertoire(chain[-1]):
-                continue
-            text = undo(tried, chain)
-            if text is None or text == tried or any("\x7f" < c < "\xa0" for c in text):
-                continue
-            gain = _sum(text, table)[0] - before
-            if gain > (GAIN if i in supported else GAIN_ALONE) and gain > best[1] + 1e-6:
-                best = (text if tried is unit else undo(unit, chain) or text, gain, i)
+        options = _candidates(tried)
+        if not options:
+            continue
+        sums = _sums([tried, *(t for _, t in options)], logs)
+        for (i, text), total in zip(options, sums[1:]):
+            gain = float(total - sums[0])
+            if gain > (GAIN if i in supported else GAIN_ALONE) and gain > best[1] + 1e-3:
+                best = (text if tried is unit else undo(unit, CHAINS[i]) or text, gain, i)
         if best[2] >= 0:
             break
     return best
 
 
-@cache
-def _repertoire(codec: str) -> frozenset[str]:
-    return frozenset(map(chr, _to_bytes(codec)))
-
-
-def repair(text: str, table: np.ndarray, supported: frozenset[int], memo: dict | None = None) -> tuple[bool, int, int, str, str | None]:
+def repair(text: str, logs: np.ndarray, supported: frozenset[int], memo: dict | None = None) -> tuple[bool, int, int, str, str | None]:
     """(garbled, units mended, units lost, restored text, commonest chain)."""
     if not text or text.isascii():
         return False, 0, 0, text, None
-    logs = np.append(table, 0.0)[_pairs(text)]  # -1 takes the last entry
+    common = logs[_pairs(text)]  # -1 takes the last entry
     out, at, mended, lost, used = [], 0, 0, 0, {}
     for a, b in units(text):
         unit = text[a:b]
@@ -272,11 +308,11 @@ def repair(text: str, table: np.ndarray, supported: frozenset[int], memo: dict |
             lost += 1
             continue
         # a unit whose pairs are all common is not worth trying
-        if logs[a : b + 1].min() > -4.6:
+        if common[a : b + 1].min() > UNCOMMON:
             continue
         found = memo.get(unit) if memo is not None else None
         if found is None:
-            found = mend(unit, table, supported)
+            found = mend(unit, logs, supported)
             if memo is not None:
                 if len(memo) > 50_000:
                     memo.clear()
