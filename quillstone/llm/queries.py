@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, syntax
+from . import encoding, secrets, syntax
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: syntax.syntax_found(table(s, d, "files")),
     "p1_rates": lambda s, d: syntax.syntax_rates(table(s, d, "files")),
+    "p3_found": lambda s, d: secrets.secrets_found(table(s, d, "files")),
+    "p3_redacted": lambda s, d: secrets.redacted(table(s, d, "files"), "file_id"),
+    "p3_redacted_chunks": lambda s, d: secrets.redacted(table(s, d, "chunks"), "chunk_id"),
     "p9_found": lambda s, d: encoding.encoding_found(table(s, d, "documents")),
     "p9_restored": lambda s, d: encoding.restore(table(s, d, "documents")),
 }
