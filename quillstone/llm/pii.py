@@ -15,6 +15,8 @@ from .common import map_rows
 
 #: Score from which a span counts.
 ENOUGH = 0.5
+#: Names with capitals that a given name must open to confirm one in small letters.
+LEAST_SEEN = 2
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 #: Mailbox names of roles and services (RFC 2142 and common usage).
@@ -27,7 +29,8 @@ _ROLES = set(
 )
 _EMAIL = re.compile(r"(?<![\w.+%/:@-])(?:(?<=mailto:)|)[\w.+%'-]*[\w+%]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@-])")
 _MAILTO = re.compile(r"(?i)(?<=mailto:)[\w.+%'-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}")
-_SPELLED = re.compile(r"(?i)(?<![\w.@])[\w.+-]+\s?(?:\(at\)|\[at\]|\{at\}|<at>|\sat\s)\s?[\w-]+(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[\w-]+)+(?:\.[a-z]{2,24})?(?![\w@])")
+_DOT = r"(?:[ ]?(?:\(dot\)|\[dot\]|\{dot\})[ ]?|[ ]dot[ ])"
+_SPELLED = re.compile(rf"(?i)(?<![\w.@])[\w.+-]*[\w+](?:[ ]?(?:\(at\)|\[at\]|\{{at\}}|<at>)[ ]?[\w-]+(?:(?:{_DOT}|\.)[\w-]+)+|[ ]at[ ][\w-]+(?:{_DOT}[\w-]+)+)(?![\w@])")
 
 _PHONE = re.compile(
     r"""(?<![\w.+/-])(?:
@@ -49,9 +52,9 @@ _ID_LABEL = re.compile(
     r"(?i)(?<!\w)(?:social[ -]security(?: (?:number|no\.?|num))?|ssn|itin|national id(?:entity)?(?: (?:number|no\.?|card))?|national insurance(?: (?:number|no\.?))?|nino"
     r"|(?:id|identity) card(?: (?:number|no\.?))?|identity (?:number|no\.?)|passport(?: (?:number|no\.?))?|reisepass(?:nummer)?|personalausweis(?:nummer)?|ausweis(?:nummer)?"
     r"|driv(?:er'?s?|er’s|ing) licen[cs]e(?: (?:number|no\.?))?|f(?:ü|ue)hrerschein(?:nummer)?|personal (?:number|no\.?)|personnummer|tax (?:id|number|identification number)|steuer-?id(?:nummer)?"
-    r"|tin|ahv(?:-?(?:nr\.?|nummer))?|avs|pesel|dni|nie|nif|cpf|bsn|insee|codice fiscale|aadhaar|medicare(?: number)?|iban|(?:credit |debit )?card number)(?!\w)"
+    r"|ni (?:number|no\.?)|tin|ahv(?:-?(?:nr\.?|nummer))?|avs|pesel|dni|nie|nif|cpf|bsn|insee|codice fiscale|aadhaar|medicare(?: number)?|iban|(?:credit |debit )?card number)(?!\w)"
 )
-_ID_VALUE = re.compile(r"[ \t:=#(\"'\[-]{0,6}(?:(?:is|was|nr\.?|no\.?)[ \t:=]{0,3})?(?P<value>[A-Z]{0,3}[ -]?\d[\dA-Z]*(?:[ ./-]?[\dA-Z]+)*)")
+_ID_VALUE = re.compile(r"[ \t:=#(\"'\[-]{0,6}(?:(?:is|was|nr\.?|no\.?)[ \t:=]{0,3})?(?P<value>[A-Z]{2}(?:[ -]?\d{2}){3}[ -]?[A-D](?!\w)|(?:[A-Z]{0,3}[ -]?)?\d[\dA-Z]*(?:[ ./-]?\d[\dA-Z]*)*(?!\w))")
 _AHV = re.compile(r"(?<![\w.])756\.\d{4}\.\d{4}\.\d{2}(?!\w|\.\d)")
 _SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -85,7 +88,14 @@ _NOT_NAME = set(
 _TITLE = r"(?:Dr|Mr|Mrs|Ms|Mx|Prof|Professor|Herr|Frau|Mme|M|Sr|Sra|Sir|Dame)\.?"
 _PARTICLE = r"(?:van|der|den|von|zu|de|da|do|del|della|di|dos|la|le|bin|ibn|al|el|ter|ten|af)"
 _TOKEN = rf"(?:[dDlL]['’])?[{_UP}](?:[\w]|['’](?!s(?!\w))|-(?=\w))*"
-_NAME = re.compile(rf"(?<![\w.@/<-]){_TOKEN}(?:[ ](?:[{_UP}]\.|{_PARTICLE}|{_TOKEN})){{0,3}}[ ]{_TOKEN}(?![\w@])|(?<![\w.@/<-]){_TOKEN},[ ]{_TOKEN}(?=[ ]*<)")
+_NAME = re.compile(rf"(?<![\w.@/<-]){_TOKEN}(?:[ ](?:[{_UP}]\.|{_PARTICLE}|{_TOKEN})){{0,3}}[ ]{_TOKEN}(?![\w@])|(?<![\w.@/<-]){_TOKEN},[ ]{_TOKEN}(?![\w@])")
+#: A name without capitals can only be told from other words by its context and by the given names seen elsewhere.
+_LOWER = r"(?:[^\W\d_A-Z][^\W\d_]*(?:['’-][^\W\d_]+)*?)"
+_PAIR = rf"{_LOWER}(?:[ ][a-z]\.)?[ ]{_LOWER}"
+_LOWER_NAME = re.compile(
+    rf"(?:(?<=name=)|(?<=uthor: )|(?<=wner: )|(?<=viewer: )|(?<=ODO\()|(?<=\bmet )|(?<=\bask )|(?<=red with )|(?<=\bDr\. )|(?<=ed by )|(?<=hat is ))(?P<a>{_PAIR})(?![\w])"
+    rf"|(?<![\w.'’@/-])(?P<b>{_PAIR})(?=[ ]<[^<>\n]*(?:@|\bat\b)|['’]s branch|[ ](?:reported|wrote|said|approved|reviewed|joined)\b)"
+)
 _BEFORE = re.compile(
     rf"(?i)(?:\b(?:name|author|reviewer|owner|assignee|contact|maintainer|customer|client|from|to|cc|signed-off-by|co-authored-by|reported-by|reviewed-by|attn)\s*[:=]\s*[\"']?"
     rf"|\b(?:todo|fixme|xxx|hack)\(|\b(?:met|ask|asked|paired with|told|thank|thanks to|emailed|called|hired|signed by|written by|reported by|reviewed by|approved by|assigned to|speak to|talk to|spoke to|regards,?|sincerely,?|is|was|by|with)\s+"
@@ -153,9 +163,6 @@ def _ids(text):
         v = _ID_VALUE.match(text, m.end())
         if v:
             value = v["value"].rstrip(" ./-")
-            # a following word in capitals is not part of the number
-            while value and not re.search(r"\d[A-Z]{0,2}$", value):
-                value = value[:-1].rstrip(" ./-")
             if sum(map(str.isdigit, value)) >= 6:
                 yield v.start("value"), v.start("value") + len(value), "id_number", 0.8
     for m in _AHV.finditer(text):
@@ -186,6 +193,7 @@ def _names(text):
         words = words[:stop]
         while words and (len(words[-1].rstrip(".")) < 2 or words[-1].islower()):
             words.pop()
+        # a list of names is told apart from a surname with its given name by what stands before and after
         if len(words) < 2:
             continue
         b = a + len(" ".join(words))
@@ -207,6 +215,16 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
+def find_lower(text: str | None, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, given name) of names in small letters where the context allows one; to be confirmed."""
+    out: list[tuple[int, int, str]] = []
+    for m in _LOWER_NAME.finditer(text or ""):
+        a, b = m.span("a" if m["a"] else "b")
+        if all(b <= c or a >= d for c, d, _ in taken):
+            out.append((a, b, text[a:b].split(" ")[0]))
+    return out
+
+
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for a, b, kind in spans:
@@ -222,28 +240,53 @@ def records(turns: DataFrame, notes: DataFrame) -> DataFrame:
     return t.unionByName(n).where(F.length("content") > 0)
 
 
-def pii_found(turns: DataFrame, notes: DataFrame) -> DataFrame:
-    """One row per distinct value of a type in a record.  Re-sent records count once; a null or empty text gives none."""
+SPANS = "record_kind string, record_id bigint, start int, `end` int, pii_type string, value string, given string, sure boolean"
+
+
+def spans(turns: DataFrame, notes: DataFrame) -> DataFrame:
+    """One row per span of a delivered record: offsets in code points, type, value.
+
+    ``given`` is a name's first word in small letters.  A name written in small letters is kept only if that word also
+    opens at least ``LEAST_SEEN`` names with capitals somewhere in the corpus (a join, so no list of names is held).
+    """
 
     def make():
         def row(kind, key, text):
-            for v in dict.fromkeys((t, text[a:b]) for a, b, t in find(text)):
-                yield kind, key, *v
+            found = find(text)
+            for a, b, t in found:
+                words = text[a:b].split(", ")[::-1][0].split(" ") if t == "name" else [None]
+                yield kind, key, a, b, t, text[a:b], words[0] and words[0].lower(), True
+            for a, b, given in find_lower(text, found):
+                yield kind, key, a, b, "name", text[a:b], given, False
 
         return row
 
-    found = map_rows(records(turns, notes), ["record_kind", "record_id", "content"], "record_kind string, record_id bigint, pii_type string, value string", make)
-    return found.distinct()
+    every = map_rows(records(turns, notes), ["record_kind", "record_id", "content"], SPANS, make)
+    seen = every.where("sure and given is not null").groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN).select("given")
+    return every.where("sure").unionByName(every.where("not sure").join(seen, "given", "left_semi").select(*every.columns))
+
+
+def pii_found(turns: DataFrame, notes: DataFrame) -> DataFrame:
+    """One row per distinct value of a type in a record.  Re-sent records count once; a null or empty text gives none."""
+    return spans(turns, notes).select("record_kind", "record_id", "pii_type", "value").distinct()
 
 
 def pii_redacted(turns: DataFrame, notes: DataFrame) -> DataFrame:
-    """(record_kind, record_id, spans, content): the records that hold a span, with placeholders in place of the values."""
+    """(record_kind, record_id, spans, content): the records that hold a span, with placeholders in place of the values.
+
+    A re-sent record comes out once.  Spans are grouped by record, which its own text bounds.
+    """
+    by_record = spans(turns, notes).groupBy("record_kind", "record_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "pii_type"))).alias("found"))
+    texts = records(turns, notes).groupBy("record_kind", "record_id").agg(F.min("content").alias("content"))
 
     def make():
-        def row(kind, key, text):
-            if spans := find(text):
-                yield kind, key, len(spans), redact(text, spans)
+        def row(kind, key, text, found):
+            kept: list[tuple[int, int, str]] = []
+            for x in found:
+                if not kept or x["start"] >= kept[-1][1]:
+                    kept.append((x["start"], x["end"], x["pii_type"]))
+            yield kind, key, len(kept), redact(text, kept)
 
         return row
 
-    return map_rows(records(turns, notes), ["record_kind", "record_id", "content"], "record_kind string, record_id bigint, spans int, content string", make)
+    return map_rows(texts.join(by_record, ["record_kind", "record_id"]), ["record_kind", "record_id", "content", "found"], "record_kind string, record_id bigint, spans int, content string", make)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, secrets, syntax
+from . import encoding, pii, secrets, syntax
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": lambda s, d: secrets.secrets_found(table(s, d, "files")),
     "p3_redacted": lambda s, d: secrets.redacted(table(s, d, "files"), "file_id"),
     "p3_redacted_chunks": lambda s, d: secrets.redacted(table(s, d, "chunks"), "chunk_id"),
+    "p4_found": lambda s, d: pii.pii_found(table(s, d, "turns"), table(s, d, "notes")),
+    "p4_redacted": lambda s, d: pii.pii_redacted(table(s, d, "turns"), table(s, d, "notes")),
     "p9_found": lambda s, d: encoding.encoding_found(table(s, d, "documents")),
     "p9_restored": lambda s, d: encoding.restore(table(s, d, "documents")),
 }
