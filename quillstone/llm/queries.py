@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, pii, secrets, syntax
+from . import encoding, pii, provenance, secrets, syntax
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: syntax.syntax_found(table(s, d, "files")),
     "p1_rates": lambda s, d: syntax.syntax_rates(table(s, d, "files")),
+    "p2_found": lambda s, d: provenance.provenance_found(table(s, d, "files"), table(s, d, "upstream_files")),
+    "p2_provenance": lambda s, d: provenance.provenance(table(s, d, "files"), table(s, d, "upstream_files")),
     "p3_found": lambda s, d: secrets.secrets_found(table(s, d, "files")),
     "p3_redacted": lambda s, d: secrets.redacted(table(s, d, "files"), "file_id"),
     "p3_redacted_chunks": lambda s, d: secrets.redacted(table(s, d, "chunks"), "chunk_id"),
