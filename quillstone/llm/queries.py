@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, pii, provenance, secrets, syntax
+from . import docs, encoding, mixing, packing, pii, provenance, secrets, split, syntax
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,8 +19,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_redacted_chunks": lambda s, d: secrets.redacted(table(s, d, "chunks"), "chunk_id"),
     "p4_found": lambda s, d: pii.pii_found(table(s, d, "turns"), table(s, d, "notes")),
     "p4_redacted": lambda s, d: pii.pii_redacted(table(s, d, "turns"), table(s, d, "notes")),
+    "p5_found": lambda s, d: docs.pairs_found(table(s, d, "files")),
+    "p5_pairs": lambda s, d: docs.pairs_once(table(s, d, "files")),
+    "p6_found": lambda s, d: split.split_found(table(s, d, "chunks")),
+    "p6_pieces": lambda s, d: split.pieces(table(s, d, "chunks")),
+    "p7_packed": lambda s, d: packing.pack(table(s, d, "documents")),
+    "p7_fill": lambda s, d: packing.fill(packing.pack(table(s, d, "documents"))),
+    "p8_mixture": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
+    "p8_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
     "p9_found": lambda s, d: encoding.encoding_found(table(s, d, "documents")),
     "p9_restored": lambda s, d: encoding.restore(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+#: A chunk comes out in pieces exactly if it is longer than the limit; what the pieces are is tested by putting them together.
+ORACLES: dict[str, str] = {
+    "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 2000",
+}
