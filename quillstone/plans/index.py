@@ -42,12 +42,20 @@ class Index:
     def state(self) -> DataFrame:
         return self._read("state", STATE)
 
-    def _write(self, name: str, schema: str, rows: DataFrame) -> None:
+    def _write(self, name: str, schema: str, rows: DataFrame, projects: DataFrame) -> None:
+        """Replaces the partitions of ``projects`` with ``rows``."""
         columns = [c.split()[0] for c in schema.split(", ")]
         # the rows come in part from the table that is written, so they are cut off from it first
         cut = shared_checkpoint(self.spark, rows.select(*columns))
         writer = cut.repartition("project_id", F.pmod(F.xxhash64("path"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("project_id").parquet(os.path.join(self.folder, name))
+        # a partition that has no rows any more is not overwritten, so it is taken away
+        for row in projects.join(cut.select("project_id"), "project_id", "left_anti").toLocalIterator():
+            self._drop(name, row["project_id"])
+
+    def _drop(self, name: str, project_id: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, name, f"project_id={project_id}"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def update(self, files: DataFrame, projects: DataFrame | None = None, ignores: DataFrame | None = None, gone: bool = True) -> dict[str, int]:
         """Brings the index in line with ``files`` (project_id, path, rel_path, content, hash, size); returns the counts.
@@ -74,9 +82,9 @@ class Index:
         stale = fresh.select("path").unionByName(left).distinct()
         affected = shared_checkpoint(self.spark, fresh.select("project_id").unionByName(state.join(left, "path", "left_semi").select("project_id")).distinct())
         kept = store.join(affected, "project_id", "left_semi").join(stale, "path", "left_anti")
-        self._write("chunks", CHUNK, upsert(kept, new))
+        self._write("chunks", CHUNK, upsert(kept, new), affected)
         hashes = state.join(affected, "project_id", "left_semi").join(stale, "path", "left_anti").unionByName(fresh.select("path", "hash", "project_id").dropDuplicates(["path"]))
-        self._write("state", STATE, hashes)
+        self._write("state", STATE, hashes, affected)
         return {"changed": fresh.count(), "deleted": left.count(), "chunks": new.count()}
 
     def update_paths(self, paths: DataFrame, files: DataFrame, projects: DataFrame | None = None) -> dict[str, int]:
@@ -86,16 +94,15 @@ class Index:
         hit = shared_checkpoint(self.spark, state.join(absent, "path", "left_semi").select("project_id", "path"))
         affected = hit.select("project_id").distinct()
         if not hit.isEmpty():
-            self._write("chunks", CHUNK, store.join(affected, "project_id", "left_semi").join(hit.select("path"), "path", "left_anti"))
-            self._write("state", STATE, state.join(affected, "project_id", "left_semi").join(hit.select("path"), "path", "left_anti"))
+            self._write("chunks", CHUNK, store.join(affected, "project_id", "left_semi").join(hit.select("path"), "path", "left_anti"), affected)
+            self._write("state", STATE, state.join(affected, "project_id", "left_semi").join(hit.select("path"), "path", "left_anti"), affected)
         counts = self.update(files, projects, gone=False)
         return counts | {"deleted": hit.count()}
 
     def remove(self, project_id: str) -> None:
         """Takes a project out of the index."""
         for name in ("chunks", "state"):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.folder, name, f"project_id={project_id}"))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._drop(name, project_id)
 
     def rebuild(self, files: DataFrame, projects: DataFrame | None = None, ignores: DataFrame | None = None) -> dict[str, int]:
         """Forgets the projects of ``files`` and indexes them anew, whatever state an earlier run left."""

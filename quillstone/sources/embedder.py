@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ class ServiceEmbedder:
         return self._vectors([text])[0]
 
     def embed(self, rows: DataFrame, text: str = "content") -> DataFrame:
-        import pandas as pd
-
         @F.pandas_udf("array<double>")
         def vectors(batches: pd.Series) -> pd.Series:
             texts = batches.fillna("").tolist()

@@ -27,7 +27,7 @@ def scan(spark: SparkSession, root: str, project_id: str, hidden: bool = True) -
         names = list(hidden_files(root))
         if names:
             listed = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names) // 256 + 1))
-            rows = rows.unionByName(listed.mapInPandas(_read, FILES))
+            rows = rows.unionByName(listed.mapInArrow(_read, FILES))
     prefix = root.rstrip("/")
     return rows.select(
         F.lit(project_id).alias("project_id"),
@@ -50,18 +50,20 @@ def hidden_files(root: str) -> Iterator[str]:
 
 
 def _read(batches):
-    import pandas as pd
+    import pyarrow as pa
 
-    for pdf in batches:
-        rows = []
-        for path in pdf["path"]:
+    for b in batches:
+        rows: list[tuple] = []
+        for path in b.column(0).to_pylist():
             try:
                 with open(path, "rb") as f:
                     data = f.read()
-                rows.append((path, pd.Timestamp(os.path.getmtime(path), unit="s", tz="UTC"), len(data), data))
+                rows.append((path, int(os.path.getmtime(path) * 1e6), len(data), data))
             except OSError:  # gone between the listing and the read
                 continue
-        yield pd.DataFrame(rows, columns=["path", "mod_time", "size", "content"])
+        columns = list(zip(*rows)) if rows else [[], [], [], []]
+        kinds = [pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["path", "mod_time", "size", "content"])
 
 
 def ignore_files(files: DataFrame) -> DataFrame:
