@@ -37,14 +37,3 @@ def words(text: Column) -> Column:
 def bucket(word: Column, dim: int) -> Column:
     """The dimension a word is hashed to: the first 8 hex digits of its MD5, modulo ``dim``."""
     return F.pmod(F.conv(F.left(F.md5(word.cast("binary")), F.lit(8)), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-
-
-def hashed(text: Column, dim: int = 64) -> Column:
-    """A deterministic embedding: the counts of the text's words by bucket, normalised; zeros for a text without words.
-
-    It stands in where no model is at hand; see ``sources.embedder`` for others.
-    """
-    buckets = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: bucket(w, dim))
-    # bound once: an expression inside a lambda is evaluated anew for every element
-    counts = F.transform(F.array(buckets), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))[0]
-    return F.transform(F.array(counts), lambda c: normalised(c))[0]
