@@ -155,7 +155,7 @@ JS = r"""
 File      <- SEMI? Stmt* EOF
 Stmts     <- Stmt*
 End       <- SEMI / &'}' / &EOF
-%Stmt     <- SEMI / Block / &('var' / 'const' / 'let') Vars End / &('async' / 'function') Function / &('@' / 'class' @/ 'abstract'@) Class / 'if' '(' Expr ')' VSEMI? Stmt ('else' VSEMI? Stmt)? / For / 'while' '(' Expr ')' VSEMI? Stmt
+%Stmt     <- SEMI / Block / &('var' / 'const' / 'let') Vars End / &('async' / 'function') Function / &('@' / 'class' @/ 'abstract'@) Class / 'if' '(' Expr ')' VSEMI? Stmt (VSEMI? 'else' VSEMI? Stmt)? / For / 'while' '(' Expr ')' VSEMI? Stmt
            / 'do' VSEMI? Stmt VSEMI? 'while' '(' Expr ')' SEMI? / 'switch' '(' Expr ')' '{' SEMI* (('case' Expr / 'default') ':' Stmts)* '}'
            / 'try' Block ('catch' ('(' Binding Annot? ')')? Block ('finally' Block)? / 'finally' Block)
            / 'return' Expr? End / 'throw' Expr End / ('break' / 'continue') ID? End / 'debugger' End
@@ -185,7 +185,7 @@ MemberFn  <- '*'? PropName @'?'?@ TParams? Params Ret? (Block @/ End@)
 MemberField <- PropName @('?' / '!')?@ Annot? ('=' Assign)? End
 PropName  <- WORD / STR / NUM / '[' Assign ']' / '#' WORD
 Expr      <- Assign (',' Assign)*
-Assign    <- &('async' / '(' / '<' / ID '=>') Arrow / 'yield' ('*' Assign / Assign)? / @'<' Type '>' !'(' Assign /@ Unary (Binary Unary / '?' Assign ':' Assign @/ ('as' / 'satisfies') Type@)* (AssignOp Assign)?
+Assign    <- &('async' / '(' / '<' / ID '=>') Arrow / 'yield' ('*' Assign / Assign)? / @'<' Type '>' !'(' Assign /@ Unary (Binary Unary / '?' Assign ':' Assign @/ 'as' 'const' / ('as' / 'satisfies') Type@)* (AssignOp Assign)?
 Arrow     <- 'async'? (ID / @TParams?@ Params Ret?) '=>' (Block / !'{' Assign)
 Binary    <- '||' / '&&' / '??' / '===' / '!==' / '==' / '!=' / '<=' / '<<' / '<' / '>' '>' '>' !'=' / '>' '>' !'=' / '>' '=' / '>' / '+' / '-' / '**' / '*' / '/' / '%' / '&' / '|' / '^' / 'in' / 'instanceof'
 AssignOp  <- '=' / '+=' / '-=' / '*=' / '**=' / '/=' / '%=' / '<<=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??=' / '>' '>' '>' '=' / '>' '>' '='

@@ -218,9 +218,9 @@ def _js_kind(t: str) -> str:
 
 
 _soft = "".join(JS[w] for w in JS_SOFT.split() if w not in ("of", "from", "as", "is", "implements", "satisfies"))
-_hard = "".join(JS[w] for w in "break case class const continue debugger default delete do enum export for function if import new return super switch this throw try typeof var void while with null true false".split())
+_hard = "".join(JS[w] for w in "break case class const continue debugger default delete do else enum export for function if import new return super switch this throw try typeof var void while with null true false".split())
 _enders = "instr)\\]}" + ENDSUB + "".join(JS[w] for w in "++ -- this super null true false break continue return debugger".split()) + "".join(JS[w] for w in JS_SOFT.split())
-_JS_END = re.compile(f"(?<=[{_enders}])\n+(?=[in@s#!~" + "".join(JS[w] for w in ("++", "--")) + f"{_soft}{_hard}])")
+_JS_END = re.compile(f"(?:(?<=[{_enders}])|(?<={JS['as']}{JS['const']}))\n+(?=[in@s#!~" + "".join(JS[w] for w in ("++", "--")) + f"{_soft}{_hard}])")
 _JS_RETURN = re.compile(f"(?<=[{JS['return']}{JS['break']}{JS['continue']}])\n+(?!}})")
 
 
