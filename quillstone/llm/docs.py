@@ -296,6 +296,8 @@ _POINTER = re.compile(
 )
 _TAG = re.compile(r"^\s*(?:@\w+\b|:(?:param|type|returns?|rtype|raises?|arg|var|ivar|keyword|yields?)\b[^:]*:|\\(?:param|return)\b)")
 _SECTION = re.compile(r"(?i)^\s*(?:#+\s*)?(?:args?|arguments|parameters|params|returns?|yields?|raises?|throws|attributes|keyword args|examples?|usage|panics|errors|safety|see also|notes?|references|todo)\s*:{0,2}\s*$")
+#: Code that was commented out describes nothing.
+_CODE_LINE = re.compile(r"^(?:(?:func|fn|def|function|class|const|let|var|pub|async|export|import|return|if|for|while|switch|case)\b[^.]*[({;=]|[})\];]+;?$|[\w.]+\([^)]*\);?$|[\w.]+ :?= [^ ]+;?$)")
 _CODE_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _FILLER = set(
     "a an the this that these those it its of to for from in on at by with and or as is are be do does function func method fn procedure routine helper def class constructor getter setter "
@@ -353,7 +355,7 @@ def description(name: str, doc: str | None) -> str | None:
         own |= {_stem(w) for w in ("init", "initialize", "construct", "build", "create", "make", "instance", "object", "new")}
     for s in sentences:
         bare = re.sub(rf"^{re.escape(name)}\s*(?:\(\))?\s*(?::|-|–|—|is|are)?\s*", "", s) if s.lower().startswith(name.lower()) else s
-        if not re.search(r"\w", bare) or _PLACEHOLDER.match(bare.strip()) or _PLACEHOLDER.match(s) or _POINTER.match(bare.strip()) or _POINTER.match(s):
+        if not re.search(r"\w", bare) or _CODE_LINE.match(s) or _PLACEHOLDER.match(bare.strip()) or _PLACEHOLDER.match(s) or _POINTER.match(bare.strip()) or _POINTER.match(s):
             continue
         if [w for w in _words(bare) if _stem(w) not in own and w not in _FILLER and w != "init"]:
             return text

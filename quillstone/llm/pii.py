@@ -33,7 +33,7 @@ _DOT = r"(?:[ ]?(?:\(dot\)|\[dot\]|\{dot\})[ ]?|[ ]dot[ ])"
 _SPELLED = re.compile(rf"(?i)(?<![\w.@])[\w.+-]*[\w+](?:[ ]?(?:\(at\)|\[at\]|\{{at\}}|<at>)[ ]?[\w-]+(?:(?:{_DOT}|\.)[\w-]+)+|[ ]at[ ][\w-]+(?:{_DOT}[\w-]+)+)(?![\w@])")
 
 _PHONE = re.compile(
-    r"""(?<![\w.+/-])(?:
+    r"""(?<![\w.+/-])(?<!\d[ ])(?:
         \+\d{1,3}(?:[ .-]?\(0?\d{1,4}\))?(?:[ ./-]?\d){6,13}
       | 00\d{2,3}(?:[ ./-]?\d){7,12}
       | \(0?\d{2,5}\)[ ]?\d{3}(?:[ -]?\d){3,6}

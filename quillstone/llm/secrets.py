@@ -30,7 +30,7 @@ _SECRET_NAME = re.compile(rf"(?i)(?:{_NAME_WORDS})")
 #: name <op> "value" in code, JSON, TOML and INI; a header set by index; a default after a lookup; a bare value in YAML and dotenv.
 _STRING = r"""(?P<q>["'`])(?P<value>(?:[^"'`\\\n]|\\.){4,}?)(?P=q)"""
 _LOOKUP = r"""(?:concat!\(\s*|[bruf]{1,2}(?=["'])|\(\s*|[\w.]+[(\[]\s*["'][\w.-]+["']\s*(?:,|[)\]]\s*(?:\|\||\?\?|\bor\b))\s*|[\w.]+\s*(?:\|\||\?\?|\bor\b)\s*)?"""
-_QUOTED_ASSIGN = re.compile(rf"""(?P<name>["']?[A-Za-z_][\w.-]{{1,60}}["']?)(?:\])?\s*(?::[^=\n"']{{1,40}}(?==))?(?:=>|:=|=|:)\s*{_LOOKUP}{_STRING}""")
+_QUOTED_ASSIGN = re.compile(rf"""(?P<name>["']?[A-Za-z_][\w.-]{{0,60}}["']?)(?:\])?\s*(?::[^=\n"']{{1,40}}(?==))?(?:=>|:=|=|:)\s*{_LOOKUP}{_STRING}""")
 _PAIR = re.compile(rf"""[(\[{{]\s*["'](?P<name>[\w-]{{2,40}})["']\s*,\s*{_STRING}""")
 _MORE = re.compile(r"""\s*[+,.]?\s*(["'`])((?:[^"'`\\\n]|\\.)+?)\1""")
 _HEADER = re.compile(r"""(?i)["']?(?P<name>(?:x-)?[\w-]*(?:auth|token|key|secret)[\w-]*):[ ]*(?P<value>[^\s"'<>]{6,})(?=["'])""")
