@@ -102,4 +102,4 @@ def fill(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens, and the share of the space that is filled (1.0 of an empty corpus)."""
     each = containers(placed, capacity)
     n, t = F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))
-    return each.agg(n.alias("containers"), t.alias("tokens"), F.coalesce(F.round(t / (n * capacity), 6), F.lit(1.0)).alias("filled"))
+    return each.agg(n.alias("containers"), t.alias("tokens"), F.coalesce(F.round(F.try_divide(t, n * capacity), 6), F.lit(1.0)).alias("filled"))

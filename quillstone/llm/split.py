@@ -36,7 +36,9 @@ def boundaries(text: str) -> list[tuple[int, float]]:
         if p < n:
             rest = text[p : p + 1]
             before = text[max(0, p - 3) : p - 1]
-            kind = "blank" if before.endswith("\n") or before.endswith("\n\r") else "block" if not rest.isspace() and rest not in ")]}" else "line"
+            # of several blank lines the last is the boundary
+            blank = before.endswith(("\n", "\n\r")) and rest not in "\r\n"
+            kind = "blank" if blank else "block" if not rest.isspace() and rest not in ")]}" else "line"
             places[p] = PENALTY[kind]
     for level, rx in (("sentence", _SENTENCE), ("space", _SPACE)):
         known = sorted(places) + [n]
