@@ -13,6 +13,7 @@ Character pairs are counted over all documents into a table of fixed size (``BUC
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -31,8 +32,8 @@ UNCOMMON = -4.2
 GAIN, GAIN_ALONE = 3.0, 6.0
 #: Share of a unit's non-ASCII characters inside quotes from which it only quotes garbled text.
 QUOTED_SHARE = 0.8
-#: Letters a skeleton must have to tell twins, pairs that must support a transformation, most characters of a unit in the join.
-LEAST_SKELETON, LEAST_PAIRS, LONGEST_UNIT = 12, 2, 2_000
+#: Letters a skeleton must have to tell twins, and pairs that must support a transformation.
+LEAST_SKELETON, LEAST_PAIRS = 12, 2
 
 #: Python's names of the encodings that files of the corpus' languages are commonly written or read in.
 SINGLE = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman", "iso8859-15", "iso8859-5")
@@ -183,23 +184,29 @@ def pair_frequencies(documents: DataFrame) -> np.ndarray:
 # learning --------------------------------------------------------------------------------------------------------
 
 
-def _make_units():
-    seen: dict[str, None] = {}
+def skeletons(documents: DataFrame) -> DataFrame:
+    """(skeleton, unit, n): the units with non-ASCII characters by skeleton, counted batch by batch in the tasks.
 
-    def row(text):
-        if not text or text.isascii():
-            return
-        for a, b in units(text):
-            unit = text[a:b].strip()
-            if unit.isascii() or len(unit) > LONGEST_UNIT or _LOST in unit or unit in seen:
-                continue
-            if len(seen) > 100_000:
-                seen.clear()
-            s = skeleton(unit)
-            if sum(map(str.isalpha, s)) >= LEAST_SKELETON:
-                yield s, unit
+    A unit with lost characters, or whose skeleton has too few letters to tell twins, gives no row.
+    """
+    import pyarrow as pa
 
-    return row
+    schema = "skeleton string, unit string, n bigint"
+
+    def run(batches):
+        for b in batches:
+            counts: Counter[str] = Counter()
+            for text in b.column(0).to_pylist():
+                if text and not text.isascii():
+                    for x, y in units(text):
+                        unit = text[x:y].strip()
+                        if not unit.isascii() and _LOST not in unit:
+                            counts[unit] += 1
+            rows = [(s, u, n) for u, n in counts.items() if sum(map(str.isalpha, s := skeleton(u))) >= LEAST_SKELETON]
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["skeleton", "unit", "n"])
+
+    return documents.select("text").mapInArrow(run, schema)
 
 
 def align(garbled: str, clean: str) -> list[tuple[str, str]] | None:
@@ -231,8 +238,7 @@ def _make_explain():
 
 def learn(documents: DataFrame) -> DataFrame:
     """(chain int, pairs bigint): how many twin pairs each transformation explains; at most ``len(CHAINS)`` rows."""
-    found = map_rows(documents, ["text"], "skeleton string, unit string", _make_units)
-    counted = found.groupBy("skeleton", "unit").agg(F.count("*").alias("n"))
+    counted = skeletons(documents).groupBy("skeleton", "unit").agg(F.sum("n").alias("n"))
     # a window over the counted units, not a join with their maximum: the texts are read and moved once
     best = F.max(F.struct("n", -F.length("unit"), "unit")).over(Window.partitionBy("skeleton"))
     twins = counted.select("unit", best["unit"].alias("clean")).where(F.col("unit") != F.col("clean"))
