@@ -12,6 +12,7 @@ from .operators import files as fs
 from .operators import memory, search, stats, symbols
 from .operators.rules import Rule
 from .plans.index import Index
+from .plans.progress import Progress, State
 from .sources import config as configs
 from .sources.embedder import Embedder, HashedEmbedder
 
@@ -37,6 +38,7 @@ class Engine:
         self.embedder = embedder or HashedEmbedder()
         self.index = Index(spark, folder, self.embedder)
         self.config = config or configs.Config()
+        self.progress = Progress(posixpath.join(folder, "progress.json"))
 
     # paths
 
@@ -139,12 +141,29 @@ class Engine:
         hit = known.join(F.broadcast(wanted), under(F.col("path"), F.col("root")), "left_semi")
         return self.index.update_paths(hit, self.files.join(hit.select("path"), "path", "left_semi"), self.projects)
 
+    def _job(self, prefix: str, project: str, files: DataFrame) -> dict[str, int]:
+        self.progress.start(prefix, project)
+        try:
+            counts = self.index.rebuild(files, self.projects)
+        except Exception as error:
+            self.progress.fail(error)
+            raise
+        self.progress.done(done_files=counts["changed"], total_files=counts["changed"], done_chunks=counts["chunks"], total_chunks=counts["chunks"])
+        return counts
+
     def rebuild_project(self, project: str) -> dict[str, int]:
         self.resolve(project)
-        return self.index.rebuild(self.files.where(F.col("project_id") == project), self.projects)
+        return self._job(f"project:{project}", project, self.files.where(F.col("project_id") == project))
 
     def rebuild_index(self) -> dict[str, int]:
-        return self.index.rebuild(self.files, self.projects)
+        return self._job("index", "", self.files)
+
+    def get_index_job(self, job_id: str) -> State:
+        """The state of a job; only the latest is known."""
+        state = self.progress.load()
+        if state.job_id != job_id:
+            raise ToolError("job_not_found", f"no job {job_id}")
+        return state
 
     def get_index_status(self) -> DataFrame:
         return stats.project_status(self.projects, self.index.chunks()).orderBy("project_id")
@@ -191,6 +210,10 @@ class Engine:
         rows = search.memory_search(self._memory_vectors(), self._query(query), top_k, provider)
         return rows.select("path", F.lit(provider).alias("provider"), "score", "content", "start_line", "end_line")
 
+    def rebuild_memory(self) -> int:
+        """How many sections the memory holds; it has no state of its own that could be stale."""
+        return self._memory_vectors().count()
+
     def memory_list(self, provider: str | None = None) -> DataFrame:
         return memory.listed(self.notes, provider).orderBy("path")
 

@@ -16,16 +16,22 @@ def long_enough(turns: DataFrame, least_bytes: int) -> DataFrame:
     return turns.where((F.octet_length("content") >= least_bytes) | ~F.col("role").eqNullSafe(F.lit("user")))
 
 
-def session_markdown(turns: DataFrame, least_bytes: int = 0) -> DataFrame:
+#: Turns that one text of a session holds.
+PART_TURNS = 5_000
+
+
+def session_markdown(turns: DataFrame, least_bytes: int = 0, part_turns: int = PART_TURNS) -> DataFrame:
     """(session_id, path, content): each session as one Markdown text, turns in order of their ordinal.
 
     Any role but ``user`` is headed Assistant.  Headers in turns are escaped, so sections are the turns.  Re-sent turns
-    count once; turns without text are left out.  A session's text is one row, as large as the session.
+    count once; turns without text are left out.  A session with ordinals from ``part_turns`` on comes in several texts,
+    each with a head of its own, so that no row or task grows with a session.
     """
     kept = long_enough(latest(turns, "turn_id", "exported_at").where(F.length("content") > 0), least_bytes)
     label = F.when(F.col("role") == "user", "User").otherwise("Assistant")
     one = F.struct("ordinal", "turn_id", F.concat(F.lit("### "), label, F.lit("\n\n"), escaped_headers(F.col("content")), F.lit("\n\n")).alias("text"), "content")
-    grouped = kept.groupBy("session_id").agg(F.sort_array(F.collect_list(one)).alias("turns"), F.max("provider").alias("provider"), F.sum(F.octet_length("content")).alias("bytes"))
+    part = F.floor(F.greatest(F.coalesce("ordinal", F.lit(0)), F.lit(0)) / part_turns)
+    grouped = kept.groupBy("session_id", part.alias("part")).agg(F.sort_array(F.collect_list(one)).alias("turns"), F.max("provider").alias("provider"), F.sum(F.octet_length("content")).alias("bytes"))
     strings = F.array_distinct(F.col("turns.content"))
     head = F.concat(
         F.lit("# Chat trajectory: "), F.col("session_id"), F.lit("\n\n- **Provider:** "), F.coalesce("provider", F.lit("")),
@@ -34,7 +40,7 @@ def session_markdown(turns: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
     body = F.concat(F.lit("## Dialogue\n\n"), F.array_join(F.col("turns.text"), ""))
     tail = F.concat(F.lit("## All extracted strings\n\n"), F.array_join(F.transform(strings, lambda x: F.concat(escaped_headers(x), F.lit("\n\n"))), ""))
-    return grouped.select("session_id", F.concat(F.lit("/memory/chats/"), F.col("session_id"), F.lit(".md")).alias("path"), F.concat(head, body, tail).alias("content"))
+    return grouped.select("session_id", F.concat(F.lit("/memory/chats/"), F.col("session_id"), F.when(F.col("part") > 0, F.concat(F.lit("-"), F.col("part").cast("string"))).otherwise(""), F.lit(".md")).alias("path"), F.concat(head, body, tail).alias("content"))
 
 
 def session_summary(turns: DataFrame) -> DataFrame:

@@ -17,10 +17,22 @@ def locations(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("symbol") != "").select(*LOCATION).withColumn("symbol_key", F.lower("symbol"))
 
 
-def symbol_index(chunks: DataFrame) -> DataFrame:
-    """(symbol_key, places, locations): the places of each symbol in order of path and line."""
+#: Places a row of the nested index holds at most.
+BLOCK = 1_000
+
+
+def symbol_index(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(symbol_key, block, places, locations): the places of each symbol, in blocks of about ``block`` at most.
+
+    Most symbols are one row.  One that a third of all chunks share is spread over as many rows as it takes, so no list
+    and no task grows with it.
+    """
+    rows = locations(chunks)
+    counts = rows.groupBy("symbol_key").agg(F.ceil(F.count("*") / block).alias("_blocks")).where("_blocks > 1")
+    spread = rows.join(counts, "symbol_key", "left")
+    number = F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("path", "start_line"), F.col("_blocks"))).cast("int")
     place = F.struct("path", "start_line", "end_line", "symbol")
-    return locations(chunks).groupBy("symbol_key").agg(F.count("*").alias("places"), F.sort_array(F.collect_list(place)).alias("locations"))
+    return spread.groupBy("symbol_key", number.alias("block")).agg(F.count("*").alias("places"), F.sort_array(F.collect_list(place)).alias("locations"))
 
 
 def exact(symbols: DataFrame, name: str) -> DataFrame:

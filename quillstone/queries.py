@@ -262,7 +262,8 @@ def _symbols(spark, d):
 
 @_query(f"WITH {_SYMBOLS} SELECT lower(symbol) AS symbol_key, count(*) AS places, min(path) AS first_path FROM c GROUP BY ALL")
 def symbol_index(spark, d):
-    return symbols.symbol_index(_symbols(spark, d)).select("symbol_key", "places", F.col("locations")[0]["path"].alias("first_path"))
+    blocks = symbols.symbol_index(_symbols(spark, d))
+    return blocks.groupBy("symbol_key").agg(F.sum("places").alias("places"), F.min(F.col("locations")[0]["path"]).alias("first_path"))
 
 
 @_query(f"WITH {_SYMBOLS} SELECT path, symbol, start_line FROM c WHERE lower(symbol) = 'constructor' OR lower(symbol) = '# plan' OR lower(symbol) = 'license'")

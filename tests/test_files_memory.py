@@ -90,6 +90,7 @@ def test_sessions(spark):
     assert "- **Dialogue turns:** 3\n- **Extracted strings:** 2" in got.content
     assert tuple(memory.session_summary(turns).first()) == ("s", 3, 11, 2)
     assert memory.session_markdown(turns.limit(0)).count() == 0
+    assert {r.path for r in memory.session_markdown(turns, part_turns=1).collect()} == {"/memory/chats/s.md", "/memory/chats/s-1.md"}
     kept = {(r.turn_id, r.role) for r in memory.long_enough(turns, 3).collect()}
     assert (5, "user") not in kept
     assert (4, "system") in kept

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillstone.engine import Engine, ToolError
 from quillstone.operators.rules import Rule
 from quillstone.plans.index import Index
-from quillstone.sources import chunking, config, scan
+from quillstone.plans.progress import Progress, State
+from quillstone.sources import chunking, config, scan, sink
 from quillstone.streaming.watch import debounce, distinct_until_changed, follow
 
 FILES = "project_id string, path string, rel_path string, content string, mod_time timestamp_ntz, hash string, size bigint"
@@ -102,6 +103,10 @@ def test_engine(spark, files, projects, tmp_path):
     assert {r.project_id: r.chunks for r in e.get_index_status().collect()} == {"p": 4, "q": 2}
     assert e.reindex_files(["/w/p"])["changed"] == 0
     assert e.rebuild_project("q")["chunks"] == 2
+    state = e.progress.load()
+    assert state.job_id.startswith("project:q-")
+    assert e.get_index_job(state.job_id).status == "done"
+    assert e.rebuild_memory() == 1
     assert e.add_project("/w/new", "p", str(tmp_path / "conf"), extensions=[".go"]) == "p-1"
     assert json.load(open(tmp_path / "conf" / "p-1.json"))["extensions"] == [".go"]
     e.edit_project("p-1", exclude=["x"])
@@ -111,7 +116,7 @@ def test_engine(spark, files, projects, tmp_path):
     path = e.memory_write("My Title", "text", ["t"])
     assert e.memory_list("cascade").count() == 2
     assert e.memory_read(path).first().content.startswith("# My Title")
-    for call, reason in ((lambda: e.search_codebase(" "), "empty_query"), (lambda: e.resolve("zz"), "project_not_found"), (lambda: e.get_file_context("/w2/x"), "path_not_allowed"), (lambda: e.search("x", source="?"), "invalid_argument"), (lambda: e.resolve("p", "../q/../../etc"), "path_not_allowed")):
+    for call, reason in ((lambda: e.search_codebase(" "), "empty_query"), (lambda: e.resolve("zz"), "project_not_found"), (lambda: e.get_index_job("x"), "job_not_found"), (lambda: e.get_file_context("/w2/x"), "path_not_allowed"), (lambda: e.search("x", source="?"), "invalid_argument"), (lambda: e.resolve("p", "../q/../../etc"), "path_not_allowed")):
         with pytest.raises(ToolError) as x:
             call()
         assert x.value.reason == reason
@@ -167,6 +172,26 @@ def test_project_files(spark, tmp_path):
         scan.project_files(spark, str(tmp_path)).collect()
 
 
+def test_written_texts(spark, tmp_path):
+    rows = spark.createDataFrame([("/a/b.md", "# ü"), ("c.md", ""), ("d.md", None), (None, "x")], "path string, content string")
+    assert {tuple(r) for r in sink.write_texts(rows, str(tmp_path)).collect()} == {("/a/b.md", 4), ("c.md", 0)}
+    assert (tmp_path / "a" / "b.md").read_text() == "# ü"
+    with pytest.raises(Exception, match="leads out"):
+        sink.write_texts(spark.createDataFrame([("../x", "y")], "path string, content string"), str(tmp_path)).collect()
+
+
+def test_progress(tmp_path):
+    p = Progress(str(tmp_path / "p" / "state.json"))
+    assert p.load().status == "idle"
+    s = p.start("index", total_files=3)
+    assert s.job_id.startswith("index-")
+    p.update(phase="embed", total_chunks=1000, done_chunks=100)
+    s = p.load()
+    assert s.eta(s.started_at + 120) == 1080
+    assert [State().eta(1), p.done(done_chunks=1000).eta(1e12), p.fail(ValueError("x")).eta(1e12)] == [0, 0, 0]
+    assert p.load().error == "x"
+
+
 def test_config():
     env = {"A": "x", "HOME": "/h", "QUILLSTONE_EMBEDDING_DIM": "8", "QUILLSTONE_DATA_DIR": "${A}/${B:-y}"}
     assert config.interpolate("${A}-${B}-${B:-d}", env) == "x--d"

@@ -92,3 +92,7 @@ def test_symbols(spark):
     assert [r.symbol for r in near.collect()] == ["NothingElse"]
     index = {r.symbol_key: r.places for r in symbols.symbol_index(chunks).collect()}
     assert index == {"foobar": 1, "barbaz": 1, "qux": 1, "bar": 1}
+    hot = spark.range(2_500).select(F.lit("p").alias("project_id"), F.concat(F.lit("/f"), F.col("id")).alias("path"), F.lit("go").alias("language"), F.lit("Hot").alias("symbol"), F.lit("").alias("signature"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    blocks = symbols.symbol_index(hot, 1_000).collect()
+    assert len(blocks) == 3
+    assert sum(b.places for b in blocks) == 2_500
