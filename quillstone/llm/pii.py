@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoint
 from .common import map_rows
 
 #: Score from which a span counts.
@@ -261,7 +262,8 @@ def spans(turns: DataFrame, notes: DataFrame) -> DataFrame:
 
         return row
 
-    every = map_rows(records(turns, notes), ["record_kind", "record_id", "content"], SPANS, make)
+    # the spans are used three times: they are written once, the texts are read once
+    every = shared_checkpoint(turns.sparkSession, map_rows(records(turns, notes), ["record_kind", "record_id", "content"], SPANS, make))
     seen = every.where("sure and given is not null").groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN).select("given")
     return every.where("sure").unionByName(every.where("not sure").join(seen, "given", "left_semi").select(*every.columns))
 
