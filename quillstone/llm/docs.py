@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,21 @@ _CLOSES = {")": "(", "]": "[", "}": "{"}
 _BRACKET = re.compile(r"[()\[\]{}]")
 
 
+_SPACE = re.compile(r"\s*")
+_WORD = re.compile(r"[\w$]+")
+_OPEN = re.compile(r"\s*\{")
+_HEADER_END = re.compile(r"[{(;]")
+_MEMBER_MARK = re.compile(r"[()\[\]{};]")
+_FUNCTION_HEAD = re.compile(r"function\s*\*?\s*[\w$]*\s*")
+
+
+def _before(code: str, at: int) -> int:
+    """The end of the code before ``at``, blanks passed over."""
+    while at > 0 and code[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def closing(code: str, at: int) -> int:
     """The place after the bracket that closes the one at ``at``; -1 if none does."""
     depth = 0
@@ -124,68 +140,68 @@ def _rust(code):
         yield m.start(), m.start("name"), m["name"], _body(code, _after_params(code, m.end()))
 
 
-def _script(code):
-    # brackets once, with the class bodies among them
-    classes = set()
+def _class_members(code):
+    """(begin, ``{``) of the header before each block that stands directly in a class body."""
     for m in _JS_CLASS.finditer(code):
         at = m.end()
         while at >= 0:
-            n = re.compile(r"[{(;]").search(code, at)
+            n = _HEADER_END.search(code, at)
             if not n or n[0] == ";":
+                at = -1
+            elif n[0] == "(":
+                at = closing(code, n.start())
+            else:
                 break
-            if n[0] == "{":
-                classes.add(n.start())
-                break
-            at = closing(code, n.start())
-    depth_at, stack, members = [], [], []
-    for m in re.compile(r"[()\[\]{};]").finditer(code):
-        c, p = m[0], m.start()
-        if c == ";":
-            if stack and stack[-1][1]:
-                stack[-1][2] = p + 1
-        elif c in "([{":
-            if c == "{" and stack and stack[-1][1]:
-                members.append((stack[-1][2], p))
-            stack.append([c, c == "{" and p in classes, p + 1])
-            if c == "{":
-                depth_at.append((p, len(stack)))
-        elif stack:
-            stack.pop()
-            if c == "}":
-                depth_at.append((p, len(stack)))
-                if stack and stack[-1][1]:
-                    stack[-1][2] = p + 1
+        if at < 0:
+            continue
+        depth, begin = 0, n.start() + 1
+        for x in _MEMBER_MARK.finditer(code, n.start()):
+            c = x[0]
+            if c == ";":
+                if depth == 1:
+                    begin = x.end()
+            elif c in "([{":
+                if c == "{" and depth == 1:
+                    yield begin, x.start()
+                depth += 1
+            else:
+                depth -= 1
+                if depth == 1 and c == "}":
+                    begin = x.end()
+                if depth == 0:
+                    break
+
+
+def _script(code):
     for m in _JS_FUNCTION.finditer(code):
-        before = code[: m.start()].rstrip()[-1:] if not m["lead"].startswith("export") else ""
-        if before in ("", ";", "{", "}", ")", '"') or code.rfind("\n", 0, m.start()) >= len(code[: m.start()].rstrip()) and before not in tuple("=(,:?&|[+"):
+        end = _before(code, m.start())
+        before = code[end - 1 : end] if not m["lead"].startswith("export") else ""
+        if before in ("", ";", "{", "}", ")", '"') or "\n" in code[end : m.start()] and before not in tuple("=(,:?&|[+"):
             yield m.start(), m.start("name"), m["name"], _body(code, _after_params(code, m.end()))
-    places = [p for p, _ in depth_at]
+    depth = at = 0
     for m in _JS_CONST.finditer(code):
-        k = bisect_right(places, m.start()) - 1
-        if k >= 0 and depth_at[k][1] > 0:
+        depth += code.count("{", at, m.start()) - code.count("}", at, m.start())
+        at = m.start()
+        if depth > 0:
             continue
-        at = m.end()
-        if code.startswith("function", at):
-            head = re.compile(r"function\s*\*?\s*[\w$]*\s*").match(code, at).end()
+        p = m.end()
+        if code.startswith("function", p):
+            head = _FUNCTION_HEAD.match(code, p).end()
             yield m.start(), m.start("name"), m["name"], _body(code, _after_params(code, head))
             continue
-        if code[at : at + 1] in "(<":
-            end = _after_params(code, at)
-        else:
-            end = re.compile(r"[\w$]+").match(code, at).end()
+        end = _after_params(code, p) if code[p : p + 1] in "(<" else _WORD.match(code, p).end()
         arrow = _JS_ARROW_AFTER.match(code, end) if end >= 0 else None
         if arrow:
-            rest = re.compile(r"\s*\{").match(code, arrow.end())
+            rest = _OPEN.match(code, arrow.end())
             yield m.start(), m.start("name"), m["name"], rest.end() - 1 if rest else -1
-    for a, b in members:
+    for a, b in _class_members(code):
         m = _JS_METHOD.match(code, a, b)
         if not m or m["name"] in ("if", "for", "while", "switch", "catch", "function", "return", "class", "new"):
             continue
         end = _after_params(code, m.end())
         # the block right after the parameters and a type is the body, an initialiser's block is none
         if 0 <= end <= b and "=" not in code[end:b].replace("=>", ""):
-            start = a + len(code[a:b]) - len(code[a:b].lstrip())
-            yield start, m.start("name"), m["name"], b
+            yield _SPACE.match(code, a, b).end(), m.start("name"), m["name"], b
 
 
 def _python(code):
@@ -207,7 +223,6 @@ _FIND = {"go": _go, "rust": _rust, "python": _python, "javascript": _script, "ty
 
 # documentation ---------------------------------------------------------------------------------------------------
 
-_SPACE = re.compile(r"\s*")
 _PLAIN_STRING = re.compile(r"(?i)(r|u)?(\"\"\"|'''|\"|')(.*)\2$", re.S)
 _DIRECTIVE = re.compile(r"^//(?:go:|nolint|lint:|line |export |\+build)")
 _DOC_ATTR = re.compile(r'#\[doc\s*=\s*(?:r#*)?"((?:[^"\\]|\\.)*)"#*\s*\]', re.S)
@@ -227,7 +242,7 @@ def _leading(text, code, at, rust):
     """(end of the code before ``at``, attributes that stand between): decorators and attributes are stepped over."""
     attributes = []
     while True:
-        end = len(code[:at].rstrip())
+        end = _before(code, at)
         if rust and code[end - 1 : end] == "]":
             depth, p = 0, end - 1
             while p >= 0:
@@ -305,11 +320,14 @@ _FILLER = set(
 )
 
 
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_\W]+")
+
+
 def _words(text: str) -> list[str]:
-    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", re.sub(r"[_\W]+", " ", text))
-    return [w.lower() for w in spaced.split()]
+    return [w.lower() for w in _HUMP.split(text) if w]
 
 
+@lru_cache(maxsize=50_000)
 def _stem(w: str) -> str:
     """A word without its ending: applies, applied, applying and apply are one."""
     for suffix, rest in (("izes", "ize"), ("ises", "ise"), ("ies", "y"), ("ied", "y"), ("ing", ""), ("ed", ""), ("es", ""), ("s", "")):
