@@ -419,13 +419,14 @@ PAIRS = "file_id bigint, project string, language string, line_no int, symbol st
 def _make():
     def row(file_id, path, project, text):
         language = language_of(path)
-        if language is None or not text or not parses(language, text, not path.endswith(".cjs")):
+        if language is None or not text:
+            return
+        found = [(*f, told) for f in functions(language, text) if (told := description(f[2], f[3])) is not None]
+        # most costly, so last: a file without descriptions need not be parsed
+        if not found or not parses(language, text, not path.endswith(".cjs")):
             return
         line, at = 1, 0
-        for start, name_at, name, doc, body, end in functions(language, text):
-            told = description(name, doc)
-            if told is None:
-                continue
+        for start, name_at, name, _, body, end, told in found:
             line += text.count("\n", at, name_at) if name_at >= at else -text.count("\n", name_at, at)
             at = name_at
             signature = " ".join(text[start : body if body > start else end].split())
