@@ -46,7 +46,7 @@ def hashed(text: str | None, dim: int) -> np.ndarray:
 class HashedEmbedder:
     """A deterministic stand-in where no model is at hand: counts of hashed words (``functions.vectors.bucket``).
 
-    The same as an expression of arrays and lambdas took five times as long, since these are not compiled.
+    The same as an expression of arrays and lambdas took more than twice as long, since these are not compiled.
     """
 
     def __init__(self, dim: int = 64):
