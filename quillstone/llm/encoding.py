@@ -26,8 +26,6 @@ from .common import map_rows
 BUCKETS = 1 << 18
 #: Frequency below which a character pair counts as unseen.
 RARE = 1e-4
-#: Log frequency above which a pair is so common that it needs no second look.
-UNCOMMON = -4.2
 #: Nats a change must gain: with a transformation that twins support, and with one that none does.
 GAIN, GAIN_ALONE = 3.0, 6.0
 #: Share of a unit's non-ASCII characters inside quotes from which it only quotes garbled text.
@@ -45,9 +43,17 @@ CHAINS: tuple[tuple[str, ...], ...] = (
     *((true, wrong) for true in MULTI for wrong in ("latin-1", "cp1252", "cp1251", "koi8-r")),
 )
 
+#: Chains that turn every run of non-ASCII characters by itself, and those whose bytes may take in the ASCII character after it.
+BY_RUN = tuple(i for i, chain in enumerate(CHAINS) if chain[0] not in MULTI)
+BY_STRETCH = tuple(i for i, chain in enumerate(CHAINS) if chain[0] in MULTI)
+#: Pieces of units whose gains a task remembers, and characters a remembered piece may have.
+REMEMBERED, REMEMBERED_CHARS = 20_000, 16
+
 _SPLIT = re.compile(r"[^\n]+?(?:[.!?。！？](?=\s|$|[^\x00-\x7f])|\n|$)", re.M)
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _RUNS = re.compile(r"[^\x00-\x7f]+")
+#: Non-ASCII characters with single ASCII ones between them: no encoding reads bytes of two such stretches as one character.
+_STRETCHES = re.compile(r"[^\x00-\x7f](?:[\x00-\x7f]?[^\x00-\x7f])*")
 #: Samples of garbled text that a document quotes.
 _QUOTED = re.compile("`[^`\n]{1,24}`|“[^“”\n]{1,24}”|‘[^‘’\n]{1,24}’|«[^«»\n]{1,24}»|\"[^\"\n]{1,24}\"|(?<![\\w])'[^'\n]{1,24}'(?!\\w)|\\([^()\\w\n]{1,8}\\)")
 _LOST = "�"
@@ -258,53 +264,86 @@ def _sums(texts: list[str], logs: np.ndarray) -> np.ndarray:
     return np.add.reduceat(each, starts)
 
 
-def _candidates(unit: str) -> list[tuple[int, str]]:
-    """(chain, text before it) for every chain that can have given the unit."""
-    out, chars = [], set(unit)
+def _candidates(piece: str, chains: tuple[int, ...]) -> list[tuple[int, str]]:
+    """(position in ``chains``, text before it) for every one of ``chains`` that can have given the piece or leaves it as it is."""
+    out, chars = [], set(piece)
     fits = {c for c in SINGLE if chars <= _repertoire(c)}
     data: dict[str, bytes | None] = {}
-    for i, chain in enumerate(CHAINS):
+    for n, i in enumerate(chains):
+        chain = CHAINS[i]
         wrong = chain[-1]
         if wrong in SINGLE and wrong not in fits:
             continue
         if len(chain) == 2 and wrong in SINGLE and chain[0] in SINGLE:
-            text = unit.translate(_rereading(chain[0], wrong))
+            text = piece.translate(_rereading(chain[0], wrong))
         else:
             if wrong not in data:
-                data[wrong] = _unread(unit, wrong)
+                data[wrong] = _unread(piece, wrong)
             text = None if data[wrong] is None else _read(data[wrong], chain[-2])
             if text is not None and len(chain) > 2:
                 text = undo(text, chain[:-2])
-        if text is not None and text != unit and not _CONTROL.search(text):
-            out.append((i, text))
+        if text is not None and not _CONTROL.search(text):
+            out.append((n, text))
+    return out
+
+
+def _piece_gains(piece: str, chains: tuple[int, ...], logs: np.ndarray) -> np.ndarray:
+    """What undoing each of ``chains`` on the piece gains; minus infinity where it cannot be undone."""
+    out = np.full(len(chains), -np.inf)
+    options = _candidates(piece, chains)
+    if options:
+        sums = _sums([piece, *(t for _, t in options)], logs)
+        out[[n for n, _ in options]] = sums[1:] - sums[0]
     return out
 
 
-def mend(unit: str, logs: np.ndarray, supported: frozenset[int]) -> tuple[str, float, int]:
+def gains(unit: str, logs: np.ndarray, pieces: dict | None = None) -> np.ndarray:
+    """What undoing each chain on the unit gains; minus infinity where it cannot be undone.
+
+    The sum over the unit's pieces, each with the ASCII characters beside it, is that of the unit: a chain changes
+    nothing else, and no pair with a non-ASCII character lies outside.
+    """
+    total = np.zeros(len(CHAINS))
+    if "\x7f" in unit:
+        return total - np.inf
+    padded = "\n" + unit + "\n\n"
+    for rx, after, chains in ((_RUNS, 1, BY_RUN), (_STRETCHES, 2, BY_STRETCH)):
+        part = np.zeros(len(chains))
+        for m in rx.finditer(padded):
+            key = padded[m.start() - 1 : m.end() + after], after
+            found = pieces.get(key) if pieces is not None else None
+            if found is None:
+                found = _piece_gains(key[0], chains, logs)
+                if pieces is not None and len(key[0]) <= REMEMBERED_CHARS:
+                    if len(pieces) >= REMEMBERED:
+                        pieces.clear()
+                    pieces[key] = found
+            part += found
+        total[list(chains)] = part
+    return total
+
+
+def mend(unit: str, logs: np.ndarray, supported: frozenset[int], pieces: dict | None = None) -> tuple[str, float, int]:
     """(text, gain, chain) of the best change of a unit; chain is -1 if nothing gains enough."""
     masked = _QUOTED.sub(lambda m: "'" * len(m[0]) if not m[0].isascii() else m[0], unit)
     if len(_NON_ASCII.findall(masked)) < (1 - QUOTED_SHARE) * len(_NON_ASCII.findall(unit)):
         return unit, 0.0, -1
-    best = (unit, 0.0, -1)
+    best = (0.0, -1)
     for tried in dict.fromkeys((unit, masked)):
-        options = _candidates(tried)
-        if not options:
-            continue
-        sums = _sums([tried, *(t for _, t in options)], logs)
-        for (i, text), total in zip(options, sums[1:]):
-            gain = float(total - sums[0])
-            if gain > (GAIN if i in supported else GAIN_ALONE) and gain > best[1] + 1e-3:
-                best = (text if tried is unit else undo(unit, CHAINS[i]) or text, gain, i)
-        if best[2] >= 0:
-            break
-    return best
+        each = gains(tried, logs, pieces)
+        for i in np.flatnonzero(each > min(GAIN, GAIN_ALONE)).tolist():
+            gain = float(each[i])
+            if gain > (GAIN if i in supported else GAIN_ALONE) and gain > best[0] + 1e-3:
+                best = (gain, i)
+        if best[1] >= 0:
+            return undo(unit, CHAINS[best[1]]) or undo(tried, CHAINS[best[1]]), *best
+    return unit, 0.0, -1
 
 
-def repair(text: str, logs: np.ndarray, supported: frozenset[int], memo: dict | None = None) -> tuple[bool, int, int, str, str | None]:
+def repair(text: str, logs: np.ndarray, supported: frozenset[int], memo: dict | None = None, pieces: dict | None = None) -> tuple[bool, int, int, str, str | None]:
     """(garbled, units mended, units lost, restored text, commonest chain)."""
     if not text or text.isascii():
         return False, 0, 0, text, None
-    common = logs[_pairs(text)]  # -1 takes the last entry
     out, at, mended, lost, used = [], 0, 0, 0, {}
     for a, b in units(text):
         unit = text[a:b]
@@ -313,12 +352,9 @@ def repair(text: str, logs: np.ndarray, supported: frozenset[int], memo: dict |
         if _LOST in unit and _LOST in _QUOTED.sub("", unit):
             lost += 1
             continue
-        # a unit whose pairs are all common is not worth trying
-        if common[a : b + 1].min() > UNCOMMON:
-            continue
         found = memo.get(unit) if memo is not None else None
         if found is None:
-            found = mend(unit, logs, supported)
+            found = mend(unit, logs, supported, pieces)
             if memo is not None:
                 if len(memo) > 50_000:
                     memo.clear()
@@ -347,10 +383,10 @@ def restore(documents: DataFrame, only_garbled: bool = True) -> DataFrame:
     supported = frozenset(r.chain for r in learn(documents).where(F.col("pairs") >= LEAST_PAIRS).collect())
 
     def make():
-        t, memo = table.value, {}
+        t, memo, pieces = table.value, {}, {}
 
         def row(doc_id, text):
-            garbled, mended, lost, new, encoding = repair(text, t, supported, memo)
+            garbled, mended, lost, new, encoding = repair(text, t, supported, memo, pieces)
             if garbled or not only_garbled:
                 yield doc_id, garbled, mended, lost, encoding, new
 

@@ -62,3 +62,26 @@ def test_pair_table_has_a_fixed_size(spark):
     t = E.pair_frequencies(df)
     assert t.shape == (E.BUCKETS + 1,)
     assert t[-1] == 0 and np.isfinite(t).all()
+
+
+def test_a_hot_source_garbled_one_way_is_found(spark):
+    """Garbled pairs that many documents share are common, and undoing them still gains."""
+    clean = [f"{SENTENCES[i % 2 * 4]} nr {i}" for i in range(400)]
+    hot = [E.garble(f"{SENTENCES[0]} {SENTENCES[4]} nr {i}", ("utf-8", "cp1252")) for i in range(40)]
+    df = spark.createDataFrame([*enumerate(clean), *enumerate(hot, 1000)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in E.restore(df).collect()}
+    assert got == {1000 + i: f"{SENTENCES[0]} {SENTENCES[4]} nr {i}" for i in range(40)}
+
+
+def test_gains_of_pieces_add_up_to_those_of_the_unit():
+    logs = np.append(np.log(np.random.default_rng(1).random(E.BUCKETS) + E.RARE), 0.0)
+    garbled = [g for s in SENTENCES for c in E.CHAINS if (g := E.garble(s, c))]
+    for unit in dict.fromkeys([*SENTENCES, *garbled, "é", "9é8ü7", "\x85é", "é\x7f", "ÃÃ a é1é1é"]):
+        each = E.gains(unit, logs, {})
+        for chain, gain in zip(E.CHAINS, each):
+            text = E.undo(unit, chain)
+            if text is None or E._CONTROL.search(text):
+                assert gain == -np.inf
+            else:
+                want, had = E._sums([text, unit], logs)
+                assert gain == pytest.approx(want - had)
