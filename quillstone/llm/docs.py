@@ -24,13 +24,29 @@ from .syntax import SOURCE_PATH, language_of, parses
 _LINE = r"(?P<line>//[^\n]*)"
 _STATES = {
     "go": re.compile(rf"{_LINE}|(?P<block>{L.BLOCK})|(?P<string>{L.STRING_D}|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)')", re.S),
-    "rust": re.compile(rf"{_LINE}|(?P<block>{L._BLOCK3})|(?P<string>(?<!\w)(?:{L._RAW})|b?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\n]|\\(?:u\{{[0-9a-fA-F_]+\}}|x[0-9a-fA-F]{{2}}|.))')", re.S),
+    "rust": re.compile(rf"{_LINE}|(?P<block>{L._BLOCK3})|(?P<string>(?<!\w)(?:{L._RAW})|b?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\n]|\\(?:u\{{[0-9a-fA-F_]+\}}|x[0-9a-fA-F]{{2}}|.))')|(?P<open>/\*|(?<!\w)b?r\#+\")", re.S),
     "javascript": re.compile(
-        rf"{_LINE}|(?P<block>{L.BLOCK})|(?:=>|&&|\|\||\?\?|===?|!==?|[=(,:\[!&|?{{;+\-*%~^]|\breturn\b|\btypeof\b|\bcase\b)\s*(?P<regex>{L._RE_LITERAL})|(?P<string>{L.STRING_D}|{L.STRING_S}|{L._template(L._template(L._template(None)))})", re.S
+        rf"{_LINE}|(?P<block>{L.BLOCK})|(?:=>|&&|\|\||\?\?|===?|!==?|[=(,:\[!&|?{{;+\-*%~^]|\breturn\b|\btypeof\b|\bcase\b)\s*(?P<regex>{L._RE_LITERAL})|(?P<string>{L.STRING_D}|{L.STRING_S}|{L._TEMPLATE})|(?P<open>`)", re.S
     ),
     "python": re.compile(rf"(?P<line>#[^\n]*)|(?P<string>(?<!\w){L._PY_STRING})", re.S),
 }
 _STATES["typescript"] = _STATES["javascript"]
+#: Language -> the end of what its pattern only opens.
+_ENDS = {"rust": L.rust_end, "javascript": L.template_end, "typescript": L.template_end}
+
+
+def _states(language: str, text: str):
+    """(start, end, kind) of each string, comment and regular expression."""
+    at = 0
+    while m := _STATES[language].search(text, at):
+        kind = m.lastgroup
+        a, at = m.span(kind)
+        if kind == "open":
+            end = _ENDS[language](text, a)
+            if end < 0:
+                continue
+            kind, at = "block" if m[0] == "/*" else "string", end
+        yield a, at, kind
 
 
 def _blank(s: str) -> str:
@@ -40,9 +56,7 @@ def _blank(s: str) -> str:
 def blank(language: str, text: str) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with strings and comments as blanks, the spans blanked with their kind: line, block, string, regex)."""
     out, spans, at = [], [], 0
-    for m in _STATES[language].finditer(text):
-        kind = m.lastgroup
-        a, b = m.span(kind)
+    for a, b, kind in _states(language, text):
         out += [text[at:a], _blank(text[a:b]) if kind not in ("string", "regex") else _filled(text[a:b])]
         spans.append((a, b, kind))
         at = b

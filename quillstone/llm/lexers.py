@@ -1,7 +1,8 @@
 """Source text to token kinds: one character per token, for the grammars of ``languages``.
 
 Each language has one pattern that covers every character of a text; ``findall`` does the scanning and a dictionary
-that remembers seen tokens does the naming.  Comments and blanks get no kind.  Line ends become a virtual semicolon
+that remembers seen tokens does the naming.  What nests without limit (templates, Rust's block comments) or ends in as
+many marks as it begins with (Rust's raw strings) is matched in its plain forms by the pattern and counted otherwise.  Comments and blanks get no kind.  Line ends become a virtual semicolon
 ``VSEMI`` where the language's own rule (Go, ECMAScript) would end a statement, and Python gets NEWLINE/INDENT/DEDENT.
 """
 
@@ -44,20 +45,43 @@ def alphabet(words: str, operators: str, classes: dict[str, str]) -> dict[str, s
 
 
 class Lexer:
-    def __init__(self, pattern: str, classify, finish=None):
-        self.findall = re.compile(pattern, re.S).findall
+    """``opener`` matches a token that only opens what the pattern cannot match; ``close`` (text, start) gives its end or -1."""
+
+    def __init__(self, pattern: str, classify, finish=None, opener: str | None = None, close=None):
+        self.pattern = re.compile(pattern, re.S)
+        self.findall = self.pattern.findall
         self.names = Kinds(classify)
         self.finish = finish
+        self.opens = re.compile(opener).fullmatch if opener else None
+        self.close = close
+
+    def tokens(self, text: str) -> list[str]:
+        found = self.findall(text)
+        if not self.opens or not any(map(self.opens, set(found))):
+            return found
+        out, at = [], 0
+        while at < len(text):
+            for m in self.pattern.finditer(text, at):
+                if self.opens(m[0]):
+                    break
+                out.append(m[0])
+            else:
+                break
+            at = self.close(text, m.start())
+            if at < 0:  # never closed: the token is bad, and so is the text
+                return out + self.findall(text, m.start())
+            out.append(text[m.start() : at])
+        return out
 
     def kinds(self, text: str) -> str:
-        raw = "".join(map(self.names.__getitem__, self.findall(text)))
+        raw = "".join(map(self.names.__getitem__, self.tokens(text)))
         return self.finish(raw) if self.finish else raw
 
     def offset(self, text: str, kinds: str, at: int) -> int:
         """Where in ``text`` the token at position ``at`` of ``kinds`` begins."""
         real = at - sum(kinds.count(v, 0, at) for v in VIRTUAL)
         place = 0
-        for t in self.findall(text):
+        for t in self.tokens(text):
             n = 0 if t[0] == "\n" else sum(c not in VIRTUAL and c != "\n" for c in self.names[t])
             if n > real:
                 break
@@ -117,7 +141,25 @@ _RAW = "|".join(rf'b?r{h}"(?:[^"]{"|\"(?!" + h + ")" if h else ""})*+"{h}' for h
 _BLOCK1 = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
 _BLOCK2 = rf"/\*(?:[^*/]|\*(?!/)|{_BLOCK1}|/(?!\*))*+\*/"
 _BLOCK3 = rf"/\*(?:[^*/]|\*(?!/)|{_BLOCK2}|/(?!\*))*+\*/"
-_RUST_PATTERN = rf"""[ \t\r\n]+|//[^\n]*|{_BLOCK3}|{_RAW}|b?"(?:[^"\\]|\\.)*+"|b?'(?:[^'\\\n]|\\(?:u\{{[0-9a-fA-F_]+\}}|x[0-9a-fA-F]{{2}}|.))'|'[^\W\d]\w*|r\#[^\W\d]\w*|[^\W\d]\w*|(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?!\w)|<<=|\.\.\.|\.\.=|<<|->|=>|::|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|==|!=|<=|\.\.|."""
+_RUST_OPENER = r"/\*|b?r\#+\""
+_RUST_PATTERN = rf"""[ \t\r\n]+|//[^\n]*|{_BLOCK3}|{_RAW}|{_RUST_OPENER}|b?"(?:[^"\\]|\\.)*+"|b?'(?:[^'\\\n]|\\(?:u\{{[0-9a-fA-F_]+\}}|x[0-9a-fA-F]{{2}}|.))'|'[^\W\d]\w*|r\#[^\W\d]\w*|[^\W\d]\w*|(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?!\w)|<<=|\.\.\.|\.\.=|<<|->|=>|::|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|==|!=|<=|\.\.|."""
+
+
+_COMMENT_MARK = re.compile(r"/\*|\*/")
+_RAW_HEAD = re.compile(r'b?r(#+)"')
+
+
+def rust_end(text: str, at: int) -> int:
+    """The place after the nested comment or the raw string that begins at ``at``, or -1."""
+    if m := _RAW_HEAD.match(text, at):
+        end = text.find('"' + m[1], m.end())
+        return end + 1 + len(m[1]) if end >= 0 else -1
+    depth = 0
+    for m in _COMMENT_MARK.finditer(text, at):
+        depth += 1 if m[0] == "/*" else -1
+        if not depth:
+            return m.end()
+    return -1
 
 
 def _rust_kind(t: str) -> str:
@@ -130,7 +172,7 @@ def _rust_kind(t: str) -> str:
         outer = t[:3] == "///" and t[3:4] != "/" or t[:3] == "/**" and t[3:4] not in ("*", "/") and len(t) > 4
         return "d" if outer else ""
     if len(t) > 1 and t[-1] in '"#' and '"' in t:
-        return "s"
+        return BAD if _RAW_HEAD.fullmatch(t) else "s"
     if len(t) > 2 and t[-1] == "'":
         return "c"
     if c == "'":
@@ -140,7 +182,7 @@ def _rust_kind(t: str) -> str:
     return "i" if c == "_" or c.isalpha() else BAD
 
 
-RUST_LEXER = Lexer(_RUST_PATTERN, _rust_kind)
+RUST_LEXER = Lexer(_RUST_PATTERN, _rust_kind, opener=_RUST_OPENER, close=rust_end)
 
 
 # JavaScript and TypeScript -------------------------------------------------------------------------------------
@@ -156,39 +198,51 @@ JS["SEMI"] = ";" + VSEMI
 _JS_CLASSES = {"NUM", "STR", "TPL", "RE", "EOF", "VSEMI", "SUB", "ENDSUB", "NAME", "ID", "WORD", "SEMI"}
 
 
-def _template(inner: str | None) -> str:
-    hole = rf"\$\{{(?:[^{{}}`\"']|{STRING_D}|{STRING_S}|\{{[^{{}}`]*\}}" + (f"|{inner}" if inner else "") + r")*\}"
-    return rf"`(?:[^`\\$]|\\.|\$(?!\{{)|{hole})*`"
-
-
+#: Templates whose holes hold no braces, templates, comments or regular expressions.
+_TEMPLATE = rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{(?:[^{{}}`\"'/]|{STRING_D}|{STRING_S})*+\}})*+`"
 _RE_LITERAL = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*"
 _JS_NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$])"
-_JS_PATTERN = rf"""[ \t\r\f\v\xa0\ufeff]+|\n|//[^\n]*|{BLOCK}|(?:=>|&&|\|\||\?\?|===?|!==?|[=(,:\[!&|?{{;+\-*%~^]|return\b|typeof\b|case\b)\s*{_RE_LITERAL}|(?:[^\W\d]|\$)[\w$]*|{_JS_NUMBER}|{STRING_D}|{STRING_S}|{_template(_template(_template(None)))}|=>|\.\.\.|\?\.(?!\d)|\?\?=?|&&=?|\|\|=?|===?|!==?|\*\*=?|<<=?|[+\-*/%&|^]=|\+\+|--|<=|."""
+_JS_PATTERN = rf"""[ \t\r\f\v\xa0\ufeff]+|\n|//[^\n]*|{BLOCK}|(?:=>|&&|\|\||\?\?|===?|!==?|[=(,:\[!&|?{{;+\-*%~^]|return\b|typeof\b|case\b)\s*{_RE_LITERAL}|(?:[^\W\d]|\$)[\w$]*|{_JS_NUMBER}|{STRING_D}|{STRING_S}|{_TEMPLATE}|=>|\.\.\.|\?\.(?!\d)|\?\?=?|&&=?|\|\|=?|===?|!==?|\*\*=?|<<=?|[+\-*/%&|^]=|\+\+|--|<=|."""
+
+
+_TEMPLATE_MARK = re.compile(r"\\.|`|\$\{", re.S)
+
+
+def template_end(text: str, at: int, holes: list[str] | None = None) -> int:
+    """The place after the template that begins at ``at``, or -1; the expressions in its own ``${}`` go to ``holes``."""
+    depths: list[int] = []  # open braces of each hole that is open
+    code, i, begin = False, at + 1, 0
+    while True:
+        m = JS_LEXER.pattern.match(text, i) if code else _TEMPLATE_MARK.search(text, i)
+        if not m:
+            return -1
+        t, i = m[0], m.end()
+        if t == "`":
+            if not code and not depths:
+                return i
+            code = not code
+        elif not code:
+            if t == "${":
+                i -= 1  # the brace may be one token with the regular expression after it
+                if not depths:
+                    begin = i + 1
+                depths.append(0)
+                code = True
+        elif t[0] == "{":
+            depths[-1] += 1
+        elif t == "}":
+            depths[-1] -= 1
+            if not depths[-1]:
+                depths.pop()
+                code = False
+                if not depths and holes is not None:
+                    holes.append(text[begin : m.start()])
 
 
 def _holes(t: str) -> list[str]:
-    """The expressions inside ``${}`` of a template that the pattern above has matched."""
-    out, depth, i, begin = [], 0, 1, 0
-    marks = re.compile(rf"\\.|\$\{{|[{{}}]|{STRING_D}|{STRING_S}|`", re.S)
-    while m := marks.search(t, i):
-        i = m.end()
-        k = m[0]
-        if depth == 0:
-            if k == "${":
-                depth, begin = 1, i
-            elif k == "`":
-                break
-            elif k[0] in "\"'":
-                i = m.start() + 1
-        elif k == "`":
-            inner = re.compile(_template(_template(None)), re.S).match(t, m.start())
-            i = inner.end() if inner else i
-        elif k in ("{", "${"):
-            depth += 1
-        elif k == "}":
-            depth -= 1
-            if depth == 0:
-                out.append(t[begin : m.start()])
+    """The expressions inside ``${}`` of a template."""
+    out: list[str] = []
+    template_end(t, 0, out)
     return out
 
 
@@ -205,7 +259,7 @@ def _js_kind(t: str) -> str:
     if len(t) > 1 and c in "\"'":
         return "s"
     if len(t) > 1 and c == "`":
-        inner = "".join(SUB + "".join(map(_js_kind, JS_LEXER.findall(h))).replace("\n", "") + ENDSUB for h in _holes(t)) if "${" in t else ""
+        inner = "".join(SUB + "".join(map(_js_kind, JS_LEXER.tokens(h))).replace("\n", "") + ENDSUB for h in _holes(t)) if "${" in t else ""
         return "t" + inner
     if c.isdigit() or c == "." and len(t) > 1:
         return "n"
@@ -228,7 +282,7 @@ def _js_finish(raw: str) -> str:
     return _JS_RETURN.sub(VSEMI, _JS_END.sub(VSEMI, raw)).replace("\n", "")
 
 
-JS_LEXER = Lexer(_JS_PATTERN, _js_kind, _js_finish)
+JS_LEXER = Lexer(_JS_PATTERN, _js_kind, _js_finish, "`", template_end)
 
 
 _JSX_HINT = re.compile(r"</[A-Za-z>]|/>")

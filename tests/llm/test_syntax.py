@@ -107,3 +107,24 @@ def test_operator(spark):
     assert rates["p", "go"] == (1, 0)
     assert rates["q", "python"] == (1, 1)
     assert syntax.syntax_found(df.limit(0)).count() == 0
+
+
+NESTED = [
+    ("javascript", "let a = `${f({a: {b: 1}})}`;"), ("javascript", "let a = `${a.map(x => { return { y: x } })}`;"), ("typescript", "let a = `${list.map((i) => { return `<li>${i}</li>` }).join('')}`;"),
+    ("javascript", "let a = `${`${`${`${`${`${1}`}`}`}`}`}` + 1;"), ("javascript", "let a = `${x /* } */ + 1}`;"), ("javascript", 'let a = `${s.replace(/["`}]/g, "}")}`;'),
+    ("rust", "/* 1 /* 2 /* 3 /* 4 /* 5 */ */ */ */ */ fn f() {}"), ("rust", 'fn f() { let a = r#####"x"####y"#####; }'),
+]
+
+
+@pytest.mark.parametrize(("language", "text"), NESTED)
+def test_nesting_has_no_limit(language, text):
+    from quillstone.llm import docs
+
+    assert syntax.parses(language, text)
+    assert "y" not in docs.blank(language, text)[0]
+    assert len(docs.blank(language, text)[0]) == len(text)
+
+
+@pytest.mark.parametrize(("language", "text"), [("javascript", "let a = `${f({a: 1}`;"), ("javascript", "let a = `${a`;"), ("rust", "/* /* */ fn f() {}"), ("rust", 'fn f() { let a = r#####"x"####; }')])
+def test_what_never_closes_is_invalid(language, text):
+    assert not syntax.parses(language, text)
