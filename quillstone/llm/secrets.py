@@ -36,15 +36,16 @@ _MORE = re.compile(r"""\s*[+,.]?\s*(["'`])((?:[^"'`\\\n]|\\.)+?)\1""")
 _HEADER = re.compile(r"""(?i)["']?(?P<name>(?:x-)?[\w-]*(?:auth|token|key|secret)[\w-]*):[ ]*(?P<value>[^\s"'<>]{6,})(?=["'])""")
 _BARE_ASSIGN = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?(?P<name>[A-Za-z_][\w.-]{1,60})[ \t]*(?:=|:[ \t])[ \t]*(?P<value>[^\s\"'`<>{}()\[\],;#|&][^\s\"'`<>{}()\[\],;]{3,})[ \t]*\r?$")
 _BLOCK_ASSIGN = re.compile(r"^([ \t]*)(?P<name>[A-Za-z_][\w.-]{1,60}):[ \t]*[|>][+-]?[ \t]*\r?\n\1[ \t]+(?P<value>\S{6,})[ \t]*\r?$", re.M)
-_CALL = re.compile(r"""(?i)(?:set_?auth|login|authenticate|with_?auth|basic_?auth|connect|set_?credentials?|set_?password|set_?token|with_?token|with_?password)\w*\s*\((?P<args>[^()\n]{4,200})\)""")
+_CALL = re.compile(r"""(?i)(?:set_?auth|login|authenticate|with_?auth|basic_?auth|connect|set_?credentials?|set_?password|set_?token|with_?token|with_?password)\w*\s*\((?P<args>[^()\n]{4,}+)\)""")
 #: A value that a comment or a sentence tells: after a colon, a slash or "with", or between backticks.
 _TOLD = re.compile(r"""(?i)(?:log ?in|sign(?:ed)? in|token|password|passwd|secret|vault|credential|api key|auth)\b[^\n"'`=]{0,60}?(?::|/|with|is|`)\s*[`"']?(?P<value>[^\s`"'<>]{8,})[`"']?""")
 _PROSE = re.compile(r"^\s*(?://|#|\*|--|;|/\*|[A-Z][a-z]+ )")
 _ARGUMENT = re.compile(r"""(["'`])((?:[^"'`\\\n]|\\.){6,}?)\1""")
 _FLAG = re.compile(r"""(?:(?:^|\s)(?:-p|--password|--token|--secret|--api-key)(?:[ =]))(?P<q>["']?)(?P<value>[^\s"']{6,})(?P=q)|(?:\s-u|--user)[ =]["']?[\w.-]+:(?P<q2>["']?)(?P<value2>[^\s"']{6,})(?P=q2)""")
 _BEARER = re.compile(r"(?i)\b(?P<kind>bearer|basic|token)[ ]+(?P<value>[A-Za-z0-9+/=_.~-]{12,})")
-_USERINFO = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@\"'<>$]{0,40}:(?P<value>[^\s/@\"'<>]{3,80})@[\w.\[-]")
-_QUERY = re.compile(r"(?i)https?://[^\s\"'<>]{3,200}?[?&](?:key|sig|signature|access_token|token|api_?key|secret|password|auth|code|client_secret)=(?P<value>[^\s&\"'<>]{6,})")
+_USERINFO = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@\"'<>$]*+:(?P<value>[^\s/@\"'<>]{3,}+)@[\w.\[-]")
+_URL = re.compile(r"(?i)https?://[^\s\"'<>]{3}(?P<rest>[^\s\"'<>]*)")
+_QUERY = re.compile(r"(?i)[?&](?:key|sig|signature|access_token|token|api_?key|secret|password|auth|code|client_secret)=(?P<value>[^\s&\"'<>]{6,})")
 _HOOK = re.compile(r"https?://[\w.-]*hooks?[\w.-]*/[\w/-]*?/(?P<value>[A-Za-z0-9]{18,})")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<value>(?:(?!-----END)[\s\S])*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)")
 #: Public prefixes of providers' tokens, and the shape of a signed web token.
@@ -57,13 +58,15 @@ _PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|-+|_+|0{4,}|1234\w*|chan
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 _DIGEST = re.compile(r"(?i)^(?:sha\d+[-:]|md5[-:]|ssh-(?:rsa|ed25519|dss)\b|ecdsa-|data:|urn:|-----BEGIN (?:PUBLIC|CERT))")
 _WORDY = re.compile(r"^[A-Za-z]+(?:[ _./:#-][A-Za-z]+)*$")
-#: A line is looked at if, in small letters, it holds a secret's word or the form of a carrier.
+#: A line is looked at if, in small letters, it holds a secret's word or the form of a carrier: each alternative of each rule
+#: that ``_in_line`` applies holds one of these, or ``_LONG_TAIL``.
 _HINTS = (
-    "pass", "pw", "secret", "token", "key", "auth", "bearer", "basic ", "credential", "cookie", "webhook", "salt", "hmac", "jwt", "smtp", "admin", "login", "log in", "sign in", "signed in", "vault", "://",
-    "akia", "asia", "agpa", "aroa", "aida", "eyj", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_", "rk_", "pk_", "xox", "xapp-", "aiza", "npm_", "sg.", "hf_", "connect", "-u ", "--user", "-p ", "--",
+    "pass", "pw", "secret", "token", "key", "auth", "bearer", "basic ", "credential", "cookie", "webhook", "salt", "hmac", "jwt", "smtp", "admin", "login", "log in", "sign in", "signed in", "vault", "://", "pat",
+    "akia", "asia", "agpa", "aroa", "aida", "eyj", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_", "rk_", "pk_", "xox", "xapp-", "aiza", "npm_", "sg.", "hf_", "connect", "-u ", "-u=", "-p ", "-p=", "--",
 )
 #: Literals in small letters are found by their first characters, many times faster than regardless of case.
 _HINT = re.compile("|".join(map(re.escape, sorted(_HINTS))))
+_FOLDED = {0x130: "i", 0x131: "i", 0x17F: "s"}
 _LONG_TAIL = re.compile(r"[_-][a-z0-9]{20}")
 
 
@@ -72,6 +75,8 @@ def _hinted(text: str) -> list[int]:
     low = text.lower()
     if len(low) != len(text):  # a few letters become two
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if not low.isascii():  # letters that patterns without case take for i and s
+        low = low.translate(_FOLDED)
     starts: set[int] = set()
     for rx in (_HINT, _LONG_TAIL):
         at = 0
@@ -82,9 +87,6 @@ def _hinted(text: str) -> list[int]:
     return sorted(starts)
 
 
-_SOLID = re.compile(r"[^\s\"'`]*(?:\d|[a-z][A-Z])[^\s\"'`]*")
-
-
 @cache
 def tokenizer(path: str | None = None):
     """tiktoken's encoding over a public vocabulary file; ``path`` is the directory of the files or None for the installed one."""
@@ -148,9 +150,10 @@ def _in_line(text: str, line: int, end: int, tokenizers: str | None, found: list
         for m in _USERINFO.finditer(part):
             if not _stands_for_value(m["value"]):
                 add(m, "value", "url_password")
-        for m in _QUERY.finditer(part):
-            if not _stands_for_value(m["value"]) and unnatural(m["value"], tokenizers):
-                add(m, "value", "url_key")
+        for url in _URL.finditer(part):
+            for m in _QUERY.finditer(part, *url.span("rest")):
+                if not _stands_for_value(m["value"]) and unnatural(m["value"], tokenizers):
+                    add(m, "value", "url_key")
         for m in _HOOK.finditer(part):
             if unnatural(m["value"], tokenizers):
                 add(m, "value", "webhook")
@@ -205,8 +208,7 @@ def find(text: str, tokenizers: str | None = None) -> list[tuple[int, int, str]]
     for line in _hinted(text):
         end = text.find("\n", line)
         end = len(text) if end < 0 else end
-        if any(len(x[0]) >= 6 for x in _SOLID.finditer(text, line, end)):
-            _in_line(text, line, end, tokenizers, found)
+        _in_line(text, line, end, tokenizers, found)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for x in found:

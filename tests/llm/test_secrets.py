@@ -71,3 +71,26 @@ def test_tokenizer_path_is_a_parameter():
 
     folder = public_tokenizers.path(S.VOCABULARY).rsplit("/", 1)[0]
     assert S.chars_per_subword("refresh the configuration", folder) > S.UNNATURAL > S.chars_per_subword("hYT6mGds8v2Rr0sG8fqOwBDj", folder)
+
+RANDOM = "q7ZkX2vRb9TnLw4HsJd8YcFg3MpQe6UaVt5BxKrWzN1oSiDlCyGh"
+#: One line or more for each rule and each alternative of it.
+CARRIED = [
+    (f"AZURE_PAT={RANDOM}", RANDOM), (f'gh_pat = "{RANDOM}"', RANDOM), (f"mysql -p={RANDOM}", RANDOM), (f"curl -u=ops:{RANDOM} x", RANDOM), (f'paſſwd = "{RANDOM}"', RANDOM),
+    (f"u = https://blob.example/{'part/' * 60}x?se=2025&sig={RANDOM}", RANDOM), (f"https://a.example/x?token={RANDOM}&sig={RANDOM[::-1]}", RANDOM[::-1]), (f"git clone https://bot:{RANDOM * 3}@git.example/x", RANDOM * 3),
+    (f"git clone https://{'bot' * 20}:{RANDOM}@git.example/x", RANDOM), (f'client.login("ops", "{RANDOM * 5}")', RANDOM * 5), ("dsn = postgres://svc:hunterly@db.example/a", "hunterly"), ('token = "abcdefabcdeffedcba"', "abcdefabcdeffedcba"),
+]
+
+
+@pytest.mark.parametrize(("text", "value"), CARRIED)
+def test_prefilter_and_windows_lose_nothing(text, value):
+    assert S._hinted(text) == [0]
+    assert value in [text[a:b] for a, b, _ in S.find(text)]
+
+
+def test_every_word_of_a_name_is_a_hint():
+    words = "pass passwd password passphrase passwrd pw pwd passw secret token api_key apikey access_key encrypt_key encryption_key sign_key signing_key deploy_key private_key shared_key master_key auth_key service_key account_key license_key x-api-key authorization auth credential credentials cookie session_key client_secret webhook salt hmac bearer jwt pat admin_pa admin_pas admin_pass smtp_pw smtp_pass smtp_p key".split()
+    flags = ["-p ", "-p=", "--password=", "--token ", "--secret=", "--api-key=", "-u ", "-u=", "--user="]
+    for head in [w for w in words if S._SECRET_NAME.search(w)] + flags + ["AKIA", "ghp_", "github_pat_", "glpat-", "sk_live_", "xoxb-", "xapp-1-", "AIza", "npm_", "SG.", "hf_", "eyJ", "bearer ", "basic ", "token ", "https://", "acme_Ab1cdefghijklmnopqrst"]:
+        assert S._hinted(head.upper() if head in words else head) == [0], head
+    for line in [t for t, _ in FOUND if "\n" not in t]:
+        assert S._hinted(line) == [0], line
