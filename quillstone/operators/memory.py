@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import escaped_headers, note_markdown, note_provider, slug
@@ -16,27 +16,33 @@ def long_enough(turns: DataFrame, least_bytes: int) -> DataFrame:
     return turns.where((F.octet_length("content") >= least_bytes) | ~F.col("role").eqNullSafe(F.lit("user")))
 
 
-#: Turns that one text of a session holds.
-PART_TURNS = 5_000
-
-
-def session_markdown(turns: DataFrame, least_bytes: int = 0, part_turns: int = PART_TURNS) -> DataFrame:
+def session_markdown(turns: DataFrame, least_bytes: int = 0, part_turns: int | None = None) -> DataFrame:
     """(session_id, path, content): each session as one Markdown text, turns in order of their ordinal.
 
     Any role but ``user`` is headed Assistant.  Headers in turns are escaped, so sections are the turns.  Re-sent turns
-    count once; turns without text are left out.  A session with ordinals from ``part_turns`` on comes in several texts,
-    each with a head of its own, so that no row or task grows with a session.
+    count once; turns without text are left out.  With ``part_turns`` a session comes in several texts, cut at multiples
+    of that ordinal: the head of each tells of the whole session, and a string is listed in the first that has it.
     """
     kept = long_enough(latest(turns, "turn_id", "exported_at").where(F.length("content") > 0), least_bytes)
     label = F.when(F.col("role") == "user", "User").otherwise("Assistant")
-    one = F.struct("ordinal", "turn_id", F.concat(F.lit("### "), label, F.lit("\n\n"), escaped_headers(F.col("content")), F.lit("\n\n")).alias("text"), "content")
-    part = F.floor(F.greatest(F.coalesce("ordinal", F.lit(0)), F.lit(0)) / part_turns)
-    grouped = kept.groupBy("session_id", part.alias("part")).agg(F.sort_array(F.collect_list(one)).alias("turns"), F.max("provider").alias("provider"), F.sum(F.octet_length("content")).alias("bytes"))
-    strings = F.array_distinct(F.col("turns.content"))
+    one = F.struct("ordinal", "turn_id", F.concat(F.lit("### "), label, F.lit("\n\n"), escaped_headers(F.col("content")), F.lit("\n\n")).alias("text"), "content", "fresh")
+    of_session = [F.max("provider").alias("provider"), F.sum(F.octet_length("content")).alias("bytes"), F.count("*").alias("n")]
+    listed_turns = F.sort_array(F.collect_list(one)).alias("turns")
+    if part_turns is None:
+        grouped = kept.withColumn("fresh", F.lit(True)).groupBy("session_id", F.lit(0).alias("part")).agg(listed_turns, *of_session)
+    else:
+        part = F.floor(F.greatest(F.coalesce("ordinal", F.lit(0)), F.lit(0)) / part_turns)
+        first = Window.partitionBy("session_id", "content").orderBy(part, "ordinal", "turn_id")
+        marked = kept.withColumn("fresh", F.row_number().over(first) == 1)
+        # aggregated before the parts are formed
+        totals = marked.groupBy(F.col("session_id").alias("_session")).agg(*of_session, F.count_if("fresh").alias("k"))
+        grouped = marked.groupBy("session_id", part.alias("part")).agg(listed_turns).join(totals, F.col("session_id").eqNullSafe(F.col("_session")))
+    strings = F.array_distinct(F.filter("turns", lambda x: x["fresh"])["content"])
+    k = F.size(strings) if part_turns is None else F.col("k")
     head = F.concat(
         F.lit("# Chat trajectory: "), F.col("session_id"), F.lit("\n\n- **Provider:** "), F.coalesce("provider", F.lit("")),
-        F.lit("\n- **Decrypted size:** "), F.col("bytes").cast("string"), F.lit(" bytes\n- **Dialogue turns:** "), F.size("turns").cast("string"),
-        F.lit("\n- **Extracted strings:** "), F.size(strings).cast("string"), F.lit("\n\n---\n\n"),
+        F.lit("\n- **Decrypted size:** "), F.col("bytes").cast("string"), F.lit(" bytes\n- **Dialogue turns:** "), F.col("n").cast("string"),
+        F.lit("\n- **Extracted strings:** "), k.cast("string"), F.lit("\n\n---\n\n"),
     )
     body = F.concat(F.lit("## Dialogue\n\n"), F.array_join(F.col("turns.text"), ""))
     tail = F.concat(F.lit("## All extracted strings\n\n"), F.array_join(F.transform(strings, lambda x: F.concat(escaped_headers(x), F.lit("\n\n"))), ""))

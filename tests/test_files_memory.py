@@ -107,3 +107,16 @@ def test_notes(spark):
     assert "Tags" not in made[3].content
     assert {r.provider for r in memory.listed(memory.note_files(notes)).collect()} == {"cursor", "cascade"}
     assert memory.listed(memory.note_files(notes), "cursor").count() == 1
+
+
+def test_a_long_session_is_one_text(spark):
+    t = dt.datetime(2025, 1, 1)
+    rows = [(i, "s", "cascade", ordinal, "user", text, t) for i, (ordinal, text) in enumerate([(0, "hi"), (5_000, "hi"), (12_000, "yo"), (None, "so")])]
+    turns = spark.createDataFrame(rows, TURN)
+    (whole,) = memory.session_markdown(turns).collect()
+    assert whole.path == "/memory/chats/s.md"
+    assert "**Decrypted size:** 8 bytes\n- **Dialogue turns:** 4\n- **Extracted strings:** 3\n" in whole.content
+    parts = memory.session_markdown(turns, part_turns=5_000).orderBy("path").collect()
+    assert [r.path for r in parts] == ["/memory/chats/s-1.md", "/memory/chats/s-2.md", "/memory/chats/s.md"]
+    assert all("**Decrypted size:** 8 bytes\n- **Dialogue turns:** 4\n- **Extracted strings:** 3\n" in r.content for r in parts)
+    assert sum(r.content.partition("## All extracted strings")[2].count("hi\n") for r in parts) == 1
