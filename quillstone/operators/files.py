@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.glob import glob_regex
 from ..functions.text import line_range, lines, under
 
-#: Files above this size, in bytes, are not searched.
+#: Files above this size, in bytes, are not searched unless the caller lifts the limit.
 GREP_BYTES = 1 << 20
 GREP_K, TREE_DEPTH, RECENT_MINUTES = 20, 3, 60
 
 
-def grep(files: DataFrame, query: str, regex: bool = False, root: str | None = None) -> DataFrame:
+def grep(files: DataFrame, query: str, regex: bool = False, root: str | None = None, most_bytes: int | None = GREP_BYTES) -> DataFrame:
     """(path, line, content) of each line that holds ``query``, or that the expression ``query`` matches.
 
-    Case counts.  A text with a zero character in its first 512, or above 1 MiB, is not searched.  The lines are
-    filtered before they leave the array, so only matches are made rows.
+    Case counts.  A text with a zero character in its first 512, or above ``most_bytes`` (None: no limit), is not
+    searched.  The lines are filtered before they leave the array, so only matches are made rows.
     """
-    rows = files.where(F.col("content").isNotNull() & (F.octet_length("content") <= GREP_BYTES) & ~F.contains(F.left("content", F.lit(512)), F.lit("\0")))
+    rows = files.where(F.col("content").isNotNull() & ~F.contains(F.left("content", F.lit(512)), F.lit("\0")))
+    if most_bytes is not None:
+        rows = rows.where(F.octet_length("content") <= most_bytes)
     if root:
         rows = rows.where(under(F.col("path"), F.lit(root)))
     if not regex:
@@ -33,9 +35,9 @@ def grep(files: DataFrame, query: str, regex: bool = False, root: str | None = N
     return found.select("path", "m.line", "m.content")
 
 
-def grep_top(files: DataFrame, query: str, k: int = GREP_K, regex: bool = False, root: str | None = None) -> DataFrame:
+def grep_top(files: DataFrame, query: str, k: int = GREP_K, regex: bool = False, root: str | None = None, most_bytes: int | None = GREP_BYTES) -> DataFrame:
     """The first ``k`` matches in order of path and line."""
-    return grep(files, query, regex, root).orderBy("path", "line").limit(k if k > 0 else GREP_K)
+    return grep(files, query, regex, root, most_bytes).orderBy("path", "line").limit(k if k > 0 else GREP_K)
 
 
 def context(files: DataFrame, start: int = 0, end: int = 0) -> DataFrame:

@@ -137,8 +137,10 @@ def unified(legs: dict[str, DataFrame], k: int = DEFAULT_K) -> DataFrame:
     return once.orderBy(F.desc("score"), "path", "start_line").limit(k if k > 0 else DEFAULT_K)
 
 
-def memory_search(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, provider: str = "cascade") -> DataFrame:
-    """The best hit of each remembered file, with a preview: 2k candidates, one per path, k of them."""
+def memory_search(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, provider: str = "cascade", exact: bool = False) -> DataFrame:
+    """The best hit of each remembered file, with a preview: 2k candidates, one per path, k of them; with ``exact`` all are candidates."""
     rows = vectors.where(F.col("project_id") == F.concat(F.lit("memory-"), F.lit(provider)))
-    hits = best_per_path(top_k(scored(rows, query), k * OVERFETCH))
+    k = k if k > 0 else DEFAULT_K
+    hits = scored(rows, query)
+    hits = best_per_path(hits if exact else top_k(hits, k * OVERFETCH))
     return hits.withColumn("content", preview(F.col("content"))).orderBy(F.desc("score"), "path").limit(k)

@@ -295,17 +295,17 @@ def _files(spark, d):
 
 @_query(f"WITH {_LINES} SELECT path, line, content FROM l WHERE contains(content, 'retrying')")
 def grep_substring(spark, d):
-    return fs.grep(_files(spark, d), "retrying")
+    return fs.grep(_files(spark, d), "retrying", most_bytes=None)
 
 
 @_query(f"WITH {_LINES} SELECT path, line, content FROM l WHERE regexp_matches(content, 'func [A-Z][a-z]+')")
 def grep_regex(spark, d):
-    return fs.grep(_files(spark, d), "func [A-Z][a-z]+", regex=True)
+    return fs.grep(_files(spark, d), "func [A-Z][a-z]+", regex=True, most_bytes=None)
 
 
 @_query(f"WITH {_LINES} SELECT path, line, content FROM l WHERE contains(content, 'TODO') ORDER BY path, line LIMIT 20")
 def grep_topk(spark, d):
-    return fs.grep_top(_files(spark, d), "TODO")
+    return fs.grep_top(_files(spark, d), "TODO", most_bytes=None)
 
 
 @_query("SELECT DISTINCT path, array_to_string(string_split(content, chr(10))[3:8], chr(10)) AS content FROM files WHERE content IS NOT NULL AND len(string_split(content, chr(10))) >= 3")
@@ -434,7 +434,7 @@ def memory_topk(spark, d):
     m = memory.session_markdown(table(spark, d, "turns"))
     f = m.select(F.lit("memory-cascade").alias("project_id"), "path", F.lit("").alias("file_hash"), F.lit("markdown").alias("language"), "content")
     s = chunking.sections(f).withColumn("chunk_id", fb.chunk_id(F.col("path"), F.col("content")))
-    return search.memory_search(e.embed(s), e.query("stale cursor timeout"), 10).select("path", "symbol", "start_line", "score", "content")
+    return search.memory_search(e.embed(s), e.query("stale cursor timeout"), 10, exact=True).select("path", "symbol", "start_line", "score", "content")
 
 
 _SLUG = "CASE WHEN s = '' THEN 'note' ELSE s END"

@@ -120,3 +120,9 @@ def test_a_long_session_is_one_text(spark):
     assert [r.path for r in parts] == ["/memory/chats/s-1.md", "/memory/chats/s-2.md", "/memory/chats/s.md"]
     assert all("**Decrypted size:** 8 bytes\n- **Dialogue turns:** 4\n- **Extracted strings:** 3\n" in r.content for r in parts)
     assert sum(r.content.partition("## All extracted strings")[2].count("hi\n") for r in parts) == 1
+
+
+def test_grep_without_a_limit(table):
+    big = table.limit(1).withColumn("content", F.concat(F.lit("needle"), F.repeat(F.lit("x"), 1 << 20)))
+    assert files.grep(big, "needle", most_bytes=None).count() == 1
+    assert files.grep_top(big, "needle", most_bytes=None).count() == 1

@@ -96,3 +96,12 @@ def test_symbols(spark):
     blocks = symbols.symbol_index(hot, 1_000).collect()
     assert len(blocks) == 3
     assert sum(b.places for b in blocks) == 2_500
+
+
+def test_memory_search_can_be_exact(spark):
+    rows = [(f"c{i:02}", "memory-cascade", "/hot", i, "x", [1.0, 0.0]) for i in range(20)] + [(f"d{i:02}", "memory-cascade", f"/p{i}", 0, "x", [0.5, 0.0]) for i in range(12)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, project_id string, path string, start_line int, content string, embedding array<double>")
+    assert search.memory_search(vectors, [1.0, 0.0], 10).count() == 1
+    got = search.memory_search(vectors, [1.0, 0.0], 10, exact=True).collect()
+    assert len(got) == 10
+    assert got[0].path == "/hot"
