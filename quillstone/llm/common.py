@@ -48,6 +48,15 @@ def map_rows(df: DataFrame, inputs: list[str | Column], schema: str, make: Calla
     return df.select(*inputs).mapInArrow(run, schema)
 
 
-def project_of(project: str = "project_id", path: str = "path") -> Column:
-    """The project of a file: its column, or where that is null the directory below the root that the path names."""
-    return F.coalesce(F.col(project), F.nullif(F.regexp_extract(F.col(path), r"^/srv/(?:src|docs)/([^/]+)/", 1), F.lit("")))
+def project_of(layout: str | None = None, project: str = "project_id", path: str = "path") -> Column:
+    """The project of a file: its column, or where that is null what the group of ``layout`` finds in the path."""
+    if layout is None:
+        return F.col(project)
+    return F.coalesce(F.col(project), F.nullif(F.regexp_extract(F.col(path), layout, 1), F.lit("")))
+
+
+def rel_of(layout: str | None = None, rel: str = "rel_path", path: str = "path") -> Column:
+    """The path below the project: its column, or where that is null what follows ``layout`` in the path."""
+    if layout is None:
+        return F.col(rel)
+    return F.coalesce(F.col(rel), F.nullif(F.regexp_replace(F.col(path), layout, ""), F.col(path)))

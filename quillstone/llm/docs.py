@@ -449,20 +449,20 @@ def _make():
     return row
 
 
-def pairs(files: DataFrame) -> DataFrame:
+def pairs(files: DataFrame, layout: str | None = None) -> DataFrame:
     """One row per documented function of each delivered row of ``files`` (file_id, project_id, path, content).
 
     Null content or path, other extensions and files that do not parse give no row; repeated rows give repeated rows;
     further columns are ignored.
     """
     source = files.where(F.col("path").rlike(SOURCE_PATH) & (F.length("content") > 0))
-    return map_rows(source, ["file_id", "path", project_of().alias("project"), "content"], PAIRS, _make)
+    return map_rows(source, ["file_id", "path", project_of(layout).alias("project"), "content"], PAIRS, _make)
 
 
 def pairs_found(files: DataFrame) -> DataFrame:
     return pairs(files).select("file_id", "line_no", "symbol").distinct()
 
 
-def pairs_once(files: DataFrame) -> DataFrame:
+def pairs_once(files: DataFrame, layout: str | None = None) -> DataFrame:
     """The pairs with re-sent files counted once."""
-    return pairs(files).dropDuplicates(["file_id", "line_no", "symbol"])
+    return pairs(files, layout).dropDuplicates(["file_id", "line_no", "symbol"])

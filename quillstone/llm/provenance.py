@@ -1,46 +1,53 @@
 """Problem 2: generated, minified, third-party and bulk-data files.
 
-Three sources of evidence, then patterns:
+Patterns decide; what they are mined from are labels:
 
 * repository attribute files (``.gitattributes``) that mark paths ``linguist-generated`` or ``linguist-vendored``; the
-  deepest directory wins, within a file the last line;
-* the content: a marker comment of a generator, the density of minified code, literals without code, a copyright of
-  another project, and 5-word shingles shared with the published files of a library;
-* path patterns mined from all paths: a directory, a pair of directories, a directory over a version, a file-name
-  affix.  A pattern is kept if enough of its files, in several projects, are marked or show evidence.  Kept patterns
-  decide the files of projects that declare nothing.
+  deepest directory wins, within a file the last line.  Below them all stand ``DEFAULT_ATTRIBUTES``, lines of the same
+  form with the names that tools and package managers are known to give;
+* the content: the public marker of a generator, a notice that names another project, the density of minified code,
+  literals without code, and 5-word shingles shared with the published files of a library.
+
+Patterns are mined from the paths (a directory, a pair of directories, a directory over a version, a file-name affix),
+from the first words of the comment lines, and from the shape of the text.  A pattern is kept if enough of
+its files, in several projects, carry a label.  Kept patterns decide the files of projects that declare nothing; a file
+that no pattern meets is decided by its own labels.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from functools import cache
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
-from .common import map_rows, project_of
+from .common import map_rows, project_of, rel_of
 
 #: A mined pattern needs this many files with evidence, in this many projects, and this share of all its files.
 LEAST_FILES, LEAST_PROJECTS, LEAST_SHARE = 8, 5, 0.4
 #: A pair of directories is an exception from a pattern of one of the two if its share is this part of the pattern's or less.
 EXCEPTION_FILES, EXCEPTION_PROJECTS, EXCEPTION_SHARE = 5, 3, 0.2
-#: Containment of 5-word shingles from which a file is a copy, shingles a file must have, share of telling lines from which shingles are compared.
-COPY, LEAST_SHINGLES, LINES_AGREE = 0.8, 20, 0.25
-#: Bytes of published files up to which they are sent to every task; beyond, copies are found by a join.
-UPSTREAM_BYTES = 64 << 20
+#: The same share for the first words of a comment line: only part of the files that bear them have a label of another kind.
+LINE_SHARE = 0.25
+#: Words of a shingle, containment from which a file is a copy, shingles below which two texts must agree as a whole.
+WORDS, COPY, WHOLE = 5, 0.8, 20
+#: Bits of the filter that passes over shingles of no published file; its size does not depend on how many there are.
+FILTER_BITS = 1 << 25
+#: Parts into which a shingle that many files share is split.
+SALT = 16
 SOURCE = re.compile(r"\.(?:go|py|js|mjs|cjs|jsx|ts|tsx|rs|css|java|c|cc|cpp|h|rb|php|kt|swift)$")
 
 _COMMENT = r"^[ \t]*(?://+!?|#+!?|/\*+!?|\*+|<!--|--|;+|%|\"\"\"|''')?[ \t]*"
-#: What generators write as a comment of its own at the head of their output.
+#: The public conventions by which generators mark their output, in a comment of its own at the head.
 _MARKER = re.compile(
-    r"(?im)^[ \t]*(?://+!?|#+|/\*+!?|\*+|<!--|--|;+|\"\"\"|''')[ \t]*(?:"
+    r"(?im)^[ \t]*(?://+!?|#+|/\*+!?|\*+|<!--|--|;+|\"\"\"|\'\'\')[ \t]*(?:"
     r"code generated by\b|(?:auto-?matically |auto-?|machine[- ])generated\b|auto-?generated\b|@generated\b|<auto-generated>"
     r"|generated by (?:the )?\S+(?: \S+)? (?:compiler|generator|tool|codegen)\b|generated by \S+[^\n]*do not (?:edit|modify)|generated (?:from|file)\b"
-    r"|this (?:file|code|is) (?:was |is |has been )?(?:auto-?matically |auto-?)?(?:generated|machine output|machine[- ]generated|created automatically)\b|this is machine output\b"
-    r"|do not (?:edit|modify) this file\b|(?:warning|note|attention)[:!] ?(?:this file (?:is|was) )?(?:auto)?(?:-?generated|do not edit)"
-    r"|diese datei wurde (?:automatisch )?[^\n]{0,60}(?:erzeugt|generiert)|(?:automatisch|maschinell) (?:erzeugt|generiert)|(?:ce fichier a été |fichier )généré (?:automatiquement|par)|archivo generado (?:automáticamente|por)"
+    r"|this (?:file|code|is) (?:was |is |has been )?(?:auto-?matically |auto-?)?generated\b|do not (?:edit|modify) this file\b"
     r")"
 )
 _LEAD = r"^[ \t]*(?://+!?|#+|/?\*+!?|--|;+)[ \t]*"
@@ -50,11 +57,34 @@ _HOLDER = re.compile(
     rf"|this file is part of (?:the )?([\w.-]+?)[,. ]|(?:copied|imported|vendored|taken|adapted)(?: unchanged| verbatim)? from (?:the )?([\w.-]+) v?\d"
     rf"|([\w.-]+) v?\d+(?:\.\d+)+ [-|(–] ?(?:https?://|MIT|BSD|Apache|ISC|MPL)|released under the [\w. -]+ license, \(c\) (?:\d{{4}} )?(?:the )?([\w.-]+)|([\w.-]+) is free software\b)"
 )
-#: Names that tools and package managers are known to give to what they write or fetch.
-_CONVENTION = re.compile(
-    r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h|rs)|_pb\.(?:js|ts)|\.min\.(?:js|mjs|css)|\.generated\.\w+|\.g\.(?:dart|cs)|_generated\.go|_gen\.go|\.gen\.\w+)$|(?:^|/)zz_generated[_.]"
-    r"|(?:^|/)(?:node_modules|bower_components|site-packages|Godeps/_workspace|__generated__|vendor/[\w-]+\.[a-z]+)/"
-)
+#: Names that tools and package managers are known to give to what they write or fetch, as attribute lines.
+DEFAULT_ATTRIBUTES = """
+*_pb2.py linguist-generated
+*_pb2.pyi linguist-generated
+*_pb2_grpc.py linguist-generated
+*.pb.go linguist-generated
+*.pb.cc linguist-generated
+*.pb.h linguist-generated
+*.pb.rs linguist-generated
+*_pb.js linguist-generated
+*_pb.ts linguist-generated
+*.min.js linguist-generated
+*.min.mjs linguist-generated
+*.min.css linguist-generated
+*.generated.* linguist-generated
+*.gen.* linguist-generated
+*.g.dart linguist-generated
+*.g.cs linguist-generated
+*_generated.go linguist-generated
+*_gen.go linguist-generated
+zz_generated[_.]* linguist-generated
+**/__generated__/** linguist-generated
+**/node_modules/** linguist-vendored
+**/bower_components/** linguist-vendored
+**/site-packages/** linguist-vendored
+**/Godeps/_workspace/** linguist-vendored
+**/vendor/*.*/** linguist-vendored
+"""
 _NOT_CODE = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|^[ \t]*[A-Za-z0-9+/=]{40,}[ \t]*\r?$|[-+]?\b\d[\w.]*|[\s,:;{}\[\]()+=]|\b(?:null|true|false|None|True|False|export|const|var|let|pub|static)\b", re.M)
 
 
@@ -84,54 +114,130 @@ def foreign(text: str, project: str | None) -> bool:
     return bool(project) and any(next(filter(None, m.groups())).lower() != project.lower() for m in _HOLDER.finditer(text, 0, head))
 
 
-def shingles(text: str) -> set[int]:
-    words = re.findall(r"\w+|[^\w\s]", text)
-    return {zlib.crc32(" ".join(words[i : i + 5]).encode()) | (zlib.adler32(" ".join(words[i : i + 5]).encode()) & 0x7FFFFFFF) << 32 for i in range(max(0, len(words) - 4))}
-
-
-def _lines(text: str) -> set[str]:
-    return {x for x in (y.strip() for y in text.split("\n")) if len(x) > 12}
-
-
-class Published:
-    """The published files of libraries, ready for comparison."""
-
-    def __init__(self, rows):
-        self.home = [r["home_project"] for r in rows]
-        self.sets = [shingles(r["content"] or "") for r in rows]
-        # lines that tell a library, those that no other library has, with the files they stand in
-        places: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            for x in _lines(r["content"] or ""):
-                places.setdefault(x, []).append(i)
-        self.lines = {x: found for x, found in places.items() if len({rows[i]["lib_name"] for i in found}) == 1}
-        self.telling = [0] * len(rows)
-        for found in self.lines.values():
-            for i in found:
-                self.telling[i] += 1
-        self.of: dict[int, list[int]] = {}
-        for i, s in enumerate(self.sets):
-            for h in s:
-                self.of.setdefault(h, []).append(i)
-
-    def copied(self, text: str, project: str | None) -> bool:
-        """Whether the text holds most of a published file, or most of it is one, outside the library's home project."""
-        # where 4 shingles in 5 agree, two lines in three do at least, so a quarter of the telling ones misses no copy
-        own = _lines(text)
-        lines: dict[int, int] = {}
-        for x in own & self.lines.keys():
-            for i in self.lines[x]:
-                lines[i] = lines.get(i, 0) + 1
-        if not any(n >= max(2, LINES_AGREE * min(len(own), self.telling[i])) for i, n in lines.items()):
-            return False
-        mine = shingles(text)
-        if len(mine) < LEAST_SHINGLES:
-            return False
-        shared: dict[int, int] = {}
-        for h in mine:
-            for i in self.of.get(h, ()):
-                shared[i] = shared.get(i, 0) + 1
-        return any(n >= COPY * min(len(mine), len(self.sets[i])) and n >= LEAST_SHINGLES and self.home[i] != project for i, n in shared.items())
+#: A line that is all comment, its mark taken off.
+_COMMENT_LINE = re.compile(r"^[ \t]*(?://+!?|#+!?|/?\*+!?|<!--|--|;+|\"\"\"|\'\'\')[ \t]*([^\n]*)", re.M)
+_LINE_WORD = re.compile(r"[@<]?\w+")
+_NUMBER = re.compile(r"\d+")
+
+
+def line_patterns(text: str, project: str | None) -> tuple[list[str], list[str]]:
+    """The first two and three words of each comment line at the head, and the first three of each further one.
+
+    In small letters, numbers made 0 and the project's own name ``own_``.  Patterns are mined at the head, where a file
+    says what it is, and hold wherever they stand.
+    """
+    top: dict[str, None] = {}
+    below: dict[str, None] = {}
+    own = project.lower() if project else None
+    head = _HEAD.match(text).end()
+    for m in _COMMENT_LINE.finditer(text):
+        line = m[1].lower()
+        words = _LINE_WORD.findall(line.replace(own, "own_") if own else line)[:3]
+        if len(words) > 1:
+            words = [_NUMBER.sub("0", w) for w in words]
+            if m.start() < head:
+                top["line:" + " ".join(words[:2])] = top["line:" + " ".join(words)] = None
+            elif len(words) == 3:
+                below["line:" + " ".join(words)] = None
+    return list(top), list(below.keys() - top.keys())
+
+
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+
+
+def shingles(text: str, memo: dict[str, int] | None = None) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's runs of ``WORDS`` words and marks; a shorter text is one run.
+
+    White space counts for nothing, so neither do indentation and line ends.  ``memo`` keeps the hashes of words.
+    """
+    memo = {} if memo is None else memo
+    words = _TOKEN.findall(text)
+    for w in set(words).difference(memo):
+        memo[w] = xxhash.xxh64_intdigest(w)
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    h = np.array([memo[w] for w in words], dtype=np.uint64)
+    n = max(1, len(h) - WORDS + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(min(WORDS, len(h))):
+        part = h[i : i + n] * _MIX[i]
+        out += part ^ (part >> np.uint64(29))
+    return np.unique(out)
+
+
+# copies ------------------------------------------------------------------------------------------------------------
+
+
+def published(upstream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, shingles): per published file (k, home, m), its number of shingles, and one row (k, m, h, df) per shingle,
+    with the number of files that hold it.  Equal files of one home count once; both are written once."""
+
+    def make():
+        memo: dict[str, int] = {}
+
+        def row(home, text):
+            s = shingles(text, memo)
+            if len(s):
+                yield xxhash.xxh64_intdigest(s.tobytes() + (home or "").encode()) - (1 << 63), home, len(s), s.view(np.int64).tolist()
+
+        return row
+
+    kept = map_rows(upstream.where(F.length("content") > 0), ["home_project", "content"], "k bigint, home string, m int, hs array<bigint>", make)
+    kept = shared_checkpoint(upstream.sparkSession, kept.dropDuplicates(["k"]))
+    each = kept.select("k", "m", F.explode("hs").alias("h"))
+    return kept.drop("hs"), each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+
+
+def shingle_filter(upstream_shingles: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits, set at the published shingles; each is asked before a shingle leaves its task."""
+    at = F.pmod("h", F.lit(FILTER_BITS))
+    words = upstream_shingles.groupBy((F.shiftright(at, 6)).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) & 63 as int))")).alias("b")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    return bits.view(np.uint64)
+
+
+def passed(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = s & np.uint64(FILTER_BITS - 1)
+    return s[(bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+
+
+def enough(both: Column, n: Column, m: Column) -> Column:
+    """Whether a text of ``n`` shingles and a published one of ``m`` that share ``both`` are copies."""
+    return F.when(F.least(n, m) < WHOLE, (both == n) & (n == m)).otherwise(both >= COPY * F.least(n, m))
+
+
+def copies(met: DataFrame, sets: DataFrame, shingled: DataFrame) -> DataFrame:
+    """file_id of the copies, from (file_id, project, n, hits) with the shingles that passed the filter.
+
+    One exact plan for any number of published files.  Two texts with enough in common share one of the rarest fifth of
+    the smaller one's shingles, so pairs are formed on those only, never on a licence that all files carry, and counted
+    in full afterwards.  The rows of a shingle that many files hold are split in ``SALT`` parts.
+    """
+    own = met.select("file_id", "project", "n", F.explode("hits").alias("h"))
+    salt = F.pmod(F.xxhash64("file_id"), F.lit(SALT)).cast("int")
+    known = shingled.groupBy("h").agg(F.first("df").alias("df")).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALT)))))
+    own = own.withColumn("salt", salt).join(known, ["h", "salt"]).drop("salt")
+    # a published file's rarest fifth and one more; a file's own, of which those that nobody published come first
+    rare = F.expr("slice(array_sort(collect_list(struct(df, h))), 1, cast(floor(max(m) / 5) as int) + 1).h")
+    theirs = shingled.groupBy("k").agg(F.max("m").alias("m"), rare.alias("rare")).select("k", "m", F.explode("rare").alias("h"))
+    mine_ = own.groupBy("file_id").agg(F.max("n").alias("n"), F.first("project").alias("project"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
+    mine_ = shared_checkpoint(met.sparkSession, mine_.where(F.size("all") > 0))
+    left = F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("all"))
+    small = mine_.where(left > 0).select("file_id", "n", F.explode(F.expr(f"slice(all, 1, cast(floor(n / 5) as int) + 1 - (n - size(all)))")["h"]).alias("h"))
+    every = mine_.select("file_id", "n", F.explode(F.col("all")["h"]).alias("h"))
+
+    def salted(rows: DataFrame, other: DataFrame) -> DataFrame:
+        wide = other.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALT)))))
+        return rows.withColumn("salt", salt).join(wide, ["h", "salt"]).drop("salt")
+
+    pairs = salted(every, theirs).where("m <= n").select("file_id", "k").unionByName(salted(small, shingled.select("k", "m", "h")).where("n < m").select("file_id", "k")).distinct()
+    # counted in full where a pair is formed
+    full = pairs.join(mine_.select("file_id", "project", "n", F.col("all")["h"].alias("hs")), "file_id")
+    wide = shingled.groupBy("k").agg(F.max("m").alias("m"), F.collect_list("h").alias("theirs")).join(sets.select("k", "home"), "k")
+    both = full.join(wide, "k").withColumn("both", F.size(F.array_intersect("hs", "theirs")))
+    return both.where(enough(F.col("both"), F.col("n"), F.col("m")) & ~F.col("home").eqNullSafe(F.col("project"))).select("file_id").distinct()
 
 
 # attribute files -------------------------------------------------------------------------------------------------
@@ -164,7 +270,13 @@ def glob_regex(glob: str) -> str:
     return ("^" if anchored else "^(?:.*/)?") + body + ("/.*$" if glob.endswith("/") else "$")
 
 
-def attribute_rules(files: DataFrame) -> DataFrame:
+@cache
+def by_default() -> str:
+    """The default attribute lines as one regular expression on the path."""
+    return "|".join(f"(?:{glob_regex(line.split()[0])})" for line in DEFAULT_ATTRIBUTES.strip().split("\n"))
+
+
+def attribute_rules(files: DataFrame, layout: str | None = None) -> DataFrame:
     """One row per linguist attribute of each line of the ``.gitattributes`` files in ``files``."""
 
     def make():
@@ -182,7 +294,7 @@ def attribute_rules(files: DataFrame) -> DataFrame:
         return row
 
     source = files.where(F.col("rel_path").rlike(r"(^|/)\.gitattributes$"))
-    return map_rows(source, [project_of().alias("project"), "rel_path", "content"], _RULES, make).distinct()
+    return map_rows(source, [project_of(layout).alias("project"), "rel_path", "content"], _RULES, make).distinct()
 
 
 def declared(paths: DataFrame, rules: DataFrame) -> DataFrame:
@@ -219,20 +331,31 @@ def _candidates(rel: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(single, pairs, over, suffixes)))
 
 
+def _all_candidates() -> Column:
+    """Patterns of a file: of its path, of its comment lines, of its shape."""
+    return F.concat(_candidates(F.col("rel_path")), F.coalesce("lines", F.array().cast("array<string>")), F.when(F.col("minified"), F.array(F.lit("shape:dense"))).otherwise(F.array().cast("array<string>")))
+
+
 def mine(paths: DataFrame) -> DataFrame:
-    """(pattern, files, evident, projects, except_for) of the patterns that hold, from (file_id, project, rel_path, evident).
+    """(pattern, files, evident, projects, except_for) of the patterns that hold, from (file_id, project, rel_path, lines, minified, evident, named).
 
-    ``except_for`` has the pairs of directories in which a directory's pattern does not hold (``geo/dist`` for ``dist``).
+    A shape is held against the labels that do not rest on it (``named``).  ``except_for`` has the narrower patterns
+    in which one does not hold: pairs of directories (``geo/dist`` for ``dist``), lines that go on otherwise.
     """
-    each = paths.select("project", "evident", F.explode(_candidates(F.col("rel_path"))).alias("pattern"))
+    each = paths.select("project", "evident", "named", F.explode(_all_candidates()).alias("pattern"))
+    each = each.withColumn("evident", F.when(F.col("pattern").startswith("shape:"), F.col("named")).otherwise(F.col("evident")))
     # first per project, so that a project with a third of all files is one row in the second step
     per = each.groupBy("pattern", "project").agg(F.count("*").alias("files"), F.count_if("evident").alias("evident"))
     all_ = per.groupBy("pattern").agg(F.sum("files").alias("files"), F.sum("evident").alias("evident"), F.count_if(F.col("evident") > 0).alias("projects"), F.count("*").alias("everywhere"))
-    kept = all_.where((F.col("evident") >= LEAST_FILES) & (F.col("projects") >= LEAST_PROJECTS) & (F.col("evident") >= LEAST_SHARE * F.col("files")))
-    pairs = all_.where(F.col("pattern").startswith("pair:") & (F.col("files") >= EXCEPTION_FILES) & (F.col("everywhere") >= EXCEPTION_PROJECTS))
-    ends = pairs.select(F.col("pattern").alias("pair"), (F.col("evident") / F.col("files")).alias("pair_share"), F.explode(F.split(F.substring("pattern", 6, 1000), "/")).alias("d"))
+    kept = all_.where((F.col("evident") >= LEAST_FILES) & (F.col("projects") >= LEAST_PROJECTS) & (F.col("evident") >= F.when(F.col("pattern").startswith("line:"), LINE_SHARE).otherwise(LEAST_SHARE) * F.col("files")))
+    narrow = F.col("pattern").startswith("pair:") | F.col("pattern").rlike("^line:[^ ]+ [^ ]+ [^ ]+$")
+    pairs = all_.where(narrow & (F.col("files") >= EXCEPTION_FILES) & (F.col("everywhere") >= EXCEPTION_PROJECTS))
+    share = (F.col("evident") / F.col("files")).alias("pair_share")
+    dirs = F.transform(F.split(F.expr("substring(pattern, 6)"), "/"), lambda d: F.concat(F.lit("dir:"), d))
+    wider = F.when(F.col("pattern").startswith("pair:"), dirs).otherwise(F.array(F.regexp_replace("pattern", " [^ ]*$", "")))
+    ends = pairs.select(F.col("pattern").alias("pair"), share, F.explode(wider).alias("pattern"))
     exceptions = (
-        kept.join(ends.withColumn("pattern", F.concat(F.lit("dir:"), "d")), "pattern")
+        kept.join(ends, "pattern")
         .where(F.col("pair_share") <= EXCEPTION_SHARE * F.col("evident") / F.col("files"))
         .groupBy("pattern")
         .agg(F.collect_set("pair").alias("except_for"))
@@ -240,81 +363,73 @@ def mine(paths: DataFrame) -> DataFrame:
     return kept.join(exceptions, "pattern", "left").withColumn("except_for", F.coalesce("except_for", F.array().cast("array<string>")))
 
 
-EVIDENCE = "file_id bigint, project string, rel_path string, generated boolean, minified boolean, data boolean, foreign boolean, copied boolean, convention boolean"
+EVIDENCE = "file_id bigint, project string, rel_path string, generated boolean, minified boolean, data boolean, foreign boolean, convention boolean, lines array<string>, below array<string>, n int, hits array<bigint>"
+
 
+def evidence(files: DataFrame, upstream: DataFrame, layout: str | None = None) -> DataFrame:
+    """What the content of each file shows; one row per file_id, written once.  Null content shows nothing, a null path gives no row.
 
-def evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """What the content of each file shows; one row per file_id.  Null content shows nothing, a null path gives no row."""
-    size = upstream.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
-    by_join = size > UPSTREAM_BYTES
-    shared = None if by_join else files.sparkSession.sparkContext.broadcast(Published(upstream.select("lib_name", "home_project", "content").collect()))
+    ``hits`` holds the shingles that may be those of a published file; they leave the task only if they are enough.
+    """
+    spark = files.sparkSession
+    sets, shingled = published(upstream)
+    shared = spark.sparkContext.broadcast(shingle_filter(shingled))
+    least = sets.agg(F.min("m").alias("m")).first()["m"] or 0
 
     def make():
-        published = shared.value if shared else None
+        bits, memo = shared.value, {}
 
         def row(file_id, project, path, rel, text):
+            default = bool(rel and re.search(by_default(), rel))
             if text is None:
-                yield file_id, project, rel, False, False, False, False, False, False
+                yield file_id, project, rel, False, False, False, False, default, [], [], 0, []
                 return
+            if len(memo) > 500_000:
+                memo.clear()
+            s = shingles(text, memo) if least else ()
+            hits = passed(s, bits) if len(s) else ()
+            # no published file is shorter than ``least``
+            near = len(hits) and len(hits) >= COPY * min(len(s), least)
             code = bool(SOURCE.search(path))
-            yield file_id, project, rel, marked(text), code and dense(text), code and bulk(text), foreign(text, project), bool(published and published.copied(text, project)), bool(_CONVENTION.search(rel))
-
-        return row
-
-    rel = F.coalesce("rel_path", F.regexp_extract("path", r"^/srv/src/[^/]+/(.*)$", 1)).alias("rel_path")
-    found = map_rows(files.where(F.col("path").isNotNull()), ["file_id", project_of().alias("project"), "path", rel, "content"], EVIDENCE, make)
-    once = found.groupBy("file_id").agg(*(F.max(c).alias(c) for c in ("project", "rel_path", "generated", "minified", "data", "foreign", "copied", "convention")))
-    if not by_join:
-        return once
-    copies = copies_by_join(files, upstream)
-    return once.drop("copied").join(copies.withColumn("copied", F.lit(True)), "file_id", "left").fillna(False, ["copied"])
-
-
-def copies_by_join(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """file_id of the copies, for published files of any size: shingles are joined, not sent to the tasks."""
-
-    def make():
-        def row(key, project, text):
-            s = shingles(text or "")
-            for h in s:
-                yield key, project, len(s), h
+            yield file_id, project, rel, marked(text), code and dense(text), code and bulk(text), foreign(text, project), default, *line_patterns(text, project), len(s), hits.view(np.int64).tolist() if near else []
 
         return row
 
-    mine_ = map_rows(files.dropDuplicates(["file_id"]), ["file_id", project_of().alias("project"), "content"], "file_id bigint, project string, n int, h bigint", make)
-    theirs = map_rows(upstream.withColumn("k", F.xxhash64("lib_name", "version", "file_name")), ["k", "home_project", "content"], "k bigint, home string, m int, h bigint", make)
-    shared = mine_.join(theirs, "h").groupBy("file_id", "project", "n", "k", "home", "m").agg(F.count("*").alias("both"))
-    enough = (F.col("both") >= COPY * F.least("n", "m")) & (F.col("both") >= LEAST_SHINGLES) & ~F.col("home").eqNullSafe(F.col("project"))
-    return shared.where(enough).select("file_id").distinct()
+    found = map_rows(files.where(F.col("path").isNotNull()), ["file_id", project_of(layout).alias("project"), "path", rel_of(layout).alias("rel_path"), "content"], EVIDENCE, make)
+    # re-sent files: the narrow rows meet, the texts do not
+    once = found.groupBy("file_id").agg(*(F.max(c).alias(c) for c in ("project", "rel_path", "generated", "minified", "data", "foreign", "convention", "lines", "below", "n", "hits")))
+    seen = shared_checkpoint(spark, once)
+    copied = shared_checkpoint(spark, copies(seen.where(F.size("hits") > 0).select("file_id", "project", "n", "hits"), sets, shingled).withColumn("copied", F.lit(True)))
+    return seen.drop("n", "hits").join(copied, "file_id", "left").fillna(False, ["copied"])
 
 
-def provenance(files: DataFrame, upstream: DataFrame) -> DataFrame:
+def provenance(files: DataFrame, upstream: DataFrame, layout: str | None = None) -> DataFrame:
     """(file_id, project, rel_path, hand_written, reason): one row per file with a path; content is no part of it.
 
-    A project with attribute files is decided by them and by the content; the other projects also by mined patterns.
+    ``layout`` is an expression whose group finds the project in a path, for rows without one.  A project with
+    attribute files is decided by them and by the content; the other projects first by mined patterns.
     """
     spark = files.sparkSession
-    # the narrow evidence rows and the rules are used several times: they are written once, to the shared checkpoint folder
-    seen = shared_checkpoint(spark, evidence(files, upstream))
-    rules = shared_checkpoint(spark, attribute_rules(files))
+    seen = evidence(files, upstream, layout)
+    rules = shared_checkpoint(spark, attribute_rules(files, layout))
     said = declared(seen.select("file_id", "project", "rel_path"), rules)
     known = seen.join(said, "file_id", "left")
-    content = F.col("convention") | F.col("generated") | F.col("minified") | F.col("data") | F.col("foreign") | F.col("copied")
-    known = known.withColumn("evident", F.coalesce("excluded", content))
-    patterns = mine(known.select("file_id", "project", "rel_path", "evident"))
+    named = F.coalesce("excluded", F.col("convention") | F.col("generated") | F.col("foreign") | F.col("copied"))
+    known = known.withColumn("named", named).withColumn("evident", F.coalesce("excluded", named | F.col("minified") | F.col("data")))
+    patterns = mine(known)
     declaring = rules.select("project").distinct().withColumn("declares", F.lit(True))
-    candidates = known.select("file_id", _candidates(F.col("rel_path")).alias("all"))
-    each = candidates.select("file_id", F.filter("all", lambda c: c.startswith("pair:")).alias("pairs"), F.explode("all").alias("pattern"))
-    by_path = each.join(patterns, "pattern").where(~F.arrays_overlap("pairs", "except_for")).groupBy("file_id").agg(F.max_by("pattern", F.struct("evident", "pattern")).alias("by_pattern"))
+    candidates = known.select("file_id", F.concat(_all_candidates(), F.coalesce("below", F.array().cast("array<string>"))).alias("all"))
+    each = candidates.select("file_id", F.filter("all", lambda c: c.startswith("pair:") | c.startswith("line:")).alias("pairs"), F.explode("all").alias("pattern"))
+    by_path = each.join(patterns, "pattern").where(~F.arrays_overlap("pairs", "except_for")).groupBy("file_id").agg(F.max_by("pattern", F.struct(F.col("evident") / F.col("files"), "evident", "pattern")).alias("by_pattern"))
     out = known.join(by_path, "file_id", "left").join(declaring, "project", "left")
     reason = F.expr(
-        "case when excluded then 'declared' when excluded = false then null when generated then 'generated' when minified then 'minified' when data then 'data' "
-        "when copied then 'copy' when foreign then 'third_party' when declares is not null then null when convention then 'convention' when by_pattern is not null then concat('pattern ', by_pattern) end"
+        "case when excluded then 'declared' when excluded = false then null when declares is null and by_pattern is not null then concat('pattern ', by_pattern) "
+        "when generated then 'generated' when minified then 'minified' when data then 'data' when copied then 'copy' when foreign then 'third_party' when declares is null and convention then 'convention' end"
     )
     return out.select("file_id", "project", "rel_path", reason.isNull().alias("hand_written"), reason.alias("reason"))
 
 
-def provenance_found(files: DataFrame, upstream: DataFrame) -> DataFrame:
+def provenance_found(files: DataFrame, upstream: DataFrame, layout: str | None = None) -> DataFrame:
     """Files that are not hand-written; a file without content is no case."""
-    found = provenance(files.where(F.col("content").isNotNull()), upstream)
+    found = provenance(files.where(F.col("content").isNotNull()), upstream, layout)
     return found.where(~F.col("hand_written")).select("file_id")

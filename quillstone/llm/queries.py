@@ -9,18 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from . import docs, encoding, mixing, packing, pii, provenance, secrets, split, syntax
 from .common import table
 
+#: Where the paths of the given tables name the project.
+LAYOUT = "^/srv/(?:src|docs)/([^/]+)/"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: syntax.syntax_found(table(s, d, "files")),
-    "p1_rates": lambda s, d: syntax.syntax_rates(table(s, d, "files")),
-    "p2_found": lambda s, d: provenance.provenance_found(table(s, d, "files"), table(s, d, "upstream_files")),
-    "p2_provenance": lambda s, d: provenance.provenance(table(s, d, "files"), table(s, d, "upstream_files")),
+    "p1_rates": lambda s, d: syntax.syntax_rates(table(s, d, "files"), LAYOUT),
+    "p2_found": lambda s, d: provenance.provenance_found(table(s, d, "files"), table(s, d, "upstream_files"), LAYOUT),
+    "p2_provenance": lambda s, d: provenance.provenance(table(s, d, "files"), table(s, d, "upstream_files"), LAYOUT),
     "p3_found": lambda s, d: secrets.secrets_found(table(s, d, "files")),
     "p3_redacted": lambda s, d: secrets.redacted(table(s, d, "files"), "file_id"),
     "p3_redacted_chunks": lambda s, d: secrets.redacted(table(s, d, "chunks"), "chunk_id"),
     "p4_found": lambda s, d: pii.pii_found(table(s, d, "turns"), table(s, d, "notes")),
     "p4_redacted": lambda s, d: pii.pii_redacted(table(s, d, "turns"), table(s, d, "notes")),
     "p5_found": lambda s, d: docs.pairs_found(table(s, d, "files")),
-    "p5_pairs": lambda s, d: docs.pairs_once(table(s, d, "files")),
+    "p5_pairs": lambda s, d: docs.pairs_once(table(s, d, "files"), LAYOUT),
     "p6_found": lambda s, d: split.split_found(table(s, d, "chunks")),
     "p6_pieces": lambda s, d: split.pieces(table(s, d, "chunks")),
     "p7_packed": lambda s, d: packing.pack(table(s, d, "documents")),

@@ -93,7 +93,7 @@ def _make():
     return row
 
 
-def syntax_report(files: DataFrame) -> DataFrame:
+def syntax_report(files: DataFrame, layout: str | None = None) -> DataFrame:
     """One row per delivered row of ``files`` (file_id, project_id, path, content) in one of the five languages.
 
     Null paths, other extensions and null contents give no row; an empty or blank text is a valid program except in
@@ -101,17 +101,17 @@ def syntax_report(files: DataFrame) -> DataFrame:
     file_id once); further columns are ignored.  No shuffle: the work is one pass over the scan.
     """
     source = files.where(F.col("path").rlike(SOURCE_PATH) & F.col("content").isNotNull())
-    return map_rows(source, ["file_id", "path", project_of().alias("project"), "content"], REPORT, _make)
+    return map_rows(source, ["file_id", "path", project_of(layout).alias("project"), "content"], REPORT, _make)
 
 
 def syntax_found(files: DataFrame) -> DataFrame:
     return syntax_report(files).where(~F.col("valid")).select("file_id").distinct()
 
 
-def syntax_rates(files: DataFrame) -> DataFrame:
+def syntax_rates(files: DataFrame, layout: str | None = None) -> DataFrame:
     """Per project and language: files, invalid files, their rate, and the invalid files of each cause."""
     causes = ["merge_conflict", "patch_hunk", "truncated", "wrong_extension", "bad_token", "syntax_error", "too_deep"]
-    once = syntax_report(files).groupBy("file_id").agg(*(F.first(c).alias(c) for c in ("project", "language", "valid", "cause")))
+    once = syntax_report(files, layout).groupBy("file_id").agg(*(F.first(c).alias(c) for c in ("project", "language", "valid", "cause")))
     return once.groupBy("project", "language").agg(
         F.count("*").alias("files"),
         F.count_if(~F.col("valid")).alias("invalid"),
