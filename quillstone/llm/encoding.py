@@ -2,9 +2,11 @@
 
 The work is by *units* (sentences and lines).  Units are joined on their skeleton, the unit without its non-ASCII
 characters; the commonest unit of a skeleton is the clean twin of the others.  Aligning the characters of a pair
-between the ASCII characters that both share gives runs, and a transformation (true encoding, wrong encoding) is
-learned where it turns every clean run into the garbled one.  The learned transformations are then undone on every
-unit, with or without a twin, and a change is taken where it makes the unit's character pairs commoner in the corpus.
+between the ASCII characters that both share gives runs, clean and garbled, and a transformation (true encoding, wrong
+encoding) is learned where it turns every clean run of enough pairs into the garbled one.  Only learned transformations
+are undone on the remaining units, and a change is taken where it makes the unit's character pairs commoner in the
+corpus; where no twin teaches anything, nothing is restored.  U+FFFD, which a decoder itself leaves for what it lost,
+needs no twin to be seen.
 
 Character pairs are counted over all documents into a table of fixed size (``BUCKETS``), and there are at most
 ``len(CHAINS)`` transformations: nothing that reaches the driver grows with the data.
@@ -17,7 +19,8 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -26,12 +29,16 @@ from .common import map_rows
 BUCKETS = 1 << 18
 #: Frequency below which a character pair counts as unseen.
 RARE = 1e-4
-#: Nats a change must gain: with a transformation that twins support, and with one that none does.
-GAIN, GAIN_ALONE = 3.0, 6.0
+#: Nats that undoing a learned transformation must gain.
+GAIN = 3.0
 #: Share of a unit's non-ASCII characters inside quotes from which it only quotes garbled text.
 QUOTED_SHARE = 0.8
-#: Letters a skeleton must have to tell twins, and pairs that must support a transformation.
-LEAST_SKELETON, LEAST_PAIRS = 12, 2
+#: Letters a skeleton must have to tell twins by itself, and letters and digits the whole text's must have for those of its units that do not.
+LEAST_SKELETON, LEAST_CONTEXT = 12, 6
+#: Pairs that must support a transformation, and distinct garbled characters that they must hold.
+LEAST_PAIRS, LEAST_CHARS = 3, 2
+#: Parts into which the units of one skeleton are split.
+SALT = 16
 
 #: Python's names of the encodings that files of the corpus' languages are commonly written or read in.
 SINGLE = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman", "iso8859-15", "iso8859-5")
@@ -50,6 +57,8 @@ BY_STRETCH = tuple(i for i, chain in enumerate(CHAINS) if chain[0] in MULTI)
 REMEMBERED, REMEMBERED_CHARS = 20_000, 16
 
 _SPLIT = re.compile(r"[^\n]+?(?:[.!?。！？](?=\s|$|[^\x00-\x7f])|\n|$)", re.M)
+#: Sentences and lines by their ASCII marks alone, which garbling leaves as they are.
+_SPLIT_ASCII = re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|\n|$)", re.M)
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _RUNS = re.compile(r"[^\x00-\x7f]+")
 #: Non-ASCII characters with single ASCII ones between them: no encoding reads bytes of two such stretches as one character.
@@ -190,31 +199,62 @@ def pair_frequencies(documents: DataFrame) -> np.ndarray:
 # learning --------------------------------------------------------------------------------------------------------
 
 
-def skeletons(documents: DataFrame) -> DataFrame:
-    """(skeleton, unit, n): the units with non-ASCII characters by skeleton, counted batch by batch in the tasks.
+def keyed_units(text: str) -> list[tuple[int, str]]:
+    """(key, unit) of each unit with non-ASCII characters: what garbled and clean twins share.
 
-    A unit with lost characters, or whose skeleton has too few letters to tell twins, gives no row.
+    The key is the unit's skeleton; where that has too few letters (as in Chinese or Russian) it is the unit's place after
+    the last one that has enough, and its place in the skeleton of the whole text.  A unit with lost characters has none.
     """
+    spans = [(m[0].strip(), m.start()) for m in _SPLIT_ASCII.finditer(text)]
+    whole = skeleton(text)
+    context = xxhash.xxh64_intdigest(whole) if sum(map(str.isalnum, whole)) >= LEAST_CONTEXT else None
+    out, anchor, since = [], "", 0
+    for n, (unit, _) in enumerate(spans):
+        own = skeleton(unit)
+        if sum(map(str.isalpha, own)) >= LEAST_SKELETON:
+            keys, anchor, since = [own], own, 0
+        else:
+            since += 1
+            keys = [f"{anchor}\x01{since}\x01{own}"] if anchor else []
+            keys += [f"{context}\x02{n}"] if context is not None else []
+        if not unit.isascii() and _LOST not in unit:
+            out += [(xxhash.xxh64_intdigest(k) - (1 << 63), unit) for k in keys]
+    return out
+
+
+def skeletons(documents: DataFrame) -> DataFrame:
+    """(skeleton, unit, n): the units with non-ASCII characters by the hash of their key, counted batch by batch in the tasks."""
     import pyarrow as pa
 
-    schema = "skeleton string, unit string, n bigint"
+    schema = "skeleton bigint, unit string, n bigint"
 
     def run(batches):
         for b in batches:
-            counts: Counter[str] = Counter()
+            counts: Counter[tuple[int, str]] = Counter()
             for text in b.column(0).to_pylist():
                 if text and not text.isascii():
-                    for x, y in units(text):
-                        unit = text[x:y].strip()
-                        if not unit.isascii() and _LOST not in unit:
-                            counts[unit] += 1
-            rows = [(s, u, n) for u, n in counts.items() if sum(map(str.isalpha, s := skeleton(u))) >= LEAST_SKELETON]
-            columns = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["skeleton", "unit", "n"])
+                    counts.update(keyed_units(text))
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([u for _, u in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["skeleton", "unit", "n"])
 
     return documents.select("text").mapInArrow(run, schema)
 
 
+def twins(documents: DataFrame) -> DataFrame:
+    """(unit, clean): each unit with the commonest of its skeleton, where that is another one.
+
+    The commonest is an aggregate that combines before it shuffles, and it meets the units of its skeleton in ``SALT``
+    parts, so a skeleton that a third of all units share is no task of its own.
+    """
+    counted = skeletons(documents).groupBy("skeleton", "unit").agg(F.sum("n").alias("n"))
+    several = counted.groupBy("skeleton").agg(F.count("*").alias("units")).where("units > 1").select("skeleton")
+    met = counted.join(several, "skeleton", "left_semi")
+    best = met.groupBy("skeleton").agg(F.max(F.struct("n", -F.length("unit"), "unit"))["unit"].alias("clean"))
+    best = best.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALT)))))
+    salted = met.select("skeleton", "unit", F.pmod(F.xxhash64("unit"), F.lit(SALT)).cast("int").alias("salt"))
+    return salted.join(best, ["skeleton", "salt"]).where(F.col("unit") != F.col("clean")).select("unit", "clean")
+
+
 def align(garbled: str, clean: str) -> list[tuple[str, str]] | None:
     """The runs between the ASCII characters that both texts share, in order; None if they do not line up."""
     g, c = _RUNS.findall(garbled), _RUNS.findall(clean)
@@ -232,23 +272,30 @@ def explain(garbled: str, clean: str) -> list[int]:
 
 
 def _make_explain():
-    def row(garbled, clean):
-        for i in explain(garbled, clean):
-            yield (i,)
+    def row(one, other):
         # the commoner one may be the garbled one where a skeleton has few records
-        for i in explain(clean, garbled):
-            yield (i,)
+        for garbled, clean in ((one, other), (other, one)):
+            if found := explain(garbled, clean):
+                chars = set("".join(g for g, _ in align(garbled, clean)))
+                for i in found:
+                    yield i, ""
+                    for c in chars:
+                        yield i, c
 
     return row
 
 
 def learn(documents: DataFrame) -> DataFrame:
-    """(chain int, pairs bigint): how many twin pairs each transformation explains; at most ``len(CHAINS)`` rows."""
-    counted = skeletons(documents).groupBy("skeleton", "unit").agg(F.sum("n").alias("n"))
-    # a window over the counted units, not a join with their maximum: the texts are read and moved once
-    best = F.max(F.struct("n", -F.length("unit"), "unit")).over(Window.partitionBy("skeleton"))
-    twins = counted.select("unit", best["unit"].alias("clean")).where(F.col("unit") != F.col("clean"))
-    return map_rows(twins, ["unit", "clean"], "chain int", _make_explain).groupBy("chain").agg(F.count("*").alias("pairs"))
+    """(chain int, pairs bigint, chars bigint): the twin pairs each transformation explains, and the distinct garbled
+    characters in them; at most ``len(CHAINS)`` rows."""
+    each = map_rows(twins(documents), ["unit", "clean"], "chain int, char string", _make_explain).groupBy("chain", "char").agg(F.count("*").alias("n"))
+    return each.groupBy("chain").agg(F.sum(F.when(F.col("char") == "", F.col("n"))).alias("pairs"), F.count_if(F.col("char") != "").alias("chars"))
+
+
+def learned(documents: DataFrame) -> tuple[int, ...]:
+    """The transformations that enough twins teach, most pairs first."""
+    rows = learn(documents).where((F.col("pairs") >= LEAST_PAIRS) & (F.col("chars") >= LEAST_CHARS)).collect()
+    return tuple(r.chain for r in sorted(rows, key=lambda r: (-r.pairs, r.chain)))
 
 
 # applying --------------------------------------------------------------------------------------------------------
@@ -297,17 +344,19 @@ def _piece_gains(piece: str, chains: tuple[int, ...], logs: np.ndarray) -> np.nd
     return out
 
 
-def gains(unit: str, logs: np.ndarray, pieces: dict | None = None) -> np.ndarray:
-    """What undoing each chain on the unit gains; minus infinity where it cannot be undone.
+def gains(unit: str, logs: np.ndarray, pieces: dict | None = None, by_run: tuple[int, ...] = BY_RUN, by_stretch: tuple[int, ...] = BY_STRETCH) -> np.ndarray:
+    """What undoing each chain on the unit gains; minus infinity where it cannot be undone or is not asked for.
 
     The sum over the unit's pieces, each with the ASCII characters beside it, is that of the unit: a chain changes
     nothing else, and no pair with a non-ASCII character lies outside.
     """
-    total = np.zeros(len(CHAINS))
+    total = np.full(len(CHAINS), -np.inf)
     if "\x7f" in unit:
-        return total - np.inf
+        return total
     padded = "\n" + unit + "\n\n"
-    for rx, after, chains in ((_RUNS, 1, BY_RUN), (_STRETCHES, 2, BY_STRETCH)):
+    for rx, after, chains in ((_RUNS, 1, by_run), (_STRETCHES, 2, by_stretch)):
+        if not chains:
+            continue
         part = np.zeros(len(chains))
         for m in rx.finditer(padded):
             key = padded[m.start() - 1 : m.end() + after], after
@@ -323,24 +372,38 @@ def gains(unit: str, logs: np.ndarray, pieces: dict | None = None) -> np.ndarray
     return total
 
 
-def mend(unit: str, logs: np.ndarray, supported: frozenset[int], pieces: dict | None = None) -> tuple[str, float, int]:
-    """(text, gain, chain) of the best change of a unit; chain is -1 if nothing gains enough."""
-    masked = _QUOTED.sub(lambda m: "'" * len(m[0]) if not m[0].isascii() else m[0], unit)
-    if len(_NON_ASCII.findall(masked)) < (1 - QUOTED_SHARE) * len(_NON_ASCII.findall(unit)):
+class Mender:
+    """Undoes learned transformations; keeps what it has seen of units and pieces."""
+
+    def __init__(self, logs: np.ndarray, chains: tuple[int, ...]):
+        self.logs, self.units, self.pieces = logs, {}, {}
+        self.by_run, self.by_stretch = tuple(i for i in chains if i in BY_RUN), tuple(i for i in chains if i in BY_STRETCH)
+
+    def mend(self, unit: str) -> tuple[str, float, int]:
+        """(text, gain, chain) of the best change of a unit; chain is -1 if nothing gains enough."""
+        found = self.units.get(unit)
+        if found is None:
+            if len(self.units) > 50_000:
+                self.units.clear()
+            found = self.units[unit] = self._mend(unit)
+        return found
+
+    def _mend(self, unit: str) -> tuple[str, float, int]:
+        masked = _QUOTED.sub(lambda m: "'" * len(m[0]) if not m[0].isascii() else m[0], unit)
+        if len(_NON_ASCII.findall(masked)) < (1 - QUOTED_SHARE) * len(_NON_ASCII.findall(unit)):
+            return unit, 0.0, -1
+        best = (0.0, -1)
+        for tried in dict.fromkeys((unit, masked)):
+            each = gains(tried, self.logs, self.pieces, self.by_run, self.by_stretch)
+            for i in np.flatnonzero(each > GAIN).tolist():
+                if each[i] > best[0] + 1e-3:
+                    best = (float(each[i]), i)
+            if best[1] >= 0:
+                return undo(unit, CHAINS[best[1]]) or undo(tried, CHAINS[best[1]]), *best
         return unit, 0.0, -1
-    best = (0.0, -1)
-    for tried in dict.fromkeys((unit, masked)):
-        each = gains(tried, logs, pieces)
-        for i in np.flatnonzero(each > min(GAIN, GAIN_ALONE)).tolist():
-            gain = float(each[i])
-            if gain > (GAIN if i in supported else GAIN_ALONE) and gain > best[0] + 1e-3:
-                best = (gain, i)
-        if best[1] >= 0:
-            return undo(unit, CHAINS[best[1]]) or undo(tried, CHAINS[best[1]]), *best
-    return unit, 0.0, -1
-
-
-def repair(text: str, logs: np.ndarray, supported: frozenset[int], memo: dict | None = None, pieces: dict | None = None) -> tuple[bool, int, int, str, str | None]:
+
+
+def repair(text: str, mender: Mender) -> tuple[bool, int, int, str, str | None]:
     """(garbled, units mended, units lost, restored text, commonest chain)."""
     if not text or text.isascii():
         return False, 0, 0, text, None
@@ -352,14 +415,7 @@ def repair(text: str, logs: np.ndarray, supported: frozenset[int], memo: dict |
         if _LOST in unit and _LOST in _QUOTED.sub("", unit):
             lost += 1
             continue
-        found = memo.get(unit) if memo is not None else None
-        if found is None:
-            found = mend(unit, logs, supported, pieces)
-            if memo is not None:
-                if len(memo) > 50_000:
-                    memo.clear()
-                memo[unit] = found
-        new, _, chain = found
+        new, _, chain = mender.mend(unit)
         if chain >= 0:
             mended += 1
             used[chain] = used.get(chain, 0) + 1
@@ -380,13 +436,13 @@ def restore(documents: DataFrame, only_garbled: bool = True) -> DataFrame:
     """
     spark = documents.sparkSession
     table = spark.sparkContext.broadcast(pair_frequencies(documents))
-    supported = frozenset(r.chain for r in learn(documents).where(F.col("pairs") >= LEAST_PAIRS).collect())
+    chains = learned(documents)
 
     def make():
-        t, memo, pieces = table.value, {}, {}
+        mender = Mender(table.value, chains)
 
         def row(doc_id, text):
-            garbled, mended, lost, new, encoding = repair(text, t, supported, memo, pieces)
+            garbled, mended, lost, new, encoding = repair(text, mender)
             if garbled or not only_garbled:
                 yield doc_id, garbled, mended, lost, encoding, new
 

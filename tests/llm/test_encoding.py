@@ -32,31 +32,61 @@ def test_alignment():
     assert ("utf-8", "cp1252") in [E.CHAINS[i] for i in E.explain("mÃ³dulo â€” x", "módulo — x")]
 
 
+KINDS = [("utf-8", "cp1252"), ("utf-8", "mac-roman"), ("cp1250", "cp1252"), ("koi8-r", "cp1251"), ("utf-8", "cp1252", "utf-8", "cp1252"), ("euc_jp", "latin-1"), ("mac-roman", "cp1252")]
+OF = {("utf-8", "cp1252"): (0, 1, 4), ("utf-8", "mac-roman"): (0, 1, 4), ("cp1250", "cp1252"): (2,), ("koi8-r", "cp1251"): (3,), ("utf-8", "cp1252", "utf-8", "cp1252"): (1, 4), ("euc_jp", "latin-1"): (7,), ("mac-roman", "cp1252"): (0, 1, 4)}
+
+
 def corpus():
-    rows = []
-    for i in range(400):
-        rows.append(f"{SENTENCES[i % len(SENTENCES)]} {SENTENCES[(i * 7 + 3) % len(SENTENCES)]}\nplain words {i}")
-    bad = {}
-    for i, (k, chain) in enumerate([(0, ("utf-8", "cp1252")), (1, ("utf-8", "mac-roman")), (2, ("cp1250", "cp1252")), (3, ("koi8-r", "cp1251")), (5, ("utf-8", "cp1252", "utf-8", "cp1252")), (7, ("euc_jp", "latin-1")), (4, ("mac-roman", "cp1252"))]):
-        bad[1000 + i] = (E.garble(SENTENCES[k], chain) + "\nwhole line\n" + SENTENCES[4], SENTENCES[k] + "\nwhole line\n" + SENTENCES[4])
-    lost = {2000: "Adem�s, ning�n m�dulo.", 2001: "Schl��ssel"}
-    clean = {3000: "A typical symptom is `Ð¿Ñ€Ð¸` in the view.", 3001: "U+FFFD (�) marks a byte.", 3002: "If you see “Ã©” or “â€™” in a token, it was read wrongly.", 3003: "na%C3%AFve &eacute; \\u00e9", 3004: "╔══ queue ══╗ █▓▒░ ├─┤", 3005: "", 3006: None, 3007: "ascii only", 3008: SENTENCES[8] * 3000}
-    return rows, bad, lost, clean
+    """Clean texts, garbled copies of some of them (their twins), and garbled texts without a twin."""
+    clean, bad = {}, {}
+    for k, s in enumerate(SENTENCES):
+        for i in range(12):
+            clean[100 * k + i] = f"# Section {k} number {i}\nNo {i}: {s}\nplain words {i}"
+    n = 5000
+    for chain in KINDS:
+        for k in OF[chain]:
+            for i in range(6):
+                n += 1
+                bad[n] = (f"# Section {k} number {i}\n{E.garble(f'No {i}: ' + SENTENCES[k], chain)}\nplain words {i}", clean[100 * k + i])
+            n += 1
+            lone = f"Nowhere else {n}: " + SENTENCES[k]
+            bad[n] = (E.garble(lone, chain), lone)
+    lost = {9000: "Adem�s, ning�n m�dulo.", 9001: "Schl��ssel"}
+    fine = {9100: "A typical symptom is `Ð¿Ñ€Ð¸` in the view.", 9101: "U+FFFD (�) marks a byte.", 9102: "If you see “Ã©” or “â€™” in a token, it was read wrongly.", 9103: "na%C3%AFve &eacute; \\u00e9", 9104: "╔══ queue ══╗ █▓▒░ ├─┤", 9105: "", 9106: None, 9107: "ascii only", 9108: SENTENCES[8] * 3000}
+    return clean, bad, lost, fine
 
 
 def test_operator(spark):
-    rows, bad, lost, clean = corpus()
-    data = list(enumerate(rows)) + [(k, v[0]) for k, v in bad.items()] + list(lost.items()) + list(clean.items()) + [(1000, bad[1000][0])]
+    clean, bad, lost, fine = corpus()
+    # a text has more clean copies than garbled ones of a kind
+    data = [*clean.items(), *((20_000 + k, t) for k, t in clean.items()), *((k, v[0]) for k, v in bad.items()), *lost.items(), *fine.items(), (5001, bad[5001][0])]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("unit", F.lit("clash")).withColumn("garbled", F.lit("clash"))
+    taught = {E.CHAINS[i] for i in E.learned(df)}
+    assert taught >= set(KINDS) and len(taught) < len(E.CHAINS) / 2
     assert {r.doc_id for r in E.encoding_found(df).collect()} == set(bad) | set(lost)
     got = {r.doc_id: r for r in E.restore(df).collect()}
     for k, (_, want) in bad.items():
-        assert got[k].text == want, E.CHAINS
-    assert got[2000].units_lost == 1 and got[2000].text == lost[2000]
-    assert {r.chain for r in E.learn(df).collect()} <= set(range(len(E.CHAINS)))
+        assert got[k].text == want
+    assert got[9000].units_lost == 1 and got[9000].text == lost[9000]
     assert E.encoding_found(df.limit(0)).count() == 0
 
 
+def test_without_twins_nothing_is_learned_and_nothing_found(spark):
+    _, bad, _, _ = corpus()
+    lone = [(k, t) for k, (t, _) in bad.items() if t.startswith("Nowhere")]
+    clean = [(k, f"{s} nr {k}") for k, s in enumerate(SENTENCES * 20)]
+    df = spark.createDataFrame([*lone, *((10_000 + k, t) for k, t in clean)], "doc_id bigint, text string")
+    assert E.learned(df) == ()
+    assert E.encoding_found(df).count() == 0
+
+
+def test_a_hot_skeleton_meets_its_twins_in_parts(spark):
+    rows = [(i, f"the same ASCII words é{chr(0xE0 + i % 24)}{chr(0x100 + i // 24)}") for i in range(600)] + [(1000 + i, "the same ASCII words éé") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = E.twins(df).collect()
+    assert len(got) == 600 and {r.clean for r in got} == {"the same ASCII words éé"}
+
+
 def test_pair_table_has_a_fixed_size(spark):
     df = spark.createDataFrame([(1, "é à"), (2, None), (3, "x")], "doc_id bigint, text string")
     t = E.pair_frequencies(df)
@@ -66,11 +96,10 @@ def test_pair_table_has_a_fixed_size(spark):
 
 def test_a_hot_source_garbled_one_way_is_found(spark):
     """Garbled pairs that many documents share are common, and undoing them still gains."""
-    clean = [f"{SENTENCES[i % 2 * 4]} nr {i}" for i in range(400)]
-    hot = [E.garble(f"{SENTENCES[0]} {SENTENCES[4]} nr {i}", ("utf-8", "cp1252")) for i in range(40)]
-    df = spark.createDataFrame([*enumerate(clean), *enumerate(hot, 1000)], "doc_id bigint, text string")
-    got = {r.doc_id: r.text for r in E.restore(df).collect()}
-    assert got == {1000 + i: f"{SENTENCES[0]} {SENTENCES[4]} nr {i}" for i in range(40)}
+    clean = [f"nr {i} {SENTENCES[i % 2 * 4]}" for i in range(400)]
+    hot = [f"nr {i} {SENTENCES[i % 2 * 4]} nr {i} {SENTENCES[4]}" for i in range(40)]
+    df = spark.createDataFrame([*enumerate(clean), *((1000 + i, E.garble(s, ("utf-8", "cp1252"))) for i, s in enumerate(hot))], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in E.restore(df).collect()} == {1000 + i: s for i, s in enumerate(hot)}
 
 
 def test_gains_of_pieces_add_up_to_those_of_the_unit():
