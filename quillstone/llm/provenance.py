@@ -35,8 +35,8 @@ EXCEPTION_FILES, EXCEPTION_PROJECTS, EXCEPTION_SHARE = 5, 3, 0.2
 LINE_SHARE = 0.25
 #: Words of a shingle, containment from which a file is a copy, shingles below which two texts must agree as a whole.
 WORDS, COPY, WHOLE = 5, 0.8, 20
-#: Bits of the filter that passes over shingles of no published file; its size does not depend on how many there are.
-FILTER_BITS = 1 << 25
+#: Bits of the filter of published shingles, one per size band of published files: its size does not depend on how many there are.
+FILTER_BITS = 1 << 22
 #: Parts into which a shingle that many files share is split.
 SALT = 16
 SOURCE = re.compile(r"\.(?:go|py|js|mjs|cjs|jsx|ts|tsx|rs|css|java|c|cc|cpp|h|rb|php|kt|swift)$")
@@ -120,8 +120,8 @@ _LINE_WORD = re.compile(r"[@<]?\w+")
 _NUMBER = re.compile(r"\d+")
 
 
-def line_patterns(text: str, project: str | None) -> tuple[list[str], list[str]]:
-    """The first two and three words of each comment line at the head, and the first three of each further one.
+def line_patterns(text: str, project: str | None) -> tuple[list[str], list[int]]:
+    """The first two and three words of each comment line at the head, and the hash of the first three of each further one.
 
     In small letters, numbers made 0 and the project's own name ``own_``.  Patterns are mined at the head, where a file
     says what it is, and hold wherever they stand.
@@ -139,31 +139,46 @@ def line_patterns(text: str, project: str | None) -> tuple[list[str], list[str]]
                 top["line:" + " ".join(words[:2])] = top["line:" + " ".join(words)] = None
             elif len(words) == 3:
                 below["line:" + " ".join(words)] = None
-    return list(top), list(below.keys() - top.keys())
+    return list(top), [xxhash.xxh64_intdigest(x, 42) - ((1 << 64) if xxhash.xxh64_intdigest(x, 42) >> 63 else 0) for x in below if x not in top]
 
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def shingles(text: str, memo: dict[str, int] | None = None) -> np.ndarray:
-    """The distinct 64-bit hashes of the text's runs of ``WORDS`` words and marks; a shorter text is one run.
+class Shingler:
+    """``shingles(text)``: the distinct 64-bit hashes of the text's runs of ``WORDS`` words and marks; a shorter text is one run.
 
-    White space counts for nothing, so neither do indentation and line ends.  ``memo`` keeps the hashes of words.
+    White space counts for nothing, so neither do indentation and line ends.  The hashes of words are remembered.
     """
-    memo = {} if memo is None else memo
-    words = _TOKEN.findall(text)
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh64_intdigest(w)
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.array([memo[w] for w in words], dtype=np.uint64)
-    n = max(1, len(h) - WORDS + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(min(WORDS, len(h))):
-        part = h[i : i + n] * _MIX[i]
-        out += part ^ (part >> np.uint64(29))
-    return np.unique(out)
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.place, self.hashes = most, {}, np.empty(1024, dtype=np.uint64)
+
+    def _learn(self, words: list[str]) -> None:
+        new = set(words).difference(self.place)
+        if not new:
+            return
+        n = len(self.place)
+        if n + len(new) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.empty(n + len(new), dtype=np.uint64)])
+        self.hashes[n : n + len(new)] = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))
+        self.place.update(zip(new, range(n, n + len(new))))
+
+    def shingles(self, text: str) -> np.ndarray:
+        words = _TOKEN.findall(text)
+        if not words:
+            return np.empty(0, dtype=np.uint64)
+        if len(self.place) > self.most:
+            self.place.clear()
+        self._learn(words)
+        h = self.hashes[np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))]
+        n = max(1, len(h) - WORDS + 1)
+        out = np.zeros(n, dtype=np.uint64)
+        for i in range(min(WORDS, len(h))):
+            part = h[i : i + n] * _MIX[i]
+            out += part ^ (part >> np.uint64(29))
+        return np.unique(out)
 
 
 # copies ------------------------------------------------------------------------------------------------------------
@@ -171,13 +186,13 @@ def shingles(text: str, memo: dict[str, int] | None = None) -> np.ndarray:
 
 def published(upstream: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets, shingles): per published file (k, home, m), its number of shingles, and one row (k, m, h, df) per shingle,
-    with the number of files that hold it.  Equal files of one home count once; both are written once."""
+    with the number of files that hold it.  Equal files of one home count once; they are written once."""
 
     def make():
-        memo: dict[str, int] = {}
+        shingler = Shingler()
 
         def row(home, text):
-            s = shingles(text, memo)
+            s = shingler.shingles(text)
             if len(s):
                 yield xxhash.xxh64_intdigest(s.tobytes() + (home or "").encode()) - (1 << 63), home, len(s), s.view(np.int64).tolist()
 
@@ -189,18 +204,34 @@ def published(upstream: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.drop("hs"), each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
 
 
-def shingle_filter(upstream_shingles: DataFrame) -> np.ndarray:
-    """``FILTER_BITS`` bits, set at the published shingles; each is asked before a shingle leaves its task."""
-    at = F.pmod("h", F.lit(FILTER_BITS))
-    words = upstream_shingles.groupBy((F.shiftright(at, 6)).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) & 63 as int))")).alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
-    return bits.view(np.uint64)
+class Filter:
+    """Passes over the shingles of texts that cannot hold enough of any published file.
 
+    Published files are put in bands by size (powers of the root of two); each band has the size of its shortest file and
+    ``FILTER_BITS`` bits, set at its files' shingles.  A text is near if in some band as many of its shingles are set as
+    a copy of the shortest file there would have, so no copy is lost.
+    """
 
-def passed(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = s & np.uint64(FILTER_BITS - 1)
-    return s[(bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+    def __init__(self, shingled: DataFrame):
+        band = F.floor(2 * F.log2(F.col("m"))).cast("int").alias("band")
+        rows = shingled.groupBy(band, F.shiftright(F.pmod("h", F.lit(FILTER_BITS)), 6).alias("w"))
+        rows = rows.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) & 63 as int))")).alias("b"), F.min("m").alias("m")).toPandas()
+        self.bands: list[tuple[int, np.ndarray]] = []
+        for _, part in rows.groupby("band"):
+            bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+            bits[part["w"].to_numpy(dtype=np.int64)] = part["b"].to_numpy(dtype=np.int64)
+            self.bands.append((int(part["m"].min()), bits.view(np.uint64)))
+
+    def near(self, s: np.ndarray) -> np.ndarray:
+        """The shingles that may be those of a published file of which ``s`` may be a copy."""
+        at = s & np.uint64(FILTER_BITS - 1)
+        word, bit = at >> np.uint64(6), at & np.uint64(63)
+        keep = np.zeros(len(s), dtype=bool)
+        for m, bits in self.bands:
+            hit = (bits[word] >> bit) & np.uint64(1) == 1
+            if np.count_nonzero(hit) >= COPY * min(len(s), m):
+                keep |= hit
+        return s[keep]
 
 
 def enough(both: Column, n: Column, m: Column) -> Column:
@@ -211,30 +242,34 @@ def enough(both: Column, n: Column, m: Column) -> Column:
 def copies(met: DataFrame, sets: DataFrame, shingled: DataFrame) -> DataFrame:
     """file_id of the copies, from (file_id, project, n, hits) with the shingles that passed the filter.
 
-    One exact plan for any number of published files.  Two texts with enough in common share one of the rarest fifth of
-    the smaller one's shingles, so pairs are formed on those only, never on a licence that all files carry, and counted
-    in full afterwards.  The rows of a shingle that many files hold are split in ``SALT`` parts.
+    One exact plan for any number of published files.  Two texts with four fifths of the smaller one in common share
+    three tenths of it within its rarer half, so pairs are formed there only, never on a licence that all files carry,
+    and counted in full afterwards.  The rows of a shingle that many files hold are split in ``SALT`` parts.
     """
-    own = met.select("file_id", "project", "n", F.explode("hits").alias("h"))
+    parts = F.explode(F.array(*(F.lit(i) for i in range(SALT))))
     salt = F.pmod(F.xxhash64("file_id"), F.lit(SALT)).cast("int")
-    known = shingled.groupBy("h").agg(F.first("df").alias("df")).withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALT)))))
-    own = own.withColumn("salt", salt).join(known, ["h", "salt"]).drop("salt")
-    # a published file's rarest fifth and one more; a file's own, of which those that nobody published come first
-    rare = F.expr("slice(array_sort(collect_list(struct(df, h))), 1, cast(floor(max(m) / 5) as int) + 1).h")
-    theirs = shingled.groupBy("k").agg(F.max("m").alias("m"), rare.alias("rare")).select("k", "m", F.explode("rare").alias("h"))
-    mine_ = own.groupBy("file_id").agg(F.max("n").alias("n"), F.first("project").alias("project"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
-    mine_ = shared_checkpoint(met.sparkSession, mine_.where(F.size("all") > 0))
-    left = F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("all"))
-    small = mine_.where(left > 0).select("file_id", "n", F.explode(F.expr(f"slice(all, 1, cast(floor(n / 5) as int) + 1 - (n - size(all)))")["h"]).alias("h"))
-    every = mine_.select("file_id", "n", F.explode(F.col("all")["h"]).alias("h"))
-
-    def salted(rows: DataFrame, other: DataFrame) -> DataFrame:
-        wide = other.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALT)))))
-        return rows.withColumn("salt", salt).join(wide, ["h", "salt"]).drop("salt")
-
-    pairs = salted(every, theirs).where("m <= n").select("file_id", "k").unionByName(salted(small, shingled.select("k", "m", "h")).where("n < m").select("file_id", "k")).distinct()
-    # counted in full where a pair is formed
-    full = pairs.join(mine_.select("file_id", "project", "n", F.col("all")["h"].alias("hs")), "file_id")
+
+    def met_by(rows: DataFrame, other: DataFrame) -> DataFrame:
+        return rows.withColumn("salt", salt).join(other.withColumn("salt", parts), ["h", "salt"]).drop("salt")
+
+    known = shingled.groupBy("h").agg(F.first("df").alias("df"))
+    own = met_by(met.select("file_id", "project", "n", F.explode("hits").alias("h")), known)
+    held = own.groupBy("file_id").agg(F.max("n").alias("n"), F.first("project").alias("project"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
+    held = shared_checkpoint(met.sparkSession, held)
+    # the rarer half of a published file, and of a text, of whose shingles those that nobody published come first
+    theirs = shingled.groupBy("k").agg(F.max("m").alias("m"), F.expr("slice(array_sort(collect_list(struct(df, h))), 1, cast(floor(max(m) / 2) as int) + 1).h").alias("rare"))
+    theirs = theirs.select("k", "m", F.explode("rare").alias("h"))
+    every = held.select("file_id", "n", F.explode("all.h").alias("h"))
+    rare = F.expr("slice(all, 1, greatest(cast(floor(n / 2) as int) + 1 - (n - size(all)), 0)).h")
+    small = held.where(F.col("n") >= WHOLE).select("file_id", "n", F.explode(rare).alias("h"))
+
+    def shared_in_half(rows: DataFrame, size: str) -> DataFrame:
+        s = F.first(size)
+        need = F.when(s < WHOLE, F.floor(s / 2) + 1).otherwise(F.ceil(COPY * s) - (s - F.floor(s / 2) - 1))
+        return rows.groupBy("file_id", "k").agg(F.count("*").alias("c"), need.alias("need")).where("c >= need").select("file_id", "k")
+
+    pairs = shared_in_half(met_by(every, theirs).where("m <= n"), "m").unionByName(shared_in_half(met_by(small, shingled.select("k", "m", "h")).where("n < m"), "n"))
+    full = pairs.join(held.select("file_id", "project", "n", F.col("all.h").alias("hs")), "file_id")
     wide = shingled.groupBy("k").agg(F.max("m").alias("m"), F.collect_list("h").alias("theirs")).join(sets.select("k", "home"), "k")
     both = full.join(wide, "k").withColumn("both", F.size(F.array_intersect("hs", "theirs")))
     return both.where(enough(F.col("both"), F.col("n"), F.col("m")) & ~F.col("home").eqNullSafe(F.col("project"))).select("file_id").distinct()
@@ -363,7 +398,7 @@ def mine(paths: DataFrame) -> DataFrame:
     return kept.join(exceptions, "pattern", "left").withColumn("except_for", F.coalesce("except_for", F.array().cast("array<string>")))
 
 
-EVIDENCE = "file_id bigint, project string, rel_path string, generated boolean, minified boolean, data boolean, foreign boolean, convention boolean, lines array<string>, below array<string>, n int, hits array<bigint>"
+EVIDENCE = "file_id bigint, project string, rel_path string, generated boolean, minified boolean, data boolean, foreign boolean, convention boolean, lines array<string>, below array<bigint>, n int, hits array<bigint>"
 
 
 def evidence(files: DataFrame, upstream: DataFrame, layout: str | None = None) -> DataFrame:
@@ -373,25 +408,19 @@ def evidence(files: DataFrame, upstream: DataFrame, layout: str | None = None) -
     """
     spark = files.sparkSession
     sets, shingled = published(upstream)
-    shared = spark.sparkContext.broadcast(shingle_filter(shingled))
-    least = sets.agg(F.min("m").alias("m")).first()["m"] or 0
+    shared = spark.sparkContext.broadcast(Filter(shingled))
 
     def make():
-        bits, memo = shared.value, {}
+        passing, shingler = shared.value, Shingler()
 
         def row(file_id, project, path, rel, text):
             default = bool(rel and re.search(by_default(), rel))
             if text is None:
                 yield file_id, project, rel, False, False, False, False, default, [], [], 0, []
                 return
-            if len(memo) > 500_000:
-                memo.clear()
-            s = shingles(text, memo) if least else ()
-            hits = passed(s, bits) if len(s) else ()
-            # no published file is shorter than ``least``
-            near = len(hits) and len(hits) >= COPY * min(len(s), least)
+            s = shingler.shingles(text) if passing.bands else np.empty(0, dtype=np.uint64)
             code = bool(SOURCE.search(path))
-            yield file_id, project, rel, marked(text), code and dense(text), code and bulk(text), foreign(text, project), default, *line_patterns(text, project), len(s), hits.view(np.int64).tolist() if near else []
+            yield file_id, project, rel, marked(text), code and dense(text), code and bulk(text), foreign(text, project), default, *line_patterns(text, project), len(s), passing.near(s).view(np.int64).tolist()
 
         return row
 
@@ -418,9 +447,12 @@ def provenance(files: DataFrame, upstream: DataFrame, layout: str | None = None)
     known = known.withColumn("named", named).withColumn("evident", F.coalesce("excluded", named | F.col("minified") | F.col("data")))
     patterns = mine(known)
     declaring = rules.select("project").distinct().withColumn("declares", F.lit(True))
-    candidates = known.select("file_id", F.concat(_all_candidates(), F.coalesce("below", F.array().cast("array<string>"))).alias("all"))
+    candidates = known.select("file_id", _all_candidates().alias("all"))
     each = candidates.select("file_id", F.filter("all", lambda c: c.startswith("pair:") | c.startswith("line:")).alias("pairs"), F.explode("all").alias("pattern"))
-    by_path = each.join(patterns, "pattern").where(~F.arrays_overlap("pairs", "except_for")).groupBy("file_id").agg(F.max_by("pattern", F.struct(F.col("evident") / F.col("files"), "evident", "pattern")).alias("by_pattern"))
+    met = each.join(patterns, "pattern").where(~F.arrays_overlap("pairs", "except_for")).drop("pairs", "except_for")
+    lines = patterns.where(F.col("pattern").startswith("line:")).drop("except_for").withColumn("h", F.xxhash64("pattern"))
+    met = met.unionByName(known.select("file_id", F.explode("below").alias("h")).join(lines, "h").select(*met.columns))
+    by_path = met.groupBy("file_id").agg(F.max_by("pattern", F.struct(F.col("evident") / F.col("files"), "evident", "pattern")).alias("by_pattern"))
     out = known.join(by_path, "file_id", "left").join(declaring, "project", "left")
     reason = F.expr(
         "case when excluded then 'declared' when excluded = false then null when declares is null and by_pattern is not null then concat('pattern ', by_pattern) "

@@ -128,7 +128,7 @@ def test_short_texts_must_agree_as_a_whole(spark):
     up = spark.createDataFrame([("lib", "1", "a.py", None, "run(1)"), ("lib", "1", "e.py", None, "")], UPSTREAM)
     files = spark.createDataFrame([row(1, "p", "a.py", "run( 1 )\n"), row(2, "p", "b.py", "run(1); run(2)"), row(3, "p", "c.py", "run"), row(4, "p", "d.py", "")], SCHEMA)
     assert {r.file_id for r in P.evidence(files, up).where("copied").collect()} == {1}
-    assert len(P.shingles("")) == 0 and len(P.shingles("a b")) == 1
+    assert len(P.Shingler().shingles("")) == 0 and len(P.Shingler().shingles("a b")) == 1
 
 
 def test_words_of_comment_lines_are_mined(spark):
