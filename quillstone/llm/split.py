@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ LIMIT, OVERLAP = 2_000, 200
 PENALTY = {"blank": 0.0, "block": 0.15, "line": 0.4, "sentence": 0.7, "space": 1.2, "hard": 4.0}
 #: Weight of a piece's squared relative distance from the even size.
 BALANCE = 2.0
-#: Between natural boundaries further apart than this, finer ones are tried.
-COARSE = 300
+#: Where no natural boundary lies within this many characters, the text may be cut at every such multiple of them.
+GRID = 100
 
 _LINE_END = re.compile(r"\n")
 _SENTENCE = re.compile(r"[.!?;。！？]+[\"')\]]*\s|[,{}]\s")
@@ -28,35 +29,30 @@ _SPACE = re.compile(r"\s(?=\S)")
 
 
 def boundaries(text: str) -> list[tuple[int, float]]:
-    """(position, penalty) of the places to cut, in order; the last is the end of the text."""
+    """(position, penalty) of all places to cut, in order; the last is the end of the text.
+
+    Of the kinds of boundary that meet at a place the cheapest counts.  Only a stretch of more than ``GRID`` characters
+    without any gets places on a grid.
+    """
     n = len(text)
     places: dict[int, float] = {}
+    for level, rx in (("space", _SPACE), ("sentence", _SENTENCE)):
+        places.update((m.end(), PENALTY[level]) for m in rx.finditer(text))
     for m in _LINE_END.finditer(text):
         p = m.end()
-        if p < n:
-            rest = text[p : p + 1]
-            before = text[max(0, p - 3) : p - 1]
-            # of several blank lines the last is the boundary
-            blank = before.endswith(("\n", "\n\r")) and rest not in "\r\n"
-            kind = "blank" if blank else "block" if not rest.isspace() and rest not in ")]}" else "line"
-            places[p] = PENALTY[kind]
-    for level, rx in (("sentence", _SENTENCE), ("space", _SPACE)):
-        known = sorted(places) + [n]
-        last = 0
-        for p in known:
-            if p - last > COARSE:
-                for m in rx.finditer(text, last, p):
-                    if last < m.end() < p:
-                        places.setdefault(m.end(), PENALTY[level])
-            last = p
-    last = 0
-    for p in sorted(places) + [n]:
-        if p - last > COARSE:
-            for q in range(last + COARSE // 3, p, COARSE // 3):
-                # a mark that combines with the character before it stays with it
-                if not ("̀" <= text[q] <= "ͯ" or text[q] in "‍️"):
-                    places.setdefault(q, PENALTY["hard"])
+        rest = text[p : p + 1]
+        before = text[max(0, p - 3) : p - 1]
+        # of several blank lines the last is the boundary
+        blank = before.endswith(("\n", "\n\r")) and rest not in "\r\n"
+        places[p] = PENALTY["blank" if blank else "block" if rest and not rest.isspace() and rest not in ")]}" else "line"]
+    places.pop(n, None)
+    last, extra = 0, []
+    for p in [*sorted(places), n]:
+        if p - last > GRID:
+            # a mark that combines with the character before it stays with it
+            extra += [q for q in range(last + GRID, p, GRID) if not ("̀" <= text[q] <= "ͯ" or text[q] in "‍️")]
         last = p
+    places.update((q, PENALTY["hard"]) for q in extra)
     return [*sorted(places.items()), (n, 0.0)]
 
 
@@ -80,23 +76,28 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     if any(b[0] - a[0] > step for a, b in zip([(overlap, 0.0), *spots], spots)):
         have = dict(spots)
         spots = [(p, have.get(p, PENALTY["hard"])) for p in range(overlap + 1, n + 1)]
-    best = [float("inf")] * len(spots)
-    back = [-1] * len(spots)
-    low = 0
-    for j, (p, penalty) in enumerate(spots):
-        while low < j and p - (spots[low][0] - overlap) > limit:
-            low += 1
-        if p <= limit:
-            best[j] = penalty + BALANCE * ((p - even) / even) ** 2
-        for i in range(low, j):
-            q = spots[i][0]
-            size = p - q + overlap
-            cost = best[i] + penalty + BALANCE * ((size - even) / even) ** 2
-            if cost < best[j]:
-                best[j], back[j] = cost, i
-    out, j = [], len(spots) - 1
+    at = np.array([p for p, _ in spots], dtype=np.float64)
+    penalty = np.array([c for _, c in spots])
+    # the first piece begins the text; the others begin ``overlap`` before an earlier place, of which the best is taken
+    best = np.where(at <= limit, penalty + BALANCE * ((at - even) / even) ** 2, np.inf)
+    back = np.full(len(at), -1)
+    lows = np.searchsorted(at, at - step)
+    starts = at - overlap + even
+    for j in range(len(at)):
+        low = lows[j]
+        if low == j:
+            continue
+        off = starts[low:j] - at[j]
+        off *= off
+        off *= BALANCE / even**2
+        off += best[low:j]
+        i = int(off.argmin())
+        cost = off[i] + penalty[j]
+        if cost < best[j]:
+            best[j], back[j] = cost, low + i
+    out, j = [], len(at) - 1
     while j >= 0:
-        i = back[j]
+        i = int(back[j])
         out.append((spots[i][0] - overlap if i >= 0 else 0, spots[j][0]))
         j = i
     return out[::-1]
@@ -105,13 +106,16 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
 PIECES = "chunk_id string, piece int, pieces int, start_char int, end_char int, start_line int, end_line int, content string"
 
 
-def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, once: bool = True) -> DataFrame:
     """The pieces of every chunk longer than ``limit`` characters; chunks within it give no row.
 
     Chunks with equal ids are equal texts (re-sent rows, equal sections of a file): the one with the lowest start line
-    is cut.  A null content gives no row; a null start line counts as 1; further columns are ignored.
+    is cut, or with ``once=False`` each, in the task that reads it, without moving a text.  A null content gives no row;
+    a null start line counts as 1; further columns are ignored.
     """
-    long = chunks.where(F.length("content") > limit).groupBy("chunk_id").agg(F.min("content").alias("content"), F.min("start_line").alias("start_line"))
+    long = chunks.where(F.length("content") > limit)
+    if once:
+        long = long.groupBy("chunk_id").agg(F.min("content").alias("content"), F.min("start_line").alias("start_line"))
 
     def make():
         def row(chunk_id, text, first):
@@ -129,4 +133,4 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Dat
 
 def split_found(chunks: DataFrame) -> DataFrame:
     """Ids of the chunks that came out as more than one piece."""
-    return pieces(chunks).where("pieces > 1 and piece = 0").select("chunk_id")
+    return pieces(chunks, once=False).where("pieces > 1 and piece = 0").select("chunk_id").distinct()
