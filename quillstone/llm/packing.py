@@ -18,8 +18,10 @@ from .common import map_rows
 from .tokens import token_counts
 
 CAPACITY = 2_048
-#: Tokens of a shard; its few containers that stay open are all the space that sharding costs.
-SHARD_TOKENS = 8_000_000
+#: Tokens of a shard; its few containers that stay open are all the space that sharding costs (README has figures).
+SHARD_TOKENS = 2_000_000
+#: Shards that a task packs one after another, on a corpus of many.
+SHARDS_PER_TASK = 64
 
 
 class SumOfSquares:
@@ -71,7 +73,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str | None
     total = sizes.agg(F.sum("tokens").alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(total / SHARD_TOKENS))
     # a shard is a hash class of documents, so no source or project fills one; the order in it is seeded by the id
-    keyed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    # a task packs several shards one after another, as many as there are a core's worth of
+    tasks = min(shards, max(spark.sparkContext.defaultParallelism, math.ceil(shards / SHARDS_PER_TASK)))
+    keyed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(tasks, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(7)), "doc_id")
 
     def make():
         packers: dict[int, SumOfSquares] = {}
