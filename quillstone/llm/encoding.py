@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoint
 from .common import map_rows
 
 #: Size of the table of character pairs.
@@ -35,6 +36,7 @@ GAIN = 3.0
 QUOTED_SHARE = 0.8
 #: Letters a skeleton must have to tell twins by itself, and letters and digits the whole text's must have for those of its units that do not.
 LEAST_SKELETON, LEAST_CONTEXT = 12, 6
+_ENOUGH, _CONTEXT = re.compile(rf"(?:[^A-Za-z]*[A-Za-z]){{{LEAST_SKELETON}}}"), re.compile(rf"(?:[^A-Za-z0-9]*[A-Za-z0-9]){{{LEAST_CONTEXT}}}")
 #: Pairs that must support a transformation, and distinct garbled characters that they must hold.
 LEAST_PAIRS, LEAST_CHARS = 3, 2
 #: Parts into which the units of one skeleton are split.
@@ -205,19 +207,28 @@ def keyed_units(text: str) -> list[tuple[int, str]]:
     The key is the unit's skeleton; where that has too few letters (as in Chinese or Russian) it is the unit's place after
     the last one that has enough, and its place in the skeleton of the whole text.  A unit with lost characters has none.
     """
-    spans = [(m[0].strip(), m.start()) for m in _SPLIT_ASCII.finditer(text)]
-    whole = skeleton(text)
-    context = xxhash.xxh64_intdigest(whole) if sum(map(str.isalnum, whole)) >= LEAST_CONTEXT else None
-    out, anchor, since = [], "", 0
-    for n, (unit, _) in enumerate(spans):
+    parts = _SPLIT_ASCII.findall(text)
+    out, seen, anchor, at, whole = [], 0, "", 0, None
+    for n, part in enumerate(parts):
+        if part.isascii():
+            continue
+        unit = part.strip()
         own = skeleton(unit)
-        if sum(map(str.isalpha, own)) >= LEAST_SKELETON:
-            keys, anchor, since = [own], own, 0
+        if _ENOUGH.match(own):
+            keys = [own]
         else:
-            since += 1
-            keys = [f"{anchor}\x01{since}\x01{own}"] if anchor else []
-            keys += [f"{context}\x02{n}"] if context is not None else []
-        if not unit.isascii() and _LOST not in unit:
+            # the units since the last one that was looked at
+            while seen < n:
+                s = skeleton(parts[seen])
+                if _ENOUGH.match(s):
+                    anchor, at = s, seen
+                seen += 1
+            if whole is None:
+                whole = skeleton(text)
+                whole = xxhash.xxh64_intdigest(whole) if _CONTEXT.match(whole) else 0
+            keys = [f"{anchor}\x01{n - at}\x01{own}"] if anchor else []
+            keys += [f"{whole}\x02{n}"] if whole else []
+        if _LOST not in unit:
             out += [(xxhash.xxh64_intdigest(k) - (1 << 63), unit) for k in keys]
     return out
 
@@ -246,7 +257,8 @@ def twins(documents: DataFrame) -> DataFrame:
     The commonest is an aggregate that combines before it shuffles, and it meets the units of its skeleton in ``SALT``
     parts, so a skeleton that a third of all units share is no task of its own.
     """
-    counted = skeletons(documents).groupBy("skeleton", "unit").agg(F.sum("n").alias("n"))
+    # used four times, so written once
+    counted = shared_checkpoint(documents.sparkSession, skeletons(documents).groupBy("skeleton", "unit").agg(F.sum("n").alias("n")))
     several = counted.groupBy("skeleton").agg(F.count("*").alias("units")).where("units > 1").select("skeleton")
     met = counted.join(several, "skeleton", "left_semi")
     best = met.groupBy("skeleton").agg(F.max(F.struct("n", -F.length("unit"), "unit"))["unit"].alias("clean"))
