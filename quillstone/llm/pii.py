@@ -2,12 +2,20 @@
 
 Regular expressions propose spans, checksums (Luhn, mod 97, EAN-13) confirm numbers that carry one, and words near a
 span raise or lower its score; a span is taken from ``ENOUGH`` on.  Found values become placeholders of their type.
+
+What is no name is not listed but counted: a word that the corpus mostly writes in small letters is no part of one.
+The counters (``Case``) have a fixed size.  Names whose surroundings say too little, and names in small letters, are
+confirmed by the given names and surnames of names that are sure: a join.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +24,15 @@ from .common import map_rows
 
 #: Score from which a span counts.
 ENOUGH = 0.5
-#: Names with capitals that a given name must open to confirm one in small letters.
+#: Sure names in which a given name or surname must be seen to confirm one that is not.
 LEAST_SEEN = 2
+#: Counters of words per hash, and hashes; of a word the least counter is read, so that a clash can only add.
+COUNTERS, HASHES, KINDS = 1 << 19, 2, 3
+#: A word belongs to names if, for each time it is seen inside a sentence with a capital, it is seen at most this often in
+#: small letters, and opens a sentence at most so often.
+SMALL_SHARE, OPEN_SHARE = 2.0, 8.0
+#: Characters before and after a span in which words are looked for.
+BEFORE, NEAR, AFTER = 40, 20, 60
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 #: Mailbox names of roles and services (RFC 2142 and common usage).
@@ -78,38 +93,96 @@ _ADDRESS = re.compile(
     re.X,
 )
 
-#: Words that open sentences or name things, so they are no part of a person's name.
-_NOT_NAME = set(
-    "The This That These Those There Here Next Done No Not Yes Ok Why What When Where Who How If Let Please Ship Write Running Use See Call Reset Add Remove Now Then But And Or For From With Without "
-    "Customer Author Reviewer Owner Ping Port Street Road Lane Avenue Labs Lab Router Planner Query Worker Lanes Happy Path Test Job Team Server Service Group Inc Ltd Gmbh Corp Company University "
-    "Reisepass Passport Plan User Assistant System Note Notes Error Warning Info Todo Fixme We You They He She It Its I A An In On At By To Of As Is Are Was Were Be Do Does Did Can Could Will Would "
-    "Should May Might Must Dialogue Chat Session Version Large Small Every Each Some Any All One Two Three First Last Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March "
-    "April June July August September October November December Override Param".split()
-)
 _TITLE = r"(?:Dr|Mr|Mrs|Ms|Mx|Prof|Professor|Herr|Frau|Mme|M|Sr|Sra|Sir|Dame)\.?"
 _PARTICLE = r"(?:van|der|den|von|zu|de|da|do|del|della|di|dos|la|le|bin|ibn|al|el|ter|ten|af)"
 _TOKEN = rf"(?:[dDlL]['’])?[{_UP}](?:[\w]|['’](?!s(?!\w))|-(?=\w))*"
 _NAME = re.compile(rf"(?<![\w.@/<-]){_TOKEN}(?:[ ](?:[{_UP}]\.|{_PARTICLE}|{_TOKEN})){{0,3}}[ ]{_TOKEN}(?![\w@])|(?<![\w.@/<-]){_TOKEN},[ ]{_TOKEN}(?![\w@])")
-#: A name without capitals can only be told from other words by its context and by the given names seen elsewhere.
-_LOWER = r"(?:[^\W\d_A-Z][^\W\d_]*(?:['’-][^\W\d_]+)*?)"
-_PAIR = rf"{_LOWER}(?:[ ][a-z]\.)?[ ]{_LOWER}"
-_LOWER_NAME = re.compile(
-    rf"(?:(?<=name=)|(?<=uthor: )|(?<=wner: )|(?<=viewer: )|(?<=ODO\()|(?<=\bmet )|(?<=\bask )|(?<=red with )|(?<=\bDr\. )|(?<=ed by )|(?<=hat is ))(?P<a>{_PAIR})(?![\w])"
-    rf"|(?<![\w.'’@/-])(?P<b>{_PAIR})(?=[ ]<[^<>\n]*(?:@|\bat\b)|['’]s branch|[ ](?:reported|wrote|said|approved|reviewed|joined)\b)"
-)
+_LABEL = r"(?:name|author|reviewer|owner|assignee|contact|maintainer|customer|client|patient|employee|manager|sender|recipient|signed-off-by|co-authored-by|reported-by|reviewed-by|attn|from|to|cc)"
+#: General words that stand before a person's name, and after it.
+_SURE_BEFORE = re.compile(rf"(?i)(?:\b{_LABEL}\s*[:=]\s*[\"']?|\b(?:todo|fixme|xxx|hack)\(|\b{_TITLE}\s+)$")
 _BEFORE = re.compile(
-    rf"(?i)(?:\b(?:name|author|reviewer|owner|assignee|contact|maintainer|customer|client|from|to|cc|signed-off-by|co-authored-by|reported-by|reviewed-by|attn)\s*[:=]\s*[\"']?"
-    rf"|\b(?:todo|fixme|xxx|hack)\(|\b(?:met|ask|asked|paired with|told|thank|thanks to|emailed|called|hired|signed by|written by|reported by|reviewed by|approved by|assigned to|speak to|talk to|spoke to|regards,?|sincerely,?|is|was|by|with)\s+"
-    rf"|\b{_TITLE}\s+)$"
+    r"(?i)(?:\b(?:with|to|from|by|for|via|and|or|cc|than|thanks|hi|hello|dear|hey|regards|sincerely|cheers|signed|is|was|that|where|when|because|if|whether|says?|said"
+    r"|ask(?:ed|s)?|tell|told|tells|met|meet|meets|call(?:ed|s)?|email(?:ed|s)?|ping(?:ed)?|thank(?:ed)?|invite[ds]?|contact(?:ed)?|hire[ds]?|join(?:ed)?|see|saw|help(?:ed)?|visit(?:ed)?|know|knows|knew|remind(?:ed)?|notif(?:y|ied)|pay|paid"
+    r"|colleague|friend|boss|manager|engineer|developer|designer|doctor|nurse|patient|teacher|student|lawyer|client|customer|tenant|applicant|candidate|author|owner|reviewer|user|employee|mother|father|brother|sister|wife|husband|partner|son|daughter)(?:[,:]|\s*[-–—])?\s+[\"'(]?"
+    r"|[\n(\"'>:;]\s*)$"
 )
-_AFTER = re.compile(
-    r"^(?:\s*<[^<>\n]*(?:@|\sat\s|\[at\]|\(at\))|['’]s (?:branch|desk|laptop|account|fork|patch|commit|ticket|phone|machine|review|address|team|change|pull request|pr|email|code|version|work|file|calendar)"
-    r"|\s+(?:reported|wrote|said|asked|joined|left|approved|reviewed|merged|fixed|lives|called|emailed|agreed|signed|owns|maintains|pushed|opened|closed|filed|told|noticed|found|and I|will|has|is|was|works|prefers)\b"
-    r"|\s*,\s*(?:born|aged|who|her|his|their|the (?:author|owner|maintainer))\b)"
-)
-#: Words before a span that speak for it strongly on their own.
-_STRONG_BEFORE = re.compile(rf"(?i)(?:\b(?:name|author|reviewer|owner|assignee|maintainer|customer|signed-off-by|co-authored-by|reported-by|reviewed-by)\s*[:=]\s*[\"']?|\b(?:todo|fixme)\(|\b(?:met|ask|asked|paired with|told|signed by|written by|reported by|reviewed by|approved by|assigned to|spoke to)\s+|\b{_TITLE}\s+)$")
-_STRONG_AFTER = re.compile(r"^(?:\s*<[^<>\n]*(?:@|\sat\s|\[at\]|\(at\))|['’]s branch|\s+(?:reported|wrote|said|approved|reviewed|joined)\b)")
+_SURE_AFTER = re.compile(r"^(?:\s*<[^<>\n]*(?:@|\sat\s|\[at\]|\(at\))|['’]s(?!\w))")
+_AFTER = re.compile(r"^(?:\s+(?:is|was|has|had|will|would|can|could|should|may|might|must|did|does|and|who|whose|said|says|wrote|writes|met|left|told|thinks|works|lives|owns|runs|[a-z]{3,}ed)\b|\s*,\s*(?:born|aged|who|her|his|their|the)\b|\s*[-–—(<]|\s*$|\s*[\n])")
+#: What comes before names of places and numbered things.
+_PLACE_BEFORE = re.compile(r"(?i)(?:\b(?:the|in|at|near|of|into|around|between|city|port|street|town)\s+|\d[,.]?\s*)$")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Words that are counted: none of an address, a path, a number or an identifier.
+_COUNTED = re.compile(r"(?<![\w@.+/<=-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w@]|[.+/-]\w|=)")
+
+
+class Case:
+    """How often the corpus writes a word in small letters, inside a sentence with a capital, and at a sentence's or line's beginning with one."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.seen = counts, {}
+
+    @staticmethod
+    def empty() -> Case:
+        return Case(np.zeros((KINDS, HASHES, COUNTERS), dtype=np.int32))
+
+    @staticmethod
+    def places(word: str) -> list[int]:
+        h = xxhash.xxh64_intdigest(word)
+        return [(h >> (32 * i)) % COUNTERS for i in range(HASHES)]
+
+    def get(self, word: str) -> tuple[int, int, int]:
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            at = self.places(word.lower())
+            found = self.seen[word] = tuple(min(int(self.counts[k, i, p]) for i, p in enumerate(at)) for k in range(KINDS))
+        return found
+
+    def proper(self, word: str) -> bool:
+        """Whether a word may be part of a name: one that is mostly written with a capital, or that nobody writes small."""
+        small, inside, opening = self.get(word)
+        return small <= max(1, SMALL_SHARE * inside) and opening <= OPEN_SHARE * max(1, inside)
+
+    def known(self, word: str) -> bool:
+        """Whether a word in small letters is mostly written with a capital elsewhere."""
+        return self.get(word)[1] >= LEAST_SEEN and self.proper(word)
+
+
+def words_seen(text: str) -> tuple[list[str], list[str], list[str]]:
+    """The words of a text in small letters; those with a capital inside a sentence; those with one that open a sentence or line."""
+    small, inside, opening = [], [], []
+    for m in _COUNTED.finditer(text):
+        w, at = m[0], m.start()
+        if w.islower():
+            small.append(w)
+        elif w[0].isupper() and not w.isupper():
+            before = text[max(0, at - 2) : at]
+            (inside if len(before) == 2 and before[1] == " " and before[0] not in ".!?:\n\"'(>#*=-" else opening).append(w.lower())
+    return small, inside, opening
+
+
+def case_counts(records: DataFrame) -> Case:
+    """The counters over all records; what reaches the driver is their fixed size at most."""
+    import pyarrow as pa
+
+    def run(batches):
+        counts = [Counter() for _ in range(KINDS)]
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for k, words in enumerate(words_seen(text)):
+                    counts[k].update(words)
+        out: Counter[int] = Counter()
+        for k in range(KINDS):
+            for w, n in counts[k].items():
+                for i, p in enumerate(Case.places(w)):
+                    out[(k * HASHES + i) * COUNTERS + p] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.int64())], names=["at", "n"])
+
+    rows = records.select("content").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(KINDS * HASHES * COUNTERS, dtype=np.int32)
+    counts[rows["at"].to_numpy(dtype=np.int64)] = np.minimum(rows["n"].to_numpy(dtype=np.int64), 2**31 - 1)
+    return Case(counts.reshape(KINDS, HASHES, COUNTERS))
 
 
 def luhn(digits: str) -> bool:
@@ -148,7 +221,7 @@ def _phones(text):
     for m in _PHONE.finditer(text):
         v = m[0]
         digits = re.sub(r"\D", "", v)
-        before = text[max(0, m.start() - 40) : m.start()]
+        before = text[max(0, m.start() - BEFORE) : m.start()]
         if not 7 <= len(digits) <= 15:
             continue
         score = 0.6 if v[0] in "+(" or v[:2] == "00" or len(digits) >= 9 else 0.3
@@ -171,10 +244,10 @@ def _ids(text):
             yield m.start(), m.end(), "id_number", 0.9
     for rx, valid in ((_IBAN, mod97), (_CARD, lambda s: 13 <= len(re.sub(r"\D", "", s)) <= 19 and luhn(re.sub(r"\D", "", s)))):
         for m in rx.finditer(text):
-            if valid(m[0]) and not _NUMBER_WORDS.search(text[max(0, m.start() - 20) : m.start()]):
+            if valid(m[0]) and not _NUMBER_WORDS.search(text[max(0, m.start() - NEAR) : m.start()]):
                 yield m.start(), m.end(), "id_number", 0.8
     for m in _SSN.finditer(text):
-        if re.search(r"(?i)\b(?:ssn|social|security|tax|identity)\b", text[max(0, m.start() - 40) : m.start()]):
+        if re.search(r"(?i)\b(?:ssn|social|security|tax|identity)\b", text[max(0, m.start() - BEFORE) : m.start()]):
             yield m.start(), m.end(), "id_number", 0.7
 
 
@@ -183,46 +256,90 @@ def _addresses(text):
         yield m.start(), m.end(), "address", 0.8
 
 
-def _names(text):
-    for m in _NAME.finditer(text):
-        a, b = m.span()
-        words = m[0].split(" ")
-        while words and words[0] in _NOT_NAME | {"Dr.", "Dr", "Mr", "Mrs", "Ms", "Prof"}:
-            a += len(words[0]) + 1
-            words.pop(0)
-        stop = next((i for i, w in enumerate(words) if w in _NOT_NAME), len(words))
-        words = words[:stop]
-        while words and (len(words[-1].rstrip(".")) < 2 or words[-1].islower()):
-            words.pop()
-        # a list of names is told apart from a surname with its given name by what stands before and after
-        if len(words) < 2:
+def _names(text, case):
+    at = 0
+    while m := _NAME.search(text, at):
+        at = m.end()
+        if "," in m[0] and not case.proper(m[0].partition(",")[0]):
+            # no surname before the comma: the name may begin after it
+            at = m.start() + m[0].index(",")
+            continue
+        # words that the corpus writes small open a sentence or end the name
+        run: list[tuple[int, int, str]] = []
+        runs = [run]
+        listed = "," in m[0]
+        for w in _NAME_WORD.finditer(m[0]):
+            word = w[0]
+            bare = word.rstrip(".")
+            if run and (len(bare) < 2 or word.islower()) or len(bare) > 1 and not _TITLES.fullmatch(word) and case.proper(bare):
+                run.append((m.start() + w.start(), m.start() + w.end(), word))
+            elif run:
+                run = []
+                runs.append(run)
+        for run in runs:
+            while run and (len(run[-1][2].rstrip(".")) < 2 or run[-1][2].islower()):
+                run.pop()
+            if len(run) < 2 or listed and len(runs) > 1:
+                continue
+            a, b = run[0][0], run[-1][1]
+            before, after = text[max(0, a - BEFORE) : a], text[b : b + AFTER]
+            # two words that are names and stand as one need little more; what follows "the" or "in" is no person
+            score = 0.3 + 0.5 * bool(_SURE_BEFORE.search(before)) + 0.4 * bool(_SURE_AFTER.match(after)) + 0.25 * bool(_BEFORE.search(before) or a == 0) + 0.25 * bool(_AFTER.match(after)) - 0.4 * bool(_PLACE_BEFORE.search(before))
+            yield a, b, "name", score
+
+
+_NAME_WORD = re.compile(r"[^\s,]+")
+_TITLES = re.compile(_TITLE)
+
+
+def _free(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """The spans without those that overlap a better scored, then longer, then earlier one; in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    kept = []
+    for x in sorted(spans, key=lambda x: (-x[3], x[0] - x[1], x[0])):
+        # what was kept is disjoint, so only the neighbours can overlap
+        at = bisect_right(starts, x[0])
+        if (at and ends[at - 1] > x[0]) or (at < len(starts) and starts[at] < x[1]):
             continue
-        b = a + len(" ".join(words))
-        before, after = text[max(0, a - 40) : a], text[b : b + 60]
-        score = 0.5 * bool(_STRONG_BEFORE.search(before)) + 0.5 * bool(_STRONG_AFTER.match(after)) + 0.25 * bool(_BEFORE.search(before)) + 0.25 * bool(_AFTER.match(after))
-        yield a, b, "name", score
+        starts.insert(at, x[0])
+        ends.insert(at, x[1])
+        kept.append(x)
+    return sorted(kept)
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of each span, without overlaps, in order.  Of spans that overlap the better scored, then the longer one stays."""
+def find(text: str | None, case: Case | None = None) -> list[tuple[int, int, str, float]]:
+    """(start, end, type, score) of each span, without overlaps, in order.  Of spans that overlap the better scored, then the longer one stays.
+
+    Names may score less than ``ENOUGH``: they are to be confirmed.
+    """
     if not text:
         return []
-    spans = [x for f in (_emails, _phones, _ids, _addresses, _names) for x in f(text) if x[3] >= ENOUGH]
-    spans.sort(key=lambda x: (-x[3], x[0] - x[1], x[0]))
-    taken: list[tuple[int, int, str]] = []
-    for a, b, kind, _ in spans:
-        if all(b <= c or a >= d for c, d, _ in taken):
-            taken.append((a, b, kind))
-    return sorted(taken)
-
-
-def find_lower(text: str | None, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, given name) of names in small letters where the context allows one; to be confirmed."""
-    out: list[tuple[int, int, str]] = []
-    for m in _LOWER_NAME.finditer(text or ""):
-        a, b = m.span("a" if m["a"] else "b")
-        if all(b <= c or a >= d for c, d, _ in taken):
-            out.append((a, b, text[a:b].split(" ")[0]))
+    case = case or Case.empty()
+    spans = [x for f in (_emails, _phones, _ids, _addresses) for x in f(text) if x[3] >= ENOUGH]
+    return _free([*spans, *_names(text, case)])
+
+
+def find_lower(text: str | None, taken: list[tuple[int, int, str, float]], case: Case) -> list[tuple[int, int]]:
+    """(start, end) of two words in small letters, an initial between them or not, that are written with capitals elsewhere; to be confirmed."""
+    out: list[tuple[int, int]] = []
+    if not text or not any(case.known(w) for w in set(_WORD.findall(text)) if w.islower()):
+        return out
+    starts = [x[0] for x in taken]
+    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+    n = 0
+    while n + 1 < len(words):
+        last = n + 1
+        if len(words[last][2]) == 1 and last + 1 < len(words) and text[words[last][1] : words[last + 1][0]] == ". ":
+            last += 1
+        (a, end, first), (begin, b, family) = words[n], words[last]
+        between = text[end:begin]
+        if first.islower() and family.islower() and (between == " " or last > n + 1 and between[:1] == " ") and case.known(first) and case.known(family):
+            at = bisect_right(starts, a)
+            if not (at and taken[at - 1][1] > a) and not (at < len(starts) and starts[at] < b):
+                out.append((a, b))
+            n = last
+        n += 1
     return out
 
 
@@ -241,31 +358,43 @@ def records(turns: DataFrame, notes: DataFrame) -> DataFrame:
     return t.unionByName(n).where(F.length("content") > 0)
 
 
-SPANS = "record_kind string, record_id bigint, start int, `end` int, pii_type string, value string, given string, sure boolean"
+SPANS = "record_kind string, record_id bigint, start int, `end` int, pii_type string, value string, given string, family string, sure boolean"
+
+
+def _parts(name: str) -> tuple[str, str]:
+    """(given name, surname) in small letters."""
+    words = name.lower().split(", ")[::-1] if ", " in name else name.lower().split(" ")
+    return words[0], words[-1]
 
 
 def spans(turns: DataFrame, notes: DataFrame) -> DataFrame:
     """One row per span of a delivered record: offsets in code points, type, value.
 
-    ``given`` is a name's first word in small letters.  A name written in small letters is kept only if that word also
-    opens at least ``LEAST_SEEN`` names with capitals somewhere in the corpus (a join, so no list of names is held).
+    A name that its surroundings do not make sure, or that is written in small letters, is kept if its given name and its
+    surname are those of at least ``LEAST_SEEN`` sure names each, somewhere in the corpus (a join, so no list of names is held).
     """
+    given = records(turns, notes)
+    shared = turns.sparkSession.sparkContext.broadcast(case_counts(given).counts)
 
     def make():
+        case = Case(shared.value)
+
         def row(kind, key, text):
-            found = find(text)
-            for a, b, t in found:
-                words = text[a:b].split(", ")[::-1][0].split(" ") if t == "name" else [None]
-                yield kind, key, a, b, t, text[a:b], words[0] and words[0].lower(), True
-            for a, b, given in find_lower(text, found):
-                yield kind, key, a, b, "name", text[a:b], given, False
+            found = find(text, case)
+            for a, b, t, score in found:
+                yield kind, key, a, b, t, text[a:b], *(_parts(text[a:b]) if t == "name" else (None, None)), score >= ENOUGH
+            for a, b in find_lower(text, found, case):
+                yield kind, key, a, b, "name", text[a:b], *_parts(text[a:b]), False
 
         return row
 
-    # the spans are used three times: they are written once, the texts are read once
-    every = shared_checkpoint(turns.sparkSession, map_rows(records(turns, notes), ["record_kind", "record_id", "content"], SPANS, make))
-    seen = every.where("sure and given is not null").groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN).select("given")
-    return every.where("sure").unionByName(every.where("not sure").join(seen, "given", "left_semi").select(*every.columns))
+    # the spans are used several times: they are written once
+    every = shared_checkpoint(turns.sparkSession, map_rows(given, ["record_kind", "record_id", "content"], SPANS, make))
+    sure, open_ = every.where("sure"), every.where("not sure")
+    for part in ("given", "family"):
+        seen = sure.where(F.col(part).isNotNull()).groupBy(part).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN).select(part)
+        open_ = open_.join(seen, part, "left_semi").select(*every.columns)
+    return sure.unionByName(open_)
 
 
 def pii_found(turns: DataFrame, notes: DataFrame) -> DataFrame:
