@@ -12,6 +12,7 @@ from .operators import files as fs
 from .operators import memory, search, stats, symbols
 from .operators.rules import Rule
 from .plans.index import Index
+from .plans.memory import Memory
 from .plans.progress import Progress, State
 from .sources import config as configs
 from .sources.embedder import Embedder, HashedEmbedder
@@ -37,6 +38,7 @@ class Engine:
         self.spark, self.files, self.projects, self.notes = spark, files, projects, notes
         self.embedder = embedder or HashedEmbedder()
         self.index = Index(spark, folder, self.embedder)
+        self.memory = Memory(spark, posixpath.join(folder, "memory"), self.embedder)
         self.config = config or configs.Config()
         self.progress = Progress(posixpath.join(folder, "progress.json"))
 
@@ -44,16 +46,16 @@ class Engine:
 
     def resolve(self, project: str | None = None, path: str | None = None, absolute: bool = False) -> str:
         """The absolute path of ``path`` in ``project``; it must lie in a project unless ``absolute`` is allowed."""
-        roots = {r["project_id"]: r["path"] for r in self.projects.select("project_id", "path").toLocalIterator()}
-        if project and project not in roots:
+        named = self.projects.where(F.col("project_id") == project).select("path").first() if project else None
+        if project and named is None:
             raise ToolError("project_not_found", f"no project {project}", "list_projects names them")
         if path and path.startswith("/"):
             full = posixpath.normpath(path)
         elif project:
-            full = posixpath.normpath(posixpath.join(roots[project], path or ""))
+            full = posixpath.normpath(posixpath.join(named["path"], path or ""))
         else:
             raise ToolError("missing_argument", "a project or an absolute path is needed")
-        if not absolute and not any(full == r or full.startswith(r.rstrip("/") + "/") for r in roots.values()):
+        if not absolute and self.projects.where(under(F.lit(full), F.rtrim(F.col("path"), F.lit("/")))).isEmpty():
             raise ToolError("path_not_allowed", f"{full} lies in no project")
         return full
 
@@ -135,7 +137,7 @@ class Engine:
 
     def reindex_files(self, paths: list[str]) -> dict[str, int]:
         full = [self.resolve(None, p) for p in paths]
-        wanted = self.spark.createDataFrame([(p,) for p in full], "root string")
+        wanted = self.spark.createDataFrame([(p,) for p in full], "root string")  # as long as the caller's list
         # a directory stands for the files below it, in the table and in the index
         known = self.files.select("project_id", "path").unionByName(self.index.state().select("project_id", "path")).distinct()
         hit = known.join(F.broadcast(wanted), under(F.col("path"), F.col("root")), "left_semi")
@@ -198,21 +200,25 @@ class Engine:
 
     # memory
 
-    def _memory_vectors(self) -> DataFrame:
-        from .sources.chunking import chunk
-
+    def _remembered(self) -> DataFrame:
         if self.notes is None:
             raise ToolError("not_ready", "there is no memory")
-        named = self.notes.select(F.concat(F.lit("memory-"), F.col("provider")).alias("project_id"), "path", F.sha2("content", 256).alias("hash"), "content")
-        return self.embedder.embed(chunk(named))
+        return self.notes.select("path", "provider", "content")
+
+    def sync_memory(self) -> dict[str, int]:
+        """Brings the memory's vectors in line with the remembered files; a job to run every ``sync_minutes``."""
+        return self.memory.sync(self._remembered())
 
     def memory_search(self, query: str, provider: str = "cascade", top_k: int = 10) -> DataFrame:
-        rows = search.memory_search(self._memory_vectors(), self._query(query), top_k, provider)
+        """The remembered files nearest to the query, by the vectors of the last synchronisation."""
+        self._query(query)
+        self._remembered()
+        rows = self.memory.search(query, top_k, provider)
         return rows.select("path", F.lit(provider).alias("provider"), "score", "content", "start_line", "end_line")
 
     def rebuild_memory(self) -> int:
-        """How many sections the memory holds; it has no state of its own that could be stale."""
-        return self._memory_vectors().count()
+        """Forgets the memory's vectors and makes them anew; how many there are."""
+        return self.memory.rebuild(self.memory.files(self._remembered()))["chunks"]
 
     def memory_list(self, provider: str | None = None) -> DataFrame:
         return memory.listed(self.notes, provider).orderBy("path")
@@ -226,6 +232,8 @@ class Engine:
         provider = provider or self.config.memory_provider
         row = self.spark.createDataFrame([(0, title, content, tags or [], provider)], "note_id bigint, title string, content string, tags array<string>, provider string")
         made = memory.note_files(row.withColumn("written_at", F.current_timestamp())).select("path", "provider", "content")
-        written = made.collect()
-        self.notes = (self.notes if self.notes is not None else made.limit(0)).unionByName(self.spark.createDataFrame(written, made.schema), allowMissingColumns=True)
+        written = made.collect()  # one row, whose time is now fixed
+        note = self.spark.createDataFrame(written, made.schema)
+        self.memory.write(note)
+        self.notes = (self.notes if self.notes is not None else note.limit(0)).unionByName(note, allowMissingColumns=True)
         return written[0]["path"]

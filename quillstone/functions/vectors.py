@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dot_with(a: Column, vector: Sequence[float]) -> Column:
+    """The dot product of a column of vectors, all as long as ``vector``, with that one vector: a matrix product per Arrow batch."""
+    q = np.array(list(vector), dtype=np.float64)
+
+    @F.arrow_udf("double")
+    def product(v: pa.Array) -> pa.Array:
+        return pa.array(np.asarray(v.flatten(), dtype=np.float64).reshape(len(v), len(q)) @ q)
+
+    return product(a)
+
+
 def literal(vector: Sequence[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector)).cast("array<double>")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import few
+
 
 class DimensionError(ValueError):
     """Vectors of different lengths."""
@@ -22,9 +24,24 @@ def deleted(files: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def latest(files: DataFrame, key: str = "file_id", arrival: str = "seen_at") -> DataFrame:
-    """One row per key: of re-sent rows the last to arrive."""
+    """One row per key, a null key being one too: of re-sent rows the last to arrive.
+
+    Which keys came more than once is found on the key alone; the other rows, texts and all, are not moved as long as
+    those keys are few enough to be sent to the tasks.
+    """
+    again = few(files.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
     w = Window.partitionBy(key).orderBy(F.desc_nulls_last(arrival))
-    return files.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    several = files.join(again, same, "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return files.join(again, same, "left_anti").unionByName(several)
+
+
+def between(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, kind): what changed from one snapshot (path, hash) to the next: ``create``, ``write`` or ``remove``."""
+    old, new = before.select("path", F.col("hash").alias("_old"), F.lit(True).alias("_had")), after.select("path", F.col("hash").alias("_new"), F.lit(True).alias("_has"))
+    met = old.join(new, "path", "full")
+    kind = F.when(F.col("_had").isNull(), "create").when(F.col("_has").isNull(), "remove").when(~F.col("_old").eqNullSafe(F.col("_new")), "write")
+    return met.select("path", kind.alias("kind")).where("kind is not null")
 
 
 def upsert(store: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -32,7 +32,8 @@ def grep(files: DataFrame, query: str, regex: bool = False, root: str | None = N
 
     numbered = F.transform(lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("line"), x.alias("content")))
     found = rows.select("path", F.explode(F.filter(numbered, lambda x: hit(x["content"]))).alias("m"))
-    return found.select("path", "m.line", "m.content")
+    # a file that was delivered again gives its matches once; only matches are moved for that
+    return found.select("path", "m.line", "m.content").distinct()
 
 
 def grep_top(files: DataFrame, query: str, k: int = GREP_K, regex: bool = False, root: str | None = None, most_bytes: int | None = GREP_BYTES) -> DataFrame:
@@ -43,7 +44,7 @@ def grep_top(files: DataFrame, query: str, k: int = GREP_K, regex: bool = False,
 def context(files: DataFrame, start: int = 0, end: int = 0) -> DataFrame:
     """(path, content) with the lines asked for; files shorter than ``start`` give no row."""
     part = line_range(F.col("content"), F.lit(start), F.lit(end))
-    return files.select("path", part.alias("content")).where(F.col("content").isNotNull())
+    return files.select("path", part.alias("content")).where(F.col("content").isNotNull()).distinct()
 
 
 def listing(files: DataFrame, pattern: str = "*", directories: bool = False) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.glob import rule_regex
 from ..functions.text import extension, under
+from ..session import few
 
 #: What is indexed where a project says nothing, and what never is (anchored at the project's root).
 DEFAULT_EXTENSIONS = (".go", ".py", ".js", ".ts", ".jsx", ".tsx", ".rs", ".md")
@@ -48,19 +50,20 @@ def should_index(rule: Rule, rel: Column, size: Column) -> Column:
 def with_rules(files: DataFrame, projects: DataFrame) -> DataFrame:
     """``files`` with the column ``indexed``: each file judged by its project's rule in ``projects``, null project ids by none.
 
-    Globs become expressions on the driver, once per project, so that the judgement of the files is one join and
-    ``rlike``.  Projects are a configuration table: their rules are read to the driver, their number is checked.
+    Globs become expressions in tasks, once per project, so that the judgement of the files is one join and ``rlike``.
+    Any number of projects may come: few are sent to the tasks, many are joined.
     """
-    rules = projects.select("project_id", "extensions", "include", "exclude", "max_file_size_mb").limit(MAX_PROJECTS + 1).collect()
-    if len(rules) > MAX_PROJECTS:
-        raise ValueError(f"more than {MAX_PROJECTS} projects: split the configuration")
-    rows = []
-    for r in rules:
-        include = "|".join(f"(?:{rule_regex(p)})" for p in r.include or []) or ".*"
-        exclude = "|".join(f"(?:{rule_regex(p)})" for p in (*DEFAULT_EXCLUDES, *(r.exclude or [])))
-        exts = [e.lower() for e in (r.extensions or DEFAULT_EXTENSIONS)]
-        rows.append((r.project_id, include, exclude, exts, (r.max_file_size_mb or 0) * 1024 * 1024))
-    table = files.sparkSession.createDataFrame(rows, "project_id string, rule_include string, rule_exclude string, rule_extensions array<string>, rule_bytes bigint")
+
+    def compiled(batches):
+        for pdf in batches:
+            rows = []
+            for project, exts, include, exclude, mb in zip(*(pdf[c] for c in ("project_id", "extensions", "include", "exclude", "mb"))):
+                rows.append((project, "|".join(f"(?:{rule_regex(p)})" for p in include) or ".*", "|".join(f"(?:{rule_regex(p)})" for p in (*DEFAULT_EXCLUDES, *exclude)), [e.lower() for e in (list(exts) or DEFAULT_EXTENSIONS)], int(mb) << 20))
+            yield pd.DataFrame(rows, columns=["project_id", "rule_include", "rule_exclude", "rule_extensions", "rule_bytes"])
+
+    listed = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("extensions", "include", "exclude")]
+    given = projects.select("project_id", *listed, F.coalesce("max_file_size_mb", F.lit(0)).cast("bigint").alias("mb"))
+    table = few(given.mapInPandas(compiled, "project_id string, rule_include string, rule_exclude string, rule_extensions array<string>, rule_bytes bigint"))
     low, ext = F.lower("rel_path"), extension(F.col("rel_path"))
     keep = (
         F.rlike(low, F.col("rule_include"))
@@ -69,14 +72,10 @@ def with_rules(files: DataFrame, projects: DataFrame) -> DataFrame:
         & F.array_contains("rule_extensions", ext)
         & ((F.col("rule_bytes") == 0) | (F.col("size") <= F.col("rule_bytes")))
     )
-    joined = files.join(F.broadcast(table), "project_id", "left")
+    joined = files.join(table, "project_id", "left")
     return joined.withColumn("indexed", F.coalesce(keep, F.lit(False))).drop("rule_include", "rule_exclude", "rule_extensions", "rule_bytes")
 
 
-#: Most projects whose rules are compiled on the driver and sent to all tasks.
-MAX_PROJECTS = 10_000
-
-
 def ignore_regex(line: str) -> tuple[bool, str] | None:
     """(negated, expression on the path below the ignore file's directory) of a line of an ignore file."""
     line = line.rstrip("\r\n")
@@ -128,12 +127,14 @@ def ignored(files: DataFrame, ignore_files: DataFrame) -> DataFrame:
     The files of every directory from the root to the file's own are asked, each with the path below it; in one file
     the last matching line decides, and any file that ignores is enough: a deeper ``!`` line does not bring back.
     """
-    rows = []
-    for r in ignore_files.select("root", "dir", "content").toLocalIterator():
-        for n, line in enumerate((r.content or "").split("\n")):
-            if parsed := ignore_regex(line):
-                rows.append((r.root, r.dir, n, *parsed))
-    rules = files.sparkSession.createDataFrame(rows, "root string, dir string, line int, negated boolean, expression string")
+
+    def parsed(batches):
+        for pdf in batches:
+            rows = [(root, where, n, *rule) for root, where, text in zip(pdf["root"], pdf["dir"], pdf["content"]) for n, line in enumerate((text or "").split("\n")) if (rule := ignore_regex(line))]
+            yield pd.DataFrame(rows, columns=["root", "dir", "line", "negated", "expression"])
+
+    # the files are read in tasks, a row in, a row per line out; their rules meet the paths in a join
+    rules = ignore_files.select("root", "dir", "content").mapInPandas(parsed, "root string, dir string, line int, negated boolean, expression string")
     parts = F.split("rel_path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     below = F.expr("if(dir = '', rel_path, substring(rel_path, length(dir) + 2))")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preview, under
-from ..functions.vectors import dot, literal
+from ..functions.vectors import dot_with
+from ..session import shared_checkpoint
 
 #: Candidates fetched per result wanted, without and with a path prefix.
 OVERFETCH, OVERFETCH_PATH = 2, 4
@@ -19,7 +20,7 @@ DEFAULT_K = 10
 def scored(vectors: DataFrame, query: Sequence[float], column: str = "embedding") -> DataFrame:
     """``vectors`` with ``score``, the dot product with ``query``; a null vector, or one of another length, gets no row."""
     v = F.col(column)
-    return vectors.where(F.size(v) == len(query)).withColumn("score", F.round(dot(v, literal(query)), 6))
+    return vectors.where(F.size(v) == len(query)).withColumn("score", F.round(dot_with(v, query), 6))
 
 
 def top_k(rows: DataFrame, k: int = DEFAULT_K, key: str = "chunk_id") -> DataFrame:
@@ -65,53 +66,72 @@ def search(
     return top_k(rows, k, key)
 
 
-#: Queries that meet all vectors in one pass.
+#: Queries, and vectors, that make one block: matrices of this many rows meet each other.
 BLOCK = 4_096
+#: Bytes of query blocks that are sent to all tasks; more meet the vectors partition by partition.
+SENT_BYTES = 64 << 20
+
+
+def blocks(rows: DataFrame, key: str, vector: str, prefix: str, block: int) -> DataFrame:
+    """(<prefix>_keys, <prefix>_dim, <prefix>_matrix): the vectors as matrices of at most ``block`` rows, each of one length."""
+    import numpy as np
+    import pandas as pd
+
+    names = [f"{prefix}_keys", f"{prefix}_dim", f"{prefix}_matrix"]
+
+    def packed(batches):
+        held: dict[int, tuple[list, list]] = {}
+
+        def frame(dim):
+            keys, parts = held.pop(dim)
+            return pd.DataFrame([(keys, dim, np.array(parts, dtype=np.float64).tobytes())], columns=names)
+
+        for pdf in batches:
+            for k, v in zip(pdf[key], pdf[vector]):
+                keys, parts = held.setdefault(len(v), ([], []))
+                keys.append(k)
+                parts.append(v)
+                if len(keys) >= block:
+                    yield frame(len(v))
+        for dim in list(held):
+            yield frame(dim)
+
+    kind = dict(rows.dtypes)[key]
+    return rows.where(F.size(vector) > 0).select(key, vector).mapInPandas(packed, f"{names[0]} array<{kind}>, {names[1]} int, {names[2]} binary")
 
 
 def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, block: int = BLOCK, query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """The ``k`` best rows of ``vectors`` for each row of ``queries`` (query_id, query), with their rank.
 
-    The query set meets every vector in passes of at most ``block`` queries: their matrix (block times dimension
-    numbers) goes to every task, which multiplies it with each batch of vectors and keeps ``k`` per query.  What is
-    shuffled is k rows per query and batch, never a row per pair.
+    The stated query set meets every vector, both in blocks: a pair of blocks is one matrix product in a task, of which
+    k rows per query leave it, never a row per pair.  Neither queries nor vectors pass the driver.
     """
     import numpy as np
     import pandas as pd
 
-    spark = vectors.sparkSession
-    wanted = queries.select(query_key, "query").where("query is not null")
-    passes = max(1, -(-wanted.count() // block))
     schema = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {dict(vectors.dtypes)[key]}, score double"
-    part = vectors.where("embedding is not null").select(key, "embedding")
-
-    def one(n: int) -> DataFrame:
-        rows = wanted.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == n).collect()
-        names = [r[query_key] for r in rows]
-        matrix = spark.sparkContext.broadcast(np.array([list(r["query"]) for r in rows], dtype=np.float64).T if rows else None)
-
-        def best(batches):
-            q = matrix.value
-            for pdf in batches:
-                if q is None or not len(pdf):
-                    continue
-                fits = pdf["embedding"].map(len) == q.shape[0]
-                pdf = pdf[fits]
-                if not len(pdf):
-                    continue
-                keys = pdf[key].to_numpy()
-                scores = np.round(np.stack(pdf["embedding"].to_numpy()).astype(np.float64) @ q, 6)
-                for j, name in enumerate(names):
-                    s = scores[:, j]
-                    top = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                    top = top[np.lexsort((keys[top], -s[top]))][:k]
-                    yield pd.DataFrame({query_key: name, key: keys[top], "score": s[top]})
-
-        return part.mapInPandas(best, schema)
-
-    found = one(0)
-    for n in range(1, passes):
-        found = found.unionByName(one(n))
+    # the query blocks are written once: they meet every block of vectors
+    asked = shared_checkpoint(vectors.sparkSession, blocks(queries, query_key, "query", "q", block))
+    if (asked.agg(F.sum(F.octet_length("q_matrix")).alias("n")).first()["n"] or 0) <= SENT_BYTES:
+        asked = F.broadcast(asked)
+    given = blocks(vectors, key, "embedding", "v", block)
+
+    def best(batches):
+        for pdf in batches:
+            for qk, qm, vk, vm, dim in zip(pdf["q_keys"], pdf["q_matrix"], pdf["v_keys"], pdf["v_matrix"], pdf["q_dim"]):
+                names, keys = np.asarray(qk), np.asarray(vk)
+                scores = np.round(np.frombuffer(vm).reshape(-1, dim) @ np.frombuffer(qm).reshape(-1, dim).T, 6)
+                least = np.partition(scores, -k, axis=0)[-k] if len(keys) > k else np.full(len(names), -np.inf)
+                row, col = np.nonzero(scores >= least)
+                # of equal scores the lower key counts
+                order = np.lexsort((keys[row], -scores[row, col], col))
+                row, col = row[order], col[order]
+                first = np.searchsorted(col, np.arange(len(names)))
+                keep = np.arange(len(col)) - first[col] < k
+                row, col = row[keep], col[keep]
+                yield pd.DataFrame({query_key: names[col], key: keys[row], "score": scores[row, col]})
+
+    found = given.crossJoin(asked).where("q_dim = v_dim").mapInPandas(best, schema)
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

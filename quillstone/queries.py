@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bytes as fb
@@ -16,7 +16,9 @@ from .functions import text as ft
 from .functions import vectors as fv
 from .operators import changes, memory, rules, search, stats, symbols
 from .operators import files as fs
-from .sources import chunking
+from .plans.memory import Memory
+from .session import shared_folder
+from .sources import chunking, scan
 from .sources.embedder import HashedEmbedder
 from .streaming.watch import debounce
 
@@ -187,6 +189,41 @@ def deleted_files(spark, d):
     return changes.deleted(table(spark, d, "files").where("rel_path like 'src/%'"), state)
 
 
+@_query(
+    """WITH b AS (SELECT path, max(file_hash) AS h FROM chunks GROUP BY path), a AS (SELECT DISTINCT path, hash AS h FROM files WHERE rel_path NOT LIKE 'docs/%')
+SELECT path, CASE WHEN b.path IS NULL THEN 'create' WHEN a.path IS NULL THEN 'remove' ELSE 'write' END AS kind FROM b FULL JOIN a USING (path) WHERE b.path IS NULL OR a.path IS NULL OR b.h IS DISTINCT FROM a.h"""
+)
+def snapshot_changes(spark, d):
+    """From what is indexed to the files outside ``docs``: what a watcher would report."""
+    before = table(spark, d, "chunks").groupBy("path").agg(F.max("file_hash").alias("hash"))
+    return changes.between(before, table(spark, d, "files").where("rel_path not like 'docs/%'").select("path", "hash").distinct())
+
+
+@_query("SELECT DISTINCT chunk_id, path FROM chunks WHERE path NOT IN (SELECT path FROM files WHERE rel_path LIKE 'docs/%')")
+def delete_paths(spark, d):
+    """Chunks left when the files below ``docs`` are taken out."""
+    store = table(spark, d, "chunks").select("chunk_id", "path").distinct()
+    return changes.delete_paths(store, table(spark, d, "files").where("rel_path like 'docs/%'"))
+
+
+@_query(
+    """WITH c AS (SELECT DISTINCT chunk_id, start_line FROM chunks), n AS (SELECT chunk_id, min(start_line) AS start_line FROM c WHERE start_line > 20 GROUP BY chunk_id)
+SELECT chunk_id, start_line FROM n UNION ALL SELECT chunk_id, start_line FROM c WHERE start_line <= 40 AND chunk_id NOT IN (SELECT chunk_id FROM n)"""
+)
+def upsert_chunks(spark, d):
+    """Chunks that begin below line 20 take the place of those with their ids in a store of the others."""
+    c = table(spark, d, "chunks").select("chunk_id", "start_line").distinct()
+    return changes.upsert(c.where("start_line <= 40"), c.where("start_line > 20"))
+
+
+@_query("SELECT DISTINCT chunk_id, CASE WHEN chunk_id IN (SELECT chunk_id FROM chunks WHERE start_line > 20) THEN 'known' ELSE 'made' END AS embedding FROM chunks")
+def embedding_cache(spark, d):
+    """Which chunks' vectors are taken from an index that knows those below line 20, and which are made."""
+    c = table(spark, d, "chunks")
+    known = c.where("start_line > 20").select("chunk_id", F.lit("known").alias("embedding"))
+    return changes.with_embeddings(c.select("chunk_id").distinct(), known, lambda missing: missing.withColumn("embedding", F.lit("made")))
+
+
 _GLOB = "'^' || replace(replace(replace(replace(replace(replace(p, '.', '\\.'), '/**', '@E'), '**/', '@S'), '*', '[^/]*'), '@E', '(?:/.*)?'), '@S', '(?:[^/]+/)*') || CASE WHEN regexp_matches(p, '[*/?]') THEN '$' ELSE '(?:/.*)?$' END"
 _EXCLUDED = "['node_modules/**', '.git/**', 'vendor/**', 'dist/**', 'build/**', '__pycache__/**']"
 
@@ -211,6 +248,18 @@ def path_allowed(spark, d):
     return rules.allowed_paths(table(spark, d, "files").select("path").distinct(), table(spark, d, "projects"))
 
 
+@_query(
+    """WITH f AS (SELECT DISTINCT path, rel_path, left(path, greatest(len(path) - len(rel_path) - 1, 0)) AS root FROM files WHERE path IS NOT NULL AND rel_path IS NOT NULL)
+SELECT path, root IN (SELECT path FROM projects) AND CASE WHEN regexp_matches(rel_path, '^(?:.*/)?tools/') THEN true WHEN regexp_matches(rel_path, '^(?:.*/)?README[^/]*(?:/.*)?$') THEN false ELSE regexp_matches(rel_path, '^(?:.*/)?[^/]*\.md(?:/.*)?$') END AS ignored FROM f"""
+)
+def ignored_files(spark, d):
+    """Every file, by an ignore file at the root of each project."""
+    root = F.expr("left(path, greatest(length(path) - length(rel_path) - 1, 0))")
+    f = table(spark, d, "files").where("path is not null and rel_path is not null").select("path", "rel_path", root.alias("root")).distinct()
+    files = table(spark, d, "projects").select(F.col("path").alias("root"), F.lit("").alias("dir"), F.lit("# kept out\n*.md\n!README*\ntools/\n").alias("content"))
+    return rules.ignored(f, files).select("path", "ignored")
+
+
 @_query("SELECT DISTINCT path FROM files WHERE NOT (path = '/srv/src/lattice-core' OR starts_with(path, '/srv/src/lattice-core/'))")
 def delete_under(spark, d):
     return rules.delete_under(table(spark, d, "files").select("path").distinct(), "/srv/src/lattice-core")
@@ -290,7 +339,7 @@ _LINES = "l AS (SELECT path, unnest(string_split(content, chr(10))) AS content,
 
 
 def _files(spark, d):
-    return table(spark, d, "files").select("path", "rel_path", "content").distinct()
+    return table(spark, d, "files").select("path", "rel_path", "content")
 
 
 @_query(f"WITH {_LINES} SELECT path, line, content FROM l WHERE contains(content, 'retrying')")
@@ -298,6 +347,12 @@ def grep_substring(spark, d):
     return fs.grep(_files(spark, d), "retrying", most_bytes=None)
 
 
+@_query(f"WITH {_LINES} SELECT path, line, content FROM l WHERE contains(content, 'retrying') AND path IN (SELECT path FROM files WHERE strlen(content) <= 2000)")
+def grep_small_files(spark, d):
+    """Only texts of at most 2,000 bytes are searched."""
+    return fs.grep(_files(spark, d), "retrying", most_bytes=2000)
+
+
 @_query(f"WITH {_LINES} SELECT path, line, content FROM l WHERE regexp_matches(content, 'func [A-Z][a-z]+')")
 def grep_regex(spark, d):
     return fs.grep(_files(spark, d), "func [A-Z][a-z]+", regex=True, most_bytes=None)
@@ -319,6 +374,15 @@ def list_glob(spark, d):
     return fs.listing(_files(spark, d), "docs/**/*.md")
 
 
+@_query(
+    """WITH f AS (SELECT DISTINCT left(path, len(path) - len(rel_path) - 1) AS root, path, rel_path, string_split(rel_path, '/') AS s FROM files),
+e AS (SELECT path, rel_path, 'file' AS type FROM f UNION SELECT root || '/' || array_to_string(s[1:n], '/'), array_to_string(s[1:n], '/'), 'dir' FROM f, generate_series(1, 30) g(n) WHERE n < len(s))
+SELECT path, type FROM e WHERE regexp_matches(rel_path, '^src/[^/]*$')"""
+)
+def list_glob_directories(spark, d):
+    return fs.listing(_files(spark, d), "src/*", directories=True)
+
+
 @_query(
     """WITH f AS (SELECT DISTINCT left(path, len(path) - len(rel_path) - 1) AS root, rel_path, string_split(rel_path, '/') AS s FROM files),
 e AS (SELECT root, rel_path AS path, 'file' AS type FROM f UNION SELECT root, array_to_string(s[1:n], '/'), 'dir' FROM f, generate_series(1, 12) g(n) WHERE n < len(s))
@@ -419,7 +483,18 @@ def session_markdown(spark, d):
     return memory.session_markdown(table(spark, d, "turns")).select("session_id", fb.sha256(F.col("content")).alias("hash"))
 
 
-@_query()
+_SESSIONS = f"""{_TURNS}, s AS (SELECT session_id, coalesce(max(provider), '') AS provider, sum(strlen(content)) AS bytes, count(*) AS n, count(DISTINCT content) AS k,
+  string_agg('### ' || CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || chr(10) || chr(10) || replace(content, '#', '\\#') || chr(10) || chr(10), '' ORDER BY ordinal NULLS FIRST, turn_id) AS body FROM t GROUP BY session_id),
+x AS (SELECT session_id, string_agg(replace(content, '#', '\\#') || chr(10) || chr(10), '' ORDER BY o, i) AS strings FROM (SELECT session_id, content, min(coalesce(ordinal, -1)) AS o, arg_min(turn_id, (coalesce(ordinal, -1), turn_id)) AS i FROM t GROUP BY ALL) GROUP BY session_id),
+m AS (SELECT session_id, '/memory/chats/' || session_id || '.md' AS path, '# Chat trajectory: ' || session_id || chr(10) || chr(10) || '- **Provider:** ' || provider || chr(10) || '- **Decrypted size:** ' || bytes || ' bytes' || chr(10) || '- **Dialogue turns:** ' || n || chr(10) || '- **Extracted strings:** ' || k
+  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Dialogue' || chr(10) || chr(10) || body || '## All extracted strings' || chr(10) || chr(10) || strings AS content FROM s JOIN x USING (session_id))"""
+_SECTIONS = f"""lines AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n, len(string_split(content, chr(10))) AS last FROM m),
+numbered AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_HEADER}') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n) AS section FROM lines),
+grouped AS (SELECT path, section, min(n) AS first, max(n) AS final, max(last) AS last, arg_min(line, n) AS head, string_agg(line, chr(10) ORDER BY n) AS body FROM numbered WHERE section > 0 GROUP BY path, section),
+sections AS (SELECT path, regexp_replace(head, '^\\s+|\\s+$', '', 'g') AS symbol, first::INT AS start_line, CASE WHEN final = last THEN final ELSE final + 1 END::INT AS end_line, body || CASE WHEN final = last THEN '' ELSE chr(10) END AS content FROM grouped)"""
+
+
+@_query(f"WITH {_SESSIONS}, {_SECTIONS} SELECT path, symbol, start_line, end_line, sha256(path || chr(10) || content) AS chunk_id FROM sections")
 def session_sections(spark, d):
     """The sections of all session texts, as the memory indexes them."""
     m = memory.session_markdown(table(spark, d, "turns"))
@@ -427,7 +502,16 @@ def session_sections(spark, d):
     return chunking.sections(f).select("path", "symbol", "start_line", "end_line", fb.chunk_id(F.col("path"), F.col("content")).alias("chunk_id"))
 
 
-@_query()
+@_query(
+    f"""WITH {_SESSIONS}, {_SECTIONS},
+w AS (SELECT path, start_line, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS word FROM sections),
+c AS (SELECT path, start_line, ('0x' || left(md5(word), 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+q AS (SELECT ('0x' || left(md5(word), 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS n FROM (SELECT unnest(['stale', 'cursor', 'timeout']) AS word) GROUP BY ALL),
+l AS (SELECT path, start_line, sqrt(sum(n * n)) AS len FROM c GROUP BY ALL),
+r AS (SELECT path, start_line, round(sum(coalesce(c.n * q.n, 0)) / max(l.len) / (SELECT sqrt(sum(n * n)) FROM q), 6) AS score FROM c LEFT JOIN q USING (b) JOIN l USING (path, start_line) GROUP BY path, start_line),
+o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, start_line) AS rank FROM r)
+SELECT path, symbol, start_line, score, CASE WHEN length(content) > 800 THEN left(content, 800) || '...' ELSE content END AS content FROM o JOIN sections USING (path, start_line) WHERE rank = 1 ORDER BY score DESC, path LIMIT 10"""
+)
 def memory_topk(spark, d):
     """The ten remembered sessions nearest to a text: the best section of each, with a preview."""
     e = HashedEmbedder()
@@ -452,6 +536,49 @@ def note_files(spark, d):
     return memory.note_files(table(spark, d, "notes")).select("note_id", "path", fb.sha256(F.col("content")).alias("hash"))
 
 
+@_query(
+    f"""WITH n AS (SELECT DISTINCT note_id, title, content, tags, CASE WHEN coalesce(provider, '') = '' THEN 'cascade' ELSE provider END AS provider, written_at FROM notes),
+s AS (SELECT *, left(trim(regexp_replace(lower(regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g')), '[^a-z0-9-]', '-', 'g'), '-'), 60) AS s FROM n)
+SELECT DISTINCT 'memory-' || provider AS project_id, '/memory/' || provider || '/' || strftime(written_at, '%Y%m%d-%H%M%S') || '-' || {_SLUG} || '.md' AS path,
+sha256('# ' || coalesce(title, '') || chr(10) || chr(10) || '- **Provider:** ' || provider || chr(10) || CASE WHEN coalesce(len(tags), 0) > 0 THEN '- **Tags:** ' || array_to_string(tags, ', ') || chr(10) ELSE '' END
+  || '- **Saved:** ' || strftime(written_at, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || chr(10) || coalesce(content, '') || chr(10)) AS hash FROM s"""
+)
+def memory_sync(spark, d):
+    """What the memory knows of all notes after it was filled when some had other names and some other texts."""
+    made = memory.note_files(table(spark, d, "notes"))
+    store = Memory(spark, shared_folder(spark, "memory"))
+    store.sync(made.withColumn("path", F.expr("if(provider = 'cascade', path, concat(path, '.old'))")).withColumn("content", F.expr("if(length(content) > 300, content, concat(content, 'old'))")))
+    store.sync(made)
+    return store.state().select("project_id", "path", "hash")
+
+
+@_query("SELECT DISTINCT turn_id, content FROM turns WHERE content IS NOT NULL")
+def decrypted_turns(spark, d):
+    """Turns that were encrypted, read again with the key."""
+    key = F.lit(b"0123456789abcdef")
+    t = table(spark, d, "turns").where("content is not null").select("turn_id", F.aes_encrypt(F.encode("content", "UTF-8"), key, F.lit("GCM")).alias("secret"), "content").drop("content")
+    return t.select("turn_id", F.decode(fb.decrypted(F.col("secret"), key), "UTF-8").alias("content")).distinct()
+
+
+def _varint(n: Column) -> Column:
+    """The hexadecimal digits of a number below 2^21 as seven bits to a byte, the lowest first."""
+
+    def low(x):
+        return F.hex(x.bitwiseAND(127).bitwiseOR(128))
+
+    return F.when(n < 128, F.lpad(F.hex(n), 2, "0")).when(n < 1 << 14, F.concat(low(n), F.lpad(F.hex(F.shiftright(n, 7)), 2, "0"))).otherwise(F.concat(low(n), low(F.shiftright(n, 7)), F.lpad(F.hex(F.shiftright(n, 14)), 2, "0")))
+
+
+@_query("SELECT DISTINCT turn_id::VARCHAR AS path, 0 AS ordinal, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, content FROM turns WHERE length(content) > 0")
+def dialogue_turns(spark, d):
+    """Each turn written as a session's bytes (step 2 holding field 19 or 20) and read again."""
+    t = table(spark, d, "turns").where("length(content) > 0").select("turn_id", F.coalesce(F.col("role") == "user", F.lit(False)).alias("user"), F.hex(F.encode("content", "UTF-8")).alias("text")).distinct()
+    field = F.concat(F.when(F.col("user"), "9A01").otherwise("A201"), _varint((F.length("text") / 2).cast("bigint")), "text")
+    step = t.select("turn_id", field.alias("field"))
+    data = F.unhex(F.concat(F.lit("12"), _varint((F.length("field") / 2).cast("bigint")), "field"))
+    return scan.dialogue(step.select(F.col("turn_id").cast("string").alias("path"), data.alias("content")))
+
+
 @_query("SELECT DISTINCT CASE WHEN coalesce(provider, '') = '' THEN 'cascade' ELSE provider END AS provider, count(DISTINCT note_id) AS notes FROM notes GROUP BY 1")
 def notes_by_provider(spark, d):
     """Providers as the headers of the note files name them."""

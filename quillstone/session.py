@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings a new session gets; a session that exists keeps its own.
 SETTINGS = {
@@ -22,18 +24,37 @@ def session(app: str = "quillstone", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written once, with its lineage cut, to the folder in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` in the cluster's folder for checkpoints, which all executors see."""
+    _checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
 
-    The folder is the cluster's (all executors see it).  Only where none is set, as in tests on one machine, a
-    temporary one is made.
-    """
+def _checkpoints(spark: SparkSession) -> None:
+    """Sees that there is a folder for checkpoints: that of ``spark.checkpoint.dir``, or where Spark runs in this one process a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def shared_checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written once, with its lineage cut, to the folder for checkpoints, which all executors see."""
+    _checkpoints(spark)
     return df.checkpoint()
 
 
+#: Rows of a narrow table up to which it is sent to every task.
+FEW = 200_000
+
+
+def few(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """``df`` to be broadcast in a join if it has at most ``rows`` rows, which are counted; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per context, so that tasks can import it wherever they run."""
     import os

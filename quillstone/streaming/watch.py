@@ -25,16 +25,17 @@ def debounce(events: DataFrame, gap: str = "2 seconds", key: str | Column = "roo
     return bursts.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "paths")
 
 
-def follow(changes: DataFrame, read: Callable[[DataFrame], DataFrame], index, checkpoint: str, every: str = "5 seconds", **trigger) -> StreamingQuery:
+def follow(changes: DataFrame, read: Callable[[DataFrame], DataFrame], index, checkpoint: str, every: str = "5 seconds", projects: Callable[[], DataFrame] | None = None, **trigger) -> StreamingQuery:
     """Keeps ``index`` in line with a stream of changed paths (project_id, path).
 
+    ``projects()`` gives the rules; it is asked for each micro-batch, so that changed rules hold from the next one on.
     Each micro-batch is made distinct, ``read(paths)`` gives the rows of the files that are there, and the index is
     updated with them; paths without a file leave it.  A batch that is run again gives the same index.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
         paths = rows.select("project_id", "path").distinct()
-        index.update_paths(paths, read(paths))
+        index.update_paths(paths, read(paths), projects() if projects else None)
 
     options = trigger or {"processingTime": every}
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**options).start()

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillstone.engine import Engine, ToolError
 from quillstone.operators.rules import Rule
 from quillstone.plans.index import Index
+from quillstone.plans.memory import Memory
 from quillstone.plans.progress import Progress, State
-from quillstone.sources import chunking, config, scan, sink
+from quillstone.sources import chats, chunking, config, scan, sink
 from quillstone.streaming.watch import debounce, distinct_until_changed, follow
 
 FILES = "project_id string, path string, rel_path string, content string, mod_time timestamp_ntz, hash string, size bigint"
@@ -74,6 +75,67 @@ def test_index_follows_its_files(spark, files, projects, tmp_path):
     assert index.chunks().count() == 0
 
 
+def test_an_update_rewrites_the_buckets_of_its_paths_only(spark, tmp_path):
+    rows = [(f"p{i % 2}", f"/w/p{i % 2}/f{i}.md", f"f{i}.md", f"# T{i}\ntext {i}\n") for i in range(60)]
+    files = spark.createDataFrame(rows, "project_id string, path string, rel_path string, content string")
+    index = Index(spark, str(tmp_path), buckets=4)
+    index.update(files)
+
+    def written():
+        return {os.path.join(d, n) for d, _, names in os.walk(tmp_path / "chunks") for n in names if n.endswith(".parquet")}
+
+    before = written()
+    assert len({os.path.dirname(f) for f in before}) == 8
+    one = files.where("path = '/w/p0/f0.md'")
+    assert index.update_paths(one.select("path"), one.withColumn("content", F.lit("# New\n"))) == {"changed": 1, "deleted": 0, "chunks": 1}
+    assert len({os.path.dirname(f) for f in before - written()}) == 1
+    assert index.chunks().count() == 60
+    # a bucket that is emptied reads as empty
+    assert index.update_paths(files.select("path"), files.limit(0))["deleted"] == 60
+    assert index.chunks().count() == 0 and index.state().count() == 0
+    assert index.update(files)["chunks"] == 60
+
+
+def test_saved_stats(spark, files, projects, tmp_path):
+    index = Index(spark, str(tmp_path))
+    assert index.stats().count() == 0
+    index.update(files, projects)
+    assert {(r.project_id, r.files, r.chunks) for r in index.save_stats().collect()} == {("p", 2, 4), ("q", 1, 2)}
+    index.remove("p")
+    assert index.stats().count() == 2
+
+
+def test_memory_follows_its_notes(spark, tmp_path):
+    schema = "path string, provider string, content string"
+    notes = spark.createDataFrame([("/m/a.md", "cascade", "# A\nalpha\n"), ("/m/b.md", "cascade", "# B\nbeta\n# C\ngamma\n"), ("/m/c.md", "other", "# D\nalpha\n"), ("/m/c.md", "other", "# D\nalpha\n"), ("/m/d.md", None, None), (None, "x", "# E\n")], schema)
+    memory = Memory(spark, str(tmp_path))
+    assert memory.search("alpha").count() == 0
+    assert memory.sync(notes) == {"changed": 3, "deleted": 0, "chunks": 4}
+    assert memory.sync(notes) == {"changed": 0, "deleted": 0, "chunks": 0}
+    assert memory.search("alpha").first().path == "/m/a.md"
+    assert [r.path for r in memory.search("alpha", provider="other").collect()] == ["/m/c.md"]
+    assert memory.sync(notes.where("path = '/m/b.md'")) == {"changed": 0, "deleted": 2, "chunks": 0}
+    assert {r.project_id for r in memory.state().collect()} == {"memory-cascade"}
+    assert memory.write(spark.createDataFrame([("/m/b.md", "cascade", "# F\nnew\n")], schema))["chunks"] == 1
+    assert {r.symbol for r in memory.chunks().collect()} == {"# F"}
+    assert memory.forget(notes.select("path"))["deleted"] == 1
+    assert memory.chunks().count() == 0
+
+
+def test_chat_providers(spark, tmp_path):
+    def field(number, data):
+        return bytes([(number << 3 | 2) & 127 | (128 if number > 15 else 0), *([number >> 4] if number > 15 else []), len(data)]) + data
+
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "s1.pb").write_bytes(field(2, field(19, b"hello") + field(20, b"hi there")))
+    (tmp_path / "other.txt").write_text("x")
+    got = chats.turns(spark, str(tmp_path), "cascade").orderBy("ordinal").collect()
+    assert [(r.session_id, r.role, r.content) for r in got] == [("s1", "user", "hello"), ("s1", "assistant", "hi there")]
+    assert chats.sessions(spark, str(tmp_path / "missing"), "cascade").count() == 0
+    chats.register(chats.Provider("notes", "*.txt", lambda files, key: files.select("path", F.lit(0).alias("ordinal"), F.lit("user").alias("role"), F.decode("content", "UTF-8").alias("content"))))
+    assert [(r.session_id, r.content) for r in chats.turns(spark, str(tmp_path), "notes").collect()] == [("other", "x")]
+
+
 def test_index_does_not_keep_ignored_files(spark, files, projects, tmp_path):
     ignores = spark.createDataFrame([("/w/q", "", "*.py\n")], "root string, dir string, content string")
     index = Index(spark, str(tmp_path))
@@ -90,6 +152,8 @@ def test_engine(spark, files, projects, tmp_path):
     assert "content" not in e.search_codebase("Alpha", include_content=False).columns
     assert e.query_documentation("more").first().symbol == "## Two"
     assert [r.symbol for r in e.find_symbol("alpha").collect()] == ["Alpha"]
+    assert e.search("alpha", source="memory").count() == 0
+    assert e.sync_memory() == {"changed": 1, "deleted": 0, "chunks": 1}
     assert e.search("alpha", source="memory").first().path == "/m/n.md"
     assert e.get_file_context("/w/p/b.md", 2, 3).first().content == "# One\ntext"
     assert e.fs_read("/w/p/b.md").first().content.endswith("more\n")
@@ -116,6 +180,7 @@ def test_engine(spark, files, projects, tmp_path):
     path = e.memory_write("My Title", "text", ["t"])
     assert e.memory_list("cascade").count() == 2
     assert e.memory_read(path).first().content.startswith("# My Title")
+    assert path in {r.path for r in e.memory_search("My Title text").collect()}
     for call, reason in ((lambda: e.search_codebase(" "), "empty_query"), (lambda: e.resolve("zz"), "project_not_found"), (lambda: e.get_index_job("x"), "job_not_found"), (lambda: e.get_file_context("/w2/x"), "path_not_allowed"), (lambda: e.search("x", source="?"), "invalid_argument"), (lambda: e.resolve("p", "../q/../../etc"), "path_not_allowed")):
         with pytest.raises(ToolError) as x:
             call()
@@ -244,6 +309,25 @@ def test_follow_keeps_the_index(spark, files, projects, tmp_path):
     assert index.state().count() == 2
 
 
+def test_changed_rules_hold_from_the_next_batch_on(spark, files, projects, tmp_path):
+    index = Index(spark, str(tmp_path / "index"))
+    rules = {"now": projects}
+    files.select("project_id", "path").where("rel_path = 'b.md'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("project_id string, path string").parquet(str(tmp_path / "in"))
+
+    def run():
+        q = follow(stream, lambda paths: files.join(paths.select("path"), "path", "left_semi").select(files.columns), index, str(tmp_path / "cp"), projects=lambda: rules["now"], availableNow=True)
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    run()
+    assert {r.path for r in index.state().collect()} == {"/w/p/b.md"}
+    rules["now"] = projects.withColumn("extensions", F.array(F.lit(".py")))
+    files.select("project_id", "path").where("rel_path <> 'b.md'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert {r.path for r in index.state().collect()} == {"/w/p/b.md", "/w/q/c.py"}
+
+
 def test_distinct_until_changed(spark):
     rows = [("j", "running", 1, 1), ("j", "running", 1, 2), ("j", "running", 2, 3), ("k", "idle", 0, 1)]
     df = spark.createDataFrame(rows, "job_id string, status string, done int, updated_at int")

@@ -105,3 +105,26 @@ def test_memory_search_can_be_exact(spark):
     got = search.memory_search(vectors, [1.0, 0.0], 10, exact=True).collect()
     assert len(got) == 10
     assert got[0].path == "/hot"
+
+
+def test_batches_meet_in_blocks(spark):
+    """Small blocks, ties, vectors of other lengths and nulls give the same as all pairs by hand."""
+    import random
+
+    r = random.Random(3)
+    v = [(i, [float(r.randint(0, 3)) for _ in range(4)]) for i in range(120)] + [(500, None), (501, []), (502, [1.0, 2.0])]
+    q = [(i, x) for i, x in v if i % 10 == 0]
+    vectors = spark.createDataFrame(v, "chunk_id bigint, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([*q, (900, [1.0, 1.0]), (901, None)], "query_id bigint, query array<double>").repartition(2)
+    for sent in (1 << 20, 0):
+        search.SENT_BYTES = sent
+        try:
+            got = {(x.query_id, x["rank"]): (x.chunk_id, x.score) for x in search.batch_top_k(queries, vectors, 5, block=7).collect()}
+        finally:
+            search.SENT_BYTES = 64 << 20
+        want = {}
+        for qi, qv in [*q, (900, [1.0, 1.0])]:
+            if qv:
+                best = sorted((-sum(a * b for a, b in zip(qv, x)), i) for i, x in v if x and len(x) == len(qv))[:5]
+                want |= {(qi, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+        assert got == want
