@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import lexers as L
 from .common import map_rows, project_of
-from .syntax import SOURCE_PATH, language_of, parses
+from .syntax import SOURCE_PATH, has_jsx, language_of, parses
 
 # blanking --------------------------------------------------------------------------------------------------------
 
@@ -99,14 +99,16 @@ def closing(code: str, at: int) -> int:
 
 # declarations: (start, name start, name, body start or -1) ---------------------------------------------------------
 
-_GO_FUNC = re.compile(r"^func[ \t]*(?:\([^()\n]*\)[ \t]*)?(?P<name>[^\W\d]\w*)[ \t]*(?=[\[(])", re.M)
+_GO_FUNC = re.compile(r"^func\b[ \t]*(?P<receiver>\()?", re.M)
+_GO_NAME = re.compile(r"[ \t]*(?P<name>[^\W\d]\w*)[ \t]*(?=[\[(])")
 _RUST_FN = re.compile(r"(?<![\w.])(?P<lead>(?:(?:pub(?:\s*\([^()]*\))?|default|const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*)fn\s+(?:r#)?(?P<name>[^\W\d]\w*)\s*(?=[<(])")
 _PY_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)", re.M)
 _JS_FUNCTION = re.compile(r"(?<![\w$.])(?P<lead>(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:async\s+)?)function\b\s*\*?\s*(?P<name>[A-Za-z_$][\w$]*)\s*(?=[<(])")
 _JS_CONST = re.compile(r"(?<![\w$.])(?P<lead>(?:export\s+)?const\s+)(?P<name>[A-Za-z_$][\w$]*)\s*(?::(?:[^=;{}]|=>)*?)?=(?!=)\s*(?P<value>async\b\s*(?=function\b|\(|<|[A-Za-z_$])|(?=function\b|\(|<|[A-Za-z_$]))")
 _JS_ARROW_AFTER = re.compile(r"\s*(?::[^=;{}]*?(?:\{[^{}]*\}[^=;{}]*)?)?=>")
 _JS_CLASS = re.compile(r"(?<![\w$.])class\b(?=[\s{])")
-_JS_METHOD = re.compile(r"\s*(?P<deco>(?:@[\w$.]+(?:\([^()]*\))?\s*)*)(?P<mods>(?:(?:public|private|protected|static|async|override|abstract|declare|readonly|get|set)\s+(?=[\w$#*\[]))*)\*?\s*#?(?P<name>[A-Za-z_$][\w$]*)\s*\??\s*(?=[<(])")
+_JS_DECORATOR = re.compile(r"@[\w$.]+")
+_JS_METHOD = re.compile(r"(?P<mods>(?:(?:public|private|protected|static|async|override|abstract|declare|readonly|get|set)\s+(?=[\w$#*\[]))*)\*?\s*#?(?P<name>[A-Za-z_$][\w$]*)\s*\??\s*(?=[<(])")
 
 
 def _angle(code: str, at: int) -> int:
@@ -145,8 +147,10 @@ def _body(code: str, at: int) -> int:
 
 
 def _go(code):
-    for m in _GO_FUNC.finditer(code):
-        yield m.start(), m.start("name"), m["name"], _body(code, _after_params(code, m.end()))
+    for f in _GO_FUNC.finditer(code):
+        at = closing(code, f.start("receiver")) if f["receiver"] else f.end()
+        if at >= 0 and (m := _GO_NAME.match(code, at)):
+            yield f.start(), m.start("name"), m["name"], _body(code, _after_params(code, m.end()))
 
 
 def _rust(code):
@@ -209,13 +213,44 @@ def _script(code):
             rest = _OPEN.match(code, arrow.end())
             yield m.start(), m.start("name"), m["name"], rest.end() - 1 if rest else -1
     for a, b in _class_members(code):
-        m = _JS_METHOD.match(code, a, b)
-        if not m or m["name"] in ("if", "for", "while", "switch", "catch", "function", "return", "class", "new"):
-            continue
-        end = _after_params(code, m.end())
-        # the block right after the parameters and a type is the body, an initialiser's block is none
-        if 0 <= end <= b and "=" not in code[end:b].replace("=>", ""):
-            yield _SPACE.match(code, a, b).end(), m.start("name"), m["name"], b
+        # the member may follow fields that no semicolon ends: it begins on one of the lines of the header
+        for start in _line_starts(code, a, b):
+            m = _JS_METHOD.match(code, _after_decorators(code, start), b)
+            if not m or m["name"] in ("if", "for", "while", "switch", "catch", "function", "return", "class", "new"):
+                continue
+            end = _after_params(code, m.end())
+            # the block right after the parameters and a type is the body, an initialiser's block is none
+            if 0 <= end <= b and "=" not in code[end:b].replace("=>", "") and not _FIELD_AFTER.search(code, end, b):
+                yield start, m.start("name"), m["name"], b
+                break
+
+
+_LINE_MARK = re.compile(r"[()\[\]{}]|\n\s*(?=[^\s)\]}])")
+#: A line after the parameters that begins a member of its own.
+_FIELD_AFTER = re.compile(r"[^\s:|&,<(=]\s*\n\s*[\w$#@]")
+
+
+def _line_starts(code: str, a: int, b: int):
+    """The first character of the header between ``a`` and ``b``, and of each of its lines outside brackets."""
+    yield _SPACE.match(code, a, b).end()
+    depth = 0
+    for m in _LINE_MARK.finditer(code, a, b):
+        if m[0] in "([{":
+            depth += 1
+        elif m[0] in ")]}":
+            depth -= 1
+        elif depth == 0:
+            yield m.end()
+
+
+def _after_decorators(code: str, at: int) -> int:
+    while m := _JS_DECORATOR.match(code, at):
+        at = m.end()
+        if code[at : at + 1] == "(":
+            end = closing(code, at)
+            at = end if end >= 0 else at
+        at = _SPACE.match(code, at).end()
+    return at
 
 
 def _python(code):
@@ -257,25 +292,40 @@ def _leading(text, code, at, rust):
     attributes = []
     while True:
         end = _before(code, at)
-        if rust and code[end - 1 : end] == "]":
-            depth, p = 0, end - 1
-            while p >= 0:
-                depth += (code[p] == "]") - (code[p] == "[")
-                if depth == 0:
-                    break
-                p -= 1
-            if p > 0 and code[p - 1] == "#":
+        last = code[end - 1 : end]
+        if last and last == ("]" if rust else ")"):
+            p = _opening(code, end - 1)
+        else:
+            p = end
+        if rust:
+            if p < end and p > 0 and code[p - 1] == "#":
                 attributes.append((p - 1, text[p - 1 : end]))
                 at = p - 1
                 continue
-        elif not rust and (m := re.compile(r"@[\w$.]+(?:\([^()]*\))?$").search(code, max(0, end - 300), end)):
-            at = m.start()
-            continue
+        elif p >= 0:
+            q = p
+            while q > 0 and (code[q - 1].isalnum() or code[q - 1] in "_$."):
+                q -= 1
+            if 0 < q < p and code[q - 1] == "@":
+                at = q - 1
+                continue
         return end, attributes
 
 
-def documentation(language: str, text: str, code: str, spans, starts, start: int, body: int) -> str | None:
-    """The raw documentation of the declaration at ``start``, comment marks taken off; None if it has none."""
+def _opening(code: str, at: int) -> int:
+    """The place of the bracket that the one at ``at`` closes; -1 if there is none."""
+    depth = 0
+    while at >= 0:
+        c = code[at]
+        depth += (c in ")]}") - (c in "([{")
+        if depth == 0:
+            return at
+        at -= 1
+    return -1
+
+
+def documentation(language: str, text: str, code: str, spans, starts, start: int, body: int, name: int) -> str | None:
+    """The raw documentation of the declaration at ``start`` with its name at ``name``, comment marks taken off; None if it has none."""
     if language == "python":
         return _python_doc(text, code, spans, starts, body) if body >= 0 else None
     if language == "go":
@@ -297,7 +347,8 @@ def documentation(language: str, text: str, code: str, spans, starts, start: int
     first, attributes = _leading(text, code, start, rust=language == "rust")
     k = bisect_left(starts, first)
     comments = []
-    while k < len(spans) and spans[k][0] < start:
+    # a comment may also stand between decorators and the name
+    while k < len(spans) and spans[k][0] < (start if language == "rust" else name):
         if spans[k][2] in ("line", "block"):
             comments.append((spans[k][0], text[spans[k][0] : spans[k][1]]))
         k += 1
@@ -403,7 +454,7 @@ def functions(language: str, text: str) -> list[tuple[int, int, str, str | None,
     starts = [a for a, _, _ in spans]
     out = []
     for start, at, name, body in _FIND[language](code):
-        doc = documentation(language, text, code, spans, starts, start, body)
+        doc = documentation(language, text, code, spans, starts, start, body, at)
         out.append((start, at, name, doc, body, _end(language, code, start, body)))
     return sorted(out)
 
@@ -437,7 +488,7 @@ def _make():
             return
         found = [(*f, told) for f in functions(language, text) if (told := description(f[2], f[3])) is not None]
         # most costly, so last: a file without descriptions need not be parsed
-        if not found or not parses(language, text, not path.endswith(".cjs")):
+        if not found or not parses(language, text, not path.endswith(".cjs"), has_jsx(path)):
             return
         line, at = 1, 0
         for start, name_at, name, _, body, end, told in found:

@@ -78,7 +78,7 @@ Any       <- ANY
 Item      <- Attr* Vis? ItemKind
 Vis       <- 'pub' ('(' ('crate' / 'self' / 'super' / 'in' Path) ')')?
 ItemKind  <- 'use' UseTree ';' / 'mod' ID (';' / '{' InnerAttr* Item* '}') / 'extern' 'crate' (ID / 'self') ('as' (ID / '_'))? ';'
-           / FnQual 'fn' Fn / 'static' 'mut'? ID ':' Type ('=' Expr)? ';' / 'const' (ID / '_') ':' Type ('=' Expr)? ';'
+           / FnQual 'fn' Fn / ('unsafe' / 'safe')? 'static' 'mut'? ID ':' Type ('=' Expr)? ';' / 'const' (ID / '_') ':' Type ('=' Expr)? ';'
            / 'type' ID Generics? (':' Bounds?)? Where? ('=' Type)? Where? ';'
            / 'struct' ID Generics? Where? (Fields / TupleFields Where? ';' / ';') / 'union' ID Generics? Where? Fields
            / 'enum' ID Generics? Where? '{' (Variant (',' Variant)* ','?)? '}'
@@ -91,7 +91,7 @@ Parens    <- '(' Trees ')'
 Brackets  <- '[' Trees ']'
 UseTree   <- ('::')? (UsePart '::')* ('*' / '{' (UseTree (',' UseTree)* ','?)? '}' / UsePart ('as' (ID / '_'))?)
 UsePart   <- ID / 'crate' / 'self' / 'super'
-FnQual    <- 'default'? 'const'? 'async'? 'unsafe'? ('extern' STR?)?
+FnQual    <- 'default'? 'const'? 'async'? ('unsafe' / 'safe')? ('extern' STR?)?
 Fn        <- ID Generics? '(' FnParams ')' ('->' Type)? Where? (';' / Block)
 FnParams  <- (FnParam (',' FnParam)* ','?)?
 FnParam   <- Attr* ('&' LIFE? 'mut'? 'self' / 'mut'? 'self' (':' Type)? / '...' / Pat ':' (Type / '...') / Type)
@@ -101,7 +101,7 @@ Where     <- 'where' (WherePred (',' WherePred)* ','?)?
 WherePred <- LIFE ':' Bounds? / ForLife? Type ':' Bounds?
 ForLife   <- 'for' Generics
 Bounds    <- Bound ('+' Bound)* '+'?
-Bound     <- LIFE / '?'? ForLife? TypePath / '(' '?'? ForLife? TypePath ')'
+Bound     <- LIFE / 'use' '<' ((LIFE / ID / 'Self') (',' (LIFE / ID / 'Self'))* ','?)? '>' / '?'? ForLife? TypePath / '(' '?'? ForLife? TypePath ')'
 Fields    <- '{' (NamedField (',' NamedField)* ','?)? '}'
 NamedField <- Attr* Vis? ID ':' Type
 TupleFields <- '(' (Attr* Vis? Type (',' Attr* Vis? Type)* ','?)? ')'
@@ -161,7 +161,8 @@ End       <- SEMI / &'}' / &EOF
            / 'return' Expr? End / 'throw' Expr End / ('break' / 'continue') ID? End / 'debugger' End
            / &'import' Import / &('export' / '@') Export / @&('declare' / 'interface' / 'type' / 'const' / 'enum' / 'namespace' / 'module' / 'global' / 'abstract') Declared /@ ID ':' Stmt / Expr End
 Block     <- '{' Stmts '}'
-Vars      <- ('var' / 'const' 'enum'? / 'let' &(ID / '{' / '[')) Var (',' Var)*
+Vars      <- 'const' ConstVar (',' ConstVar)* / ('var' / 'let' !'let' &(ID / '{' / '[')) Var (',' Var)*
+ConstVar  <- Binding @'!'? Annot? ('=' Assign)? / Binding@ '=' Assign
 Var       <- Binding @'!'?@ Annot? ('=' Assign)?
 For       <- 'for' 'await'? '(' (('var' / 'const' / 'let') Binding Annot? ('of' Assign / 'in' Expr) / Postfix ('of' Assign / 'in' Expr) / (Vars / Expr)? ';' Expr? ';' Expr?) ')' VSEMI? Stmt
 Import    <- 'import' @'type'?@ (STR / (Names / ID (',' Names)?) 'from' STR) ('with' Object)? End @/ 'import' ID '=' Expr End@
@@ -230,7 +231,7 @@ TMember   <- SEMI / ((('get' / 'set') PropName Params Ret? / 'readonly'? Index1
 Index1    <- '[' ID ':' Type ']' Annot
 Index     <- Index1 End
 Interface <- 'interface' ID TParams? ('extends' Type (',' Type)*)? '{' TMember* '}'
-Declared  <- 'declare'? Declared1
+Declared  <- Declared1
 Declared1 <- 'declare' (Vars End / Function / Class / Declared1) / Interface / 'type' ID TParams? '=' Type End / 'const'? 'enum' ID '{' (PropName ('=' Assign)? (',' PropName ('=' Assign)?)* ','?)? '}'
            / ('namespace' / 'module') (ID ('.' ID)* / STR) (Block / End) / 'global' Block / 'abstract' Class
 """
@@ -257,7 +258,7 @@ Target    <- &(ID / '(' / '[' / STR / '{' / FMT) Postfix
 Targets   <- TargetOne (',' TargetOne)* ','?
 TargetOne <- '*'? (ID !('(' / '[' / '.') / Postfix1 / '(' Targets? ')' / '[' Targets? ']')
 Postfix1  <- 'await'? Atom ((Args / '[' Slices ']' / '.' ID) &('(' / '[' / '.'))* ('[' Slices ']' / '.' ID)
-Compound  <- Decorator* ('async'? 'def' ID TParams? '(' Params ')' ('->' Test)? ':' Suite / 'class' ID TParams? ('(' (Arg (',' Arg)* ','?)? ')')? ':' Suite)
+Compound  <- Decorator* ('async'? 'def' ID TParams? '(' Params ')' ('->' Test)? ':' Suite / 'class' ID TParams? ('(' ArgList? ')')? ':' Suite)
            / 'if' Named ':' Suite ('elif' Named ':' Suite)* ('else' ':' Suite)? / 'while' Named ':' Suite ('else' ':' Suite)?
            / 'async'? 'for' Targets 'in' Stars ':' Suite ('else' ':' Suite)? / 'async'? 'with' ('(' WithItem (',' WithItem)* ','? ')' ':' / WithItem (',' WithItem)* ':') Suite
            / 'try' ':' Suite (('except' '*'? (Test ('as' ID / (',' Test)+)?)? ':' Suite)+ ('else' ':' Suite)? ('finally' ':' Suite)? / 'finally' ':' Suite)
@@ -267,10 +268,19 @@ Suite     <- NL IN Stmt+ OUT / Simple (';' Simple)* ';'? NL
 WithItem  <- Test ('as' (Target / '(' Targets? ')'))?
 TParams   <- '[' TParam (',' TParam)* ','? ']'
 TParam    <- ('**' / '*')? ID (':' Test)? ('=' Test)?
-Params    <- (Param (',' Param)* ','?)?
-Param     <- '**' ID (':' Test)? / '*' (ID (':' '*'? Test)?)? / '/' / ID (':' Test)? ('=' Test)?
-Lambda    <- 'lambda' (LParam (',' LParam)* ','?)? ':' Test
-LParam    <- '**' ID / '*' ID? / '/' / ID ('=' Test)?
+Params    <- (PosParams (',' StarParams)? ','? / StarParams ','?)?
+PosParams <- Plain (',' Plain)* (',' '/' (',' Plain)* (',' Default)* / (',' Default)+ (',' '/' (',' Default)*)?)? / Default (',' Default)* (',' '/' (',' Default)*)?
+StarParams <- '*' ID (':' '*'? Test)? (',' KeyOnly)* (',' Double)? / '*' (',' KeyOnly)+ (',' Double)? / Double
+Plain     <- ID (':' Test)? !'='
+Default   <- ID (':' Test)? '=' Test
+KeyOnly   <- ID (':' Test)? ('=' Test)?
+Double    <- '**' ID (':' Test)?
+Lambda    <- 'lambda' (LPos (',' LStar)? ','? / LStar ','?)? ':' Test
+LPos      <- LPlain (',' LPlain)* (',' '/' (',' LPlain)* (',' LDefault)* / (',' LDefault)+ (',' '/' (',' LDefault)*)?)? / LDefault (',' LDefault)* (',' '/' (',' LDefault)*)?
+LStar     <- '*' ID (',' LKey)* (',' '**' ID)? / '*' (',' LKey)+ (',' '**' ID)? / '**' ID
+LPlain    <- ID !'='
+LDefault  <- ID '=' Test
+LKey      <- ID ('=' Test)?
 Patterns  <- PatOr (',' PatOr?)* 
 PatOr     <- '*' ID / PatAlt ('as' ID)?
 PatAlt    <- Pat ('|' Pat)*
@@ -289,10 +299,14 @@ CompOp    <- '==' / '!=' / '<=' / '<' / '>=' / '>' / 'not' 'in' / 'in' / 'is' 'n
 Arith     <- Unary (('+' / '-' / '*' / '/' / '//' / '%' / '@' / '<<' / '>>' / '&' / '|' / '^' / '**') Unary)*
 Unary     <- ('+' / '-' / '~')* Postfix
 Postfix   <- 'await'? Atom (Args / '[' Slices ']' / '.' ID)*
-Args      <- '(' Flat? ')' / '(' Arg (',' Arg)* ','? ')'
+Args      <- '(' Flat? ')' / '(' ArgList ')'
 Flat      <- One (',' One)* ','?
 One       <- NUM / STR / ID ('.' ID)*
-Arg       <- '**' Test / '*' Test / ID '=' Test / Named Comp?
+ArgList   <- Named Comp / Position (',' Position)* (',' Keywords)? ','? / Keywords ','?
+Position  <- '*' Test / !(ID '=') Named
+Keywords  <- KeyOrStar (',' KeyOrStar)* (',' KeyOrDouble)* / KeyOrDouble (',' KeyOrDouble)*
+KeyOrStar <- ID '=' Test / '*' Test
+KeyOrDouble <- ID '=' Test / '**' Test
 Slices    <- Slice (',' Slice)* ','?
 Slice     <- Test? ':' Test? (':' Test?)? / '*' Arith / Named
 Comp      <- ('async'? 'for' Targets 'in' Logic ('if' (ID ':=' Test / Logic))*)+

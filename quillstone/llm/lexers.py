@@ -132,11 +132,11 @@ GO_LEXER = Lexer(_GO_PATTERN, _go_kind, lambda raw: _GO_END.sub(VSEMI, raw + "\n
 # Rust ----------------------------------------------------------------------------------------------------------
 
 #: The strict keywords of Rust 2021 and its punctuation.
-RUST_WORDS = "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while union macro_rules auto default"
+RUST_WORDS = "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while union macro_rules auto default safe"
 RUST_OPS = "+ - * / % ^ ! & | && || << += -= *= /= %= ^= &= |= <<= = == != > < <= @ . .. ... ..= , ; : :: -> => # $ ? ~ ( ) [ ] { } _"
 RUST = alphabet(RUST_WORDS, RUST_OPS, {"NUM": "n", "STR": "s", "CHAR": "c", "LIFE": "l", "DOC": "d", "EOF": "\0"})
 RUST["_"] = "_"
-RUST["ID"] = "i" + RUST["union"] + RUST["macro_rules"] + RUST["auto"] + RUST["default"]
+RUST["ID"] = "i" + RUST["union"] + RUST["macro_rules"] + RUST["auto"] + RUST["default"] + RUST["safe"]
 _RAW = "|".join(rf'b?r{h}"(?:[^"]{"|\"(?!" + h + ")" if h else ""})*+"{h}' for h in ("####", "###", "##", "#", ""))
 _BLOCK1 = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
 _BLOCK2 = rf"/\*(?:[^*/]|\*(?!/)|{_BLOCK1}|/(?!\*))*+\*/"
@@ -278,8 +278,14 @@ _JS_END = re.compile(f"(?:(?<=[{_enders}])|(?<={JS['as']}{JS['const']}))\n+(?=[i
 _JS_RETURN = re.compile(f"(?<=[{JS['return']}{JS['break']}{JS['continue']}])\n+(?!}})")
 
 
+#: A signature without a body ends with a type: after ``void``, and after ``>`` before a word that begins a declaration.
+_JS_SIGNATURE = re.compile(
+    f"(?<=:{JS['void']})\n+(?=[i@#{_soft}{_hard}\\[])|(?<=>)\n+(?=[" + "".join(JS[w] for w in "export function class interface abstract declare import const enum public private protected static readonly override".split()) + "])"
+)
+
+
 def _js_finish(raw: str) -> str:
-    return _JS_RETURN.sub(VSEMI, _JS_END.sub(VSEMI, raw)).replace("\n", "")
+    return _JS_RETURN.sub(VSEMI, _JS_SIGNATURE.sub(VSEMI, _JS_END.sub(VSEMI, raw))).replace("\n", "")
 
 
 JS_LEXER = Lexer(_JS_PATTERN, _js_kind, _js_finish, "`", template_end)
@@ -444,12 +450,71 @@ def _py_kind(t: str) -> str:
         if "f" in prefix and "{" in t or "f" in prefix and "}" in t:
             inner = _fstring(t)
             return BAD if inner is None else "f" + inner
-        return "s"
+        return BAD if "b" in prefix and not t.isascii() else "s"
     if c.isdigit() or c == "." and len(t) > 1:
         return "n"
     return "i" if c == "_" or c.isidentifier() else BAD
 
 
+_F_OPEN = re.compile(r"(?i)(?<!\w)(?:f|t|rf|fr|rt|tr)(\"\"\"|'''|\"|')")
+
+
+def _f_end(text: str, at: int, quote: str, fields: list[tuple[int, int]]) -> int:
+    """The place after the f-string whose body begins at ``at``, or -1; strings inside its replacement fields go to ``fields``.
+
+    A field may use the quotes of the string around it, to any depth.
+    """
+    depth, i = 0, at
+    while i < len(text):
+        c = text[i]
+        if depth and (m := _PY_STRINGS.match(text, i)):
+            end = m.end()
+            if f := _F_OPEN.match(text, i):
+                end = _f_end(text, f.end(), f[1], [])
+                if end < 0:
+                    return -1
+            fields.append((i, end))
+            i = end
+        elif depth:
+            depth += (c in "([{") - (c in ")]}")
+            if c == "\n" and len(quote) == 1 and not depth:
+                return -1
+            i += 1
+        elif text.startswith(quote, i):
+            return i + len(quote)
+        elif c == "\n" and len(quote) == 1:
+            return -1
+        elif c == "\\":
+            i += 2
+        elif c == "{":
+            if text[i : i + 2] == "{{":
+                i += 2
+            else:
+                depth, i = 1, i + 1
+        else:
+            i += 1
+    return -1
+
+
+def without_nested_quotes(text: str) -> str:
+    """``text`` with the strings inside the replacement fields of f-strings as names of the same length."""
+    out, at = [], 0
+    pattern = PY_LEXER.pattern
+    i = 0
+    while i < len(text):
+        if m := _F_OPEN.match(text, i):
+            fields: list[tuple[int, int]] = []
+            end = _f_end(text, m.end(), m[1], fields)
+            if end > 0:
+                for a, b in fields:
+                    out += [text[at:a], "_" * (b - a)]
+                    at = b
+                i = end
+                continue
+        i = max(i + 1, pattern.match(text, i).end())
+    return "".join(out) + text[at:]
+
+
 def _width(blank: str) -> int:
     n = 0
     for c in blank:
@@ -471,6 +536,12 @@ class PythonLexer(Lexer):
         self.blanks = Kinds(_width)
 
     def kinds(self, text: str) -> str:
+        out = self._kinds(text)
+        if BAD in out and (plain := without_nested_quotes(text)) != text:
+            return self._kinds(plain)
+        return out
+
+    def _kinds(self, text: str) -> str:
         names, depths, blanks = self.names, self.depths, self.blanks
         at = re.match(r"\ufeff?[ \t\f]*", text).end()
         raw = "".join(map(names.__getitem__, self.findall(text, at))).split("\n")
@@ -511,4 +582,5 @@ class PythonLexer(Lexer):
         return "".join(out)
 
 
+_PY_STRINGS = re.compile(_PY_STRING, re.S)
 PY_LEXER = PythonLexer(_PY_PATTERN, _py_kind)

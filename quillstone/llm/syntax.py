@@ -25,36 +25,48 @@ REPORT = "file_id bigint, project string, language string, valid boolean, fail_l
 
 _CONFLICT = re.compile(r"^(<{7}|={7}|>{7}|\|{7})(\s|$)")
 _HUNK = re.compile(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@|^diff --git |^\+\+\+ |^--- ")
-_RECURSION = 60_000
+#: Frames that nesting may take, at first and where that is not enough; what is deeper still gets no verdict.
+_RECURSION, _DEEP = 60_000, 4_000_000
 
 
 def language_of(path: str | None) -> str | None:
     return EXTENSIONS.get(path.rsplit("/", 1)[-1].rpartition(".")[2]) if path else None
 
 
-def kinds_of(language: str, text: str) -> str:
-    from .languages import LEXERS
+def has_jsx(path: str) -> bool:
+    """Whether the language of the path's extension holds JSX elements."""
+    return not path.endswith((".ts", ".mjs", ".cjs"))
 
-    return LEXERS[language].kinds(lexers.without_jsx(text) if language in ("javascript", "typescript") else text)
 
+def _plain(language: str, text: str, jsx: bool) -> str:
+    return lexers.without_jsx(text) if jsx and language in ("javascript", "typescript") else text
 
-def parses(language: str, text: str, module: bool = True) -> bool:
-    """Whether ``text`` is syntactically valid.  Nesting deeper than the recursion limit counts as invalid."""
-    from .languages import grammar
 
-    if sys.getrecursionlimit() < _RECURSION:
-        sys.setrecursionlimit(_RECURSION)
-    try:
-        return grammar(language, module).parse(kinds_of(language, text)) >= 0
-    except RecursionError:
-        return False
+def verdict(language: str, text: str, module: bool = True, jsx: bool = True) -> bool | None:
+    """Whether ``text`` is syntactically valid; None where it nests deeper than ``_DEEP`` frames."""
+    from .languages import LEXERS, grammar
+
+    for frames in (_RECURSION, _DEEP):
+        if sys.getrecursionlimit() < frames:
+            sys.setrecursionlimit(frames)
+        try:
+            return grammar(language, module).parse(LEXERS[language].kinds(_plain(language, text, jsx))) >= 0
+        except RecursionError:
+            continue
+        finally:
+            sys.setrecursionlimit(_RECURSION)
+    return None
+
+
+def parses(language: str, text: str, module: bool = True, jsx: bool = True) -> bool:
+    return verdict(language, text, module, jsx) is True
 
 
-def diagnose(language: str, text: str, module: bool = True) -> tuple[int, int, str]:
+def diagnose(language: str, text: str, module: bool = True, jsx: bool = True) -> tuple[int, int, str]:
     """(line, offset, cause) of the furthest failure of a text that does not parse."""
     from .languages import LANGUAGES, LEXERS, grammar
 
-    plain = lexers.without_jsx(text) if language in ("javascript", "typescript") else text
+    plain = _plain(language, text, jsx)
     kinds = LEXERS[language].kinds(plain)
     try:
         far = grammar(language, module).furthest(kinds)
@@ -85,10 +97,13 @@ def _make():
         if language is None or content is None:
             return
         module = not path.endswith(".cjs")
-        if parses(language, content, module):
+        valid = verdict(language, content, module, has_jsx(path))
+        if valid:
             yield file_id, project, language, True, None, None, None
+        elif valid is None:
+            yield file_id, project, language, None, None, None, "too_deep"
         else:
-            yield file_id, project, language, False, *diagnose(language, content, module)
+            yield file_id, project, language, False, *diagnose(language, content, module, has_jsx(path))
 
     return row
 
@@ -98,7 +113,7 @@ def syntax_report(files: DataFrame, layout: str | None = None) -> DataFrame:
 
     Null paths, other extensions and null contents give no row; an empty or blank text is a valid program except in
     Go, which needs a package clause.  Repeated rows give repeated rows (``syntax_found`` and ``syntax_rates`` count a
-    file_id once); further columns are ignored.  No shuffle: the work is one pass over the scan.
+    file_id once); further columns are ignored.  A text that nests too deeply to be judged has a null ``valid``.  No shuffle: the work is one pass over the scan.
     """
     source = files.where(F.col("path").rlike(SOURCE_PATH) & F.col("content").isNotNull())
     return map_rows(source, ["file_id", "path", project_of(layout).alias("project"), "content"], REPORT, _make)
@@ -115,6 +130,6 @@ def syntax_rates(files: DataFrame, layout: str | None = None) -> DataFrame:
     return once.groupBy("project", "language").agg(
         F.count("*").alias("files"),
         F.count_if(~F.col("valid")).alias("invalid"),
-        F.round(F.avg(F.when(F.col("valid"), 0.0).otherwise(1.0)), 6).alias("rate"),
+        F.round(F.avg(F.when(~F.col("valid"), 1.0).otherwise(0.0)), 6).alias("rate"),
         *(F.count_if(F.col("cause") == c).alias(c) for c in causes),
     )

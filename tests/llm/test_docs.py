@@ -161,3 +161,18 @@ def test_operator(spark):
     assert pair.signature == "func Load(x int) error"
     assert "never blocks" in pair.description
     assert D.pairs_found(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "want"),
+    [
+        ("javascript", "class A {\n  x = 1\n  y = foo(2)\n\n  /** Runs the whole plan. */\n  run(a) {\n    return a\n  }\n}\n", ["run"]),
+        ("typescript", "class A {\n  @dec(f(x), { y: [1] })\n  /** Drops what nobody reads. */\n  run(a: Map<string, number>): void {\n  }\n}\n", ["run"]),
+        ("typescript", "class A {\n  private x: string\n  /** Keeps the last answer. */\n  @dec(f(x))\n  static async load<T>(a: T): Promise<T> {\n  }\n  handler = (e) => {\n  }\n}\n", ["load"]),
+        ("go", "package a\n\n// Add puts one more element in.\nfunc (s *Set[func(int) bool]) Add(v int) {\n}\n", ["Add"]),
+        ("typescript", "class A {\n  /** Finds the next free place. */\n" + "  @dec(" + '"x", ' * 120 + '"y")\n' + "  next(a: number) {\n  }\n}\n", ["next"]),
+    ],
+)
+def test_members_without_semicolons_and_nested_decorators(language, text, want):
+    got = [(name, D.description(name, doc)) for _, _, name, doc, _, _ in D.functions(language, text)]
+    assert [n for n, told in got if told] == want

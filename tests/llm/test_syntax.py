@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import syntax
 from quillstone.llm.peg import GrammarError, Peg
+from quillstone.llm.queries import LAYOUT
 
 VALID = {
     "go": [
@@ -103,7 +104,7 @@ def test_operator(spark):
     rows = [(1, "p", "/srv/src/p/a.go", "package a\n"), (1, "p", "/srv/src/p/a.go", "package a\n"), (2, None, "/srv/src/q/b.py", "x = (\n"), (3, "p", "/srv/src/p/c.js", None), (4, "p", None, "x"), (5, "p", "/srv/src/p/d.md", "# x"), (6, "p", "/srv/src/p/e.py", ""), (7, "p", "/srv/src/p/f.cjs", "import a from 'b'"), (8, "p", "/x/g.rs", "fn f() {" + "a();" * 50_000)]
     df = spark.createDataFrame(rows, "file_id bigint, project_id string, path string, content string").withColumn("language", F.lit("clash")).withColumn("valid", F.lit("clash"))
     assert {r.file_id for r in syntax.syntax_found(df).collect()} == {2, 7, 8}
-    rates = {(r.project, r.language): (r.files, r.invalid) for r in syntax.syntax_rates(df).collect()}
+    rates = {(r.project, r.language): (r.files, r.invalid) for r in syntax.syntax_rates(df, LAYOUT).collect()}
     assert rates["p", "go"] == (1, 0)
     assert rates["q", "python"] == (1, 1)
     assert syntax.syntax_found(df.limit(0)).count() == 0
@@ -128,3 +129,71 @@ def test_nesting_has_no_limit(language, text):
 @pytest.mark.parametrize(("language", "text"), [("javascript", "let a = `${f({a: 1}`;"), ("javascript", "let a = `${a`;"), ("rust", "/* /* */ fn f() {}"), ("rust", 'fn f() { let a = r#####"x"####; }')])
 def test_what_never_closes_is_invalid(language, text):
     assert not syntax.parses(language, text)
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "valid"),
+    [
+        ("python", 'x = f"{a["x"]}"\n', True), ("python", 'x = f"{a["x"]!r:>{w}} {f"{b["y"]}"}"\n', True), ("python", "x = f'{a['x']}'\n", True), ("python", 'x = f"{a[}"\n', False), ("python", 'x = f"{a"\n', False),
+        ("python", "f(a=1, 2)\n", False), ("python", "f(1, *a, b=2, *c, **d, e=3)\n", True), ("python", "f(**a, *b)\n", False), ("python", "f(x for x in y)\n", True), ("python", "f(x for x in y, 1)\n", False), ("python", "class A(B, metaclass=C):\n    pass\n", True),
+        ("python", "def f(x=1, y): pass\n", False), ("python", "def f(a, b=1, /, c=2, *d, e, g=3, **h): pass\n", True), ("python", "def f(*): pass\n", False), ("python", "def f(*, a): pass\n", True), ("python", "def f(**a, b): pass\n", False), ("python", "g = lambda a=1, b: 0\n", False), ("python", "g = lambda *, a, **k: 0\n", True),
+        ("python", "x = b'é'\n", False), ("python", "x = b'e'\n", True),
+        ("typescript", "export function f(a: string): string\nexport function f(a: number): number\nexport function f(a: any): any { return a }\n", True), ("typescript", "function f(a: string): void\nfunction f(a: number): void\nfunction f(a: any) {}\n", True),
+        ("typescript", "class A {\n  run(a: string): void\n  run(a: number): void\n  run(a: any) {}\n}\n", True), ("typescript", "class A {\n  run(a: string): string\n  run(a: number): number\n  run(a: any) { return a }\n}\n", True), ("typescript", "declare const x: number;\n", True),
+        ("javascript", "const x;\n", False), ("javascript", "let let = 1;\n", False), ("javascript", "for (const x of y) {}\nconst a = 1, b = 2;\nlet z;\n", True),
+        ("rust", "fn f<'a>(x: &'a str) -> impl Iterator<Item = u8> + use<'a> { x.bytes() }\n", True), ("rust", 'unsafe extern "C" { safe fn f(x: i32) -> i32; unsafe fn g(); pub safe static X: i32; }\n', True), ("rust", "fn safe() { let safe = 1; safe + 1; }\n", True),
+    ],
+)
+def test_rules_of_the_languages(language, text, valid):
+    assert syntax.parses(language, text) is valid
+
+
+def test_elements_stand_only_where_the_extension_has_them(spark):
+    text = "const a = <b>{c}</b>;\n"
+    rows = [(i, "p", f"/x/{name}", text) for i, name in enumerate(["a.ts", "a.tsx", "a.js", "a.jsx"])]
+    df = spark.createDataFrame(rows, "file_id bigint, project_id string, path string, content string")
+    assert {r.file_id for r in syntax.syntax_found(df).collect()} == {0}
+
+
+@pytest.mark.parametrize(("language", "text"), [("javascript", "x = " + "[" * 20_000 + "]" * 20_000 + ";\n"), ("go", "package a\n\nvar x = " + "(" * 5_000 + "1" + ")" * 5_000 + "\n")])
+def test_deep_nesting_is_judged(language, text):
+    assert syntax.verdict(language, text) is True
+    assert syntax.verdict(language, text[:-3]) is False
+
+
+def test_python_agrees_with_the_interpreter_on_mutated_files(sf):
+    """Files with a token taken out, doubled or exchanged: the grammar says what ``ast.parse`` says, but for what is no matter of grammar."""
+    import ast
+    import random
+    import re
+    import warnings
+
+    import duckdb
+
+    r = random.Random(11)
+    texts = [t for (t,) in duckdb.sql(f"select content from '{sf}/files.parquet' where path like '%.py' and content is not null order by file_id limit 40").fetchall()]
+    checked = wrong = 0
+    for text in texts:
+        tokens = re.findall(r"\s+|\w+|.", text, re.S)
+        for _ in range(40):
+            t = list(tokens)
+            i, j = r.randrange(len(t)), r.randrange(len(t))
+            kind = r.randrange(3)
+            if kind == 0:
+                del t[i]
+            elif kind == 1:
+                t.insert(i, t[i])
+            else:
+                t[i], t[j] = t[j], t[i]
+            mutated = "".join(t)
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    ast.parse(mutated)
+                want = True
+            except (SyntaxError, ValueError):
+                want = False
+            checked += 1
+            wrong += syntax.parses("python", mutated) is not want
+    assert checked >= 500
+    assert wrong <= 0.01 * checked, (wrong, checked)
