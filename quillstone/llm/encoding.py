@@ -201,11 +201,11 @@ def pair_frequencies(documents: DataFrame) -> np.ndarray:
 # learning --------------------------------------------------------------------------------------------------------
 
 
-def keyed_units(text: str) -> list[tuple[int, str]]:
-    """(key, unit) of each unit with non-ASCII characters: what garbled and clean twins share.
+def keyed_units(text: str, lost: bool = False) -> list[tuple[int, str]]:
+    """(key, unit) of each unit with non-ASCII characters: what garbled and clean twins share; with ``lost`` of those that hold U+FFFD, as they stand.
 
     The key is the unit's skeleton; where that has too few letters (as in Chinese or Russian) it is the unit's place after
-    the last one that has enough, and its place in the skeleton of the whole text.  A unit with lost characters has none.
+    the last one that has enough, and its place in the skeleton of the whole text.  Else a unit with lost characters has none.
     """
     parts = _SPLIT_ASCII.findall(text)
     out, seen, anchor, at, whole = [], 0, "", 0, None
@@ -228,7 +228,9 @@ def keyed_units(text: str) -> list[tuple[int, str]]:
                 whole = xxhash.xxh64_intdigest(whole) if _CONTEXT.match(whole) else 0
             keys = [f"{anchor}\x01{n - at}\x01{own}"] if anchor else []
             keys += [f"{whole}\x02{n}"] if whole else []
-        if _LOST not in unit:
+        if lost and _LOST in _QUOTED.sub("", unit):
+            out += [(xxhash.xxh64_intdigest(k) - (1 << 63), part) for k in keys]
+        elif not lost and _LOST not in unit:
             out += [(xxhash.xxh64_intdigest(k) - (1 << 63), unit) for k in keys]
     return out
 
@@ -251,14 +253,17 @@ def skeletons(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, schema)
 
 
-def twins(documents: DataFrame) -> DataFrame:
+def counted_units(documents: DataFrame) -> DataFrame:
+    """(skeleton, unit, n) over all documents, written once."""
+    return shared_checkpoint(documents.sparkSession, skeletons(documents).groupBy("skeleton", "unit").agg(F.sum("n").alias("n")))
+
+
+def twins(counted: DataFrame) -> DataFrame:
     """(unit, clean): each unit with the commonest of its skeleton, where that is another one.
 
     The commonest is an aggregate that combines before it shuffles, and it meets the units of its skeleton in ``SALT``
     parts, so a skeleton that a third of all units share is no task of its own.
     """
-    # used four times, so written once
-    counted = shared_checkpoint(documents.sparkSession, skeletons(documents).groupBy("skeleton", "unit").agg(F.sum("n").alias("n")))
     several = counted.groupBy("skeleton").agg(F.count("*").alias("units")).where("units > 1").select("skeleton")
     met = counted.join(several, "skeleton", "left_semi")
     best = met.groupBy("skeleton").agg(F.max(F.struct("n", -F.length("unit"), "unit"))["unit"].alias("clean"))
@@ -297,16 +302,16 @@ def _make_explain():
     return row
 
 
-def learn(documents: DataFrame) -> DataFrame:
+def learn(counted: DataFrame) -> DataFrame:
     """(chain int, pairs bigint, chars bigint): the twin pairs each transformation explains, and the distinct garbled
     characters in them; at most ``len(CHAINS)`` rows."""
-    each = map_rows(twins(documents), ["unit", "clean"], "chain int, char string", _make_explain).groupBy("chain", "char").agg(F.count("*").alias("n"))
+    each = map_rows(twins(counted), ["unit", "clean"], "chain int, char string", _make_explain).groupBy("chain", "char").agg(F.count("*").alias("n"))
     return each.groupBy("chain").agg(F.sum(F.when(F.col("char") == "", F.col("n"))).alias("pairs"), F.count_if(F.col("char") != "").alias("chars"))
 
 
-def learned(documents: DataFrame) -> tuple[int, ...]:
+def learned(counted: DataFrame) -> tuple[int, ...]:
     """The transformations that enough twins teach, most pairs first."""
-    rows = learn(documents).where((F.col("pairs") >= LEAST_PAIRS) & (F.col("chars") >= LEAST_CHARS)).collect()
+    rows = learn(counted).where((F.col("pairs") >= LEAST_PAIRS) & (F.col("chars") >= LEAST_CHARS)).collect()
     return tuple(r.chain for r in sorted(rows, key=lambda r: (-r.pairs, r.chain)))
 
 
@@ -440,15 +445,17 @@ def repair(text: str, mender: Mender) -> tuple[bool, int, int, str, str | None]:
 RESTORED = "doc_id bigint, garbled boolean, units_restored int, units_lost int, encoding string, text string"
 
 
-def restore(documents: DataFrame, only_garbled: bool = True) -> DataFrame:
+def restore(documents: DataFrame, only_garbled: bool = True, from_twins: bool = True) -> DataFrame:
     """One row per document (doc_id, text): whether it is garbled, what could be restored, and the restored text.
 
-    A null, empty or ASCII text is not garbled.  A unit with U+FFFD outside a quoted sample is garbled and lost.
+    A null, empty or ASCII text is not garbled.  A unit with U+FFFD outside a quoted sample is garbled and lost, unless
+    ``from_twins`` is asked for and a clean twin tells what stood there.
     Repeated rows give repeated rows; further columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
     table = spark.sparkContext.broadcast(pair_frequencies(documents))
-    chains = learned(documents)
+    counted = counted_units(documents)
+    chains = learned(counted)
 
     def make():
         mender = Mender(table.value, chains)
@@ -460,8 +467,66 @@ def restore(documents: DataFrame, only_garbled: bool = True) -> DataFrame:
 
         return row
 
-    return map_rows(documents, ["doc_id", "text"], RESTORED, make)
+    out = map_rows(documents, ["doc_id", "text"], RESTORED, make)
+    return filled(out, counted) if from_twins else out
+
+
+def fits(unit: str, clean: str) -> bool:
+    """Whether ``unit`` is ``clean`` with some of its non-ASCII characters lost: all others stand as they are."""
+    return bool(re.fullmatch("".join(f"[^\\x00-\\x7f]{{1,{len(x)}}}" if x[0] == _LOST else re.escape(x) for x in re.findall(f"{_LOST}+|[^{_LOST}]+", unit)), clean))
+
+
+def filled(restored: DataFrame, counted: DataFrame) -> DataFrame:
+    """``restored`` with the lost units replaced by the clean twins they fit: a join on the skeleton, of the garbled documents only."""
+    restored = shared_checkpoint(restored.sparkSession, restored)
+
+    def make_lost():
+        def row(text):
+            for key, unit in dict.fromkeys(keyed_units(text, lost=True)):
+                yield key, unit
+
+        return row
+
+    def make_fit():
+        def row(unit, clean):
+            bare = unit.strip()
+            if fits(bare, clean):
+                yield unit, unit.replace(bare, clean)
+
+        return row
+
+    lost = map_rows(restored.where("units_lost > 0"), ["text"], "skeleton bigint, unit string", make_lost).distinct()
+    best = counted.join(lost.select("skeleton").distinct(), "skeleton", "left_semi").groupBy("skeleton").agg(F.max(F.struct("n", -F.length("unit"), "unit"))["unit"].alias("clean"))
+    known = map_rows(lost.join(best, "skeleton"), ["unit", "clean"], "unit string, clean string", make_fit).groupBy("unit").agg(F.min("clean").alias("clean"))
+
+    def make_parts():
+        def row(doc_id, text):
+            for n, part in enumerate(_SPLIT_ASCII.findall(text)):
+                if _LOST in part:
+                    yield doc_id, xxhash.xxh64_intdigest(text) - (1 << 63), n, part
+
+        return row
+
+    def make_filled():
+        def row(doc_id, garbled, mended, lost, encoding, text, parts):
+            new = {p["part"]: p["clean"] for p in parts or ()}
+            n = 0
+            if new:
+                pieces, at = [], 0
+                for m in _SPLIT_ASCII.finditer(text):
+                    if m[0] in new and _LOST in m[0]:
+                        pieces += [text[at : m.start()], new[m[0]]]
+                        at, n = m.end(), n + 1
+                text = "".join(pieces) + text[at:]
+            yield doc_id, garbled, mended + n, max(0, lost - n), encoding, text
+
+        return row
+
+    # a text's own units bound its list
+    parts = map_rows(restored.where("units_lost > 0"), ["doc_id", "text"], "id bigint, h bigint, n int, part string", make_parts)
+    found = parts.join(known.withColumnRenamed("unit", "part"), "part").groupBy("id").agg(F.collect_set(F.struct("part", "clean")).alias("parts"))
+    return map_rows(restored.join(found, restored["doc_id"] == found["id"], "left"), [*(c.split()[0] for c in RESTORED.split(", ")), "parts"], RESTORED, make_filled)
 
 
 def encoding_found(documents: DataFrame) -> DataFrame:
-    return restore(documents).select("doc_id").distinct()
+    return restore(documents, from_twins=False).select("doc_id").distinct()

@@ -61,7 +61,7 @@ def test_operator(spark):
     # a text has more clean copies than garbled ones of a kind
     data = [*clean.items(), *((20_000 + k, t) for k, t in clean.items()), *((k, v[0]) for k, v in bad.items()), *lost.items(), *fine.items(), (5001, bad[5001][0])]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("unit", F.lit("clash")).withColumn("garbled", F.lit("clash"))
-    taught = {E.CHAINS[i] for i in E.learned(df)}
+    taught = {E.CHAINS[i] for i in E.learned(E.counted_units(df))}
     assert taught >= set(KINDS) and len(taught) < len(E.CHAINS) / 2
     assert {r.doc_id for r in E.encoding_found(df).collect()} == set(bad) | set(lost)
     got = {r.doc_id: r for r in E.restore(df).collect()}
@@ -76,14 +76,14 @@ def test_without_twins_nothing_is_learned_and_nothing_found(spark):
     lone = [(k, t) for k, (t, _) in bad.items() if t.startswith("Nowhere")]
     clean = [(k, f"{s} nr {k}") for k, s in enumerate(SENTENCES * 20)]
     df = spark.createDataFrame([*lone, *((10_000 + k, t) for k, t in clean)], "doc_id bigint, text string")
-    assert E.learned(df) == ()
+    assert E.learned(E.counted_units(df)) == ()
     assert E.encoding_found(df).count() == 0
 
 
 def test_a_hot_skeleton_meets_its_twins_in_parts(spark):
     rows = [(i, f"the same ASCII words é{chr(0xE0 + i % 24)}{chr(0x100 + i // 24)}") for i in range(600)] + [(1000 + i, "the same ASCII words éé") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = E.twins(df).collect()
+    got = E.twins(E.counted_units(df)).collect()
     assert len(got) == 600 and {r.clean for r in got} == {"the same ASCII words éé"}
 
 
@@ -114,3 +114,16 @@ def test_gains_of_pieces_add_up_to_those_of_the_unit():
             else:
                 want, had = E._sums([text, unit], logs)
                 assert gain == pytest.approx(want - had)
+
+
+def test_lost_characters_come_back_from_a_twin(spark):
+    s = "Bitte zuerst Wächter öffnen, danach lässt sich Schlüssel löschen."
+    rows = [(i, f"# Title {i}\n{s}\nend") for i in range(3)]
+    rows += [(10, f"# Title 1\n{s.replace('ä', chr(0xFFFD) * 2)}\nend"), (11, s.replace("ü", chr(0xFFFD)) + "\nSchl\ufffdssel in keinem anderen Text."), (12, "Bitte zuerst W\ufffdchter \u00fcffnen, danach l\u00e4sst sich Schl\u00fcssel l\u00f6schen.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in E.restore(df).collect()}
+    assert got[10].text == rows[1][1] and got[10].units_lost == 0 and got[10].units_restored == 1
+    assert got[11].text == s + "\nSchl\ufffdssel in keinem anderen Text." and got[11].units_lost == 1
+    assert got[12].text == rows[-1][1]
+    assert {r.doc_id for r in E.encoding_found(df).collect()} == {10, 11, 12}
+    assert E.fits("a\ufffdb", "aéb") and not E.fits("a\ufffdb", "ab") and not E.fits("é\ufffd", "öü")
