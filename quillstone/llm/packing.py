@@ -107,3 +107,17 @@ def fill(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     each = containers(placed, capacity)
     n, t = F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))
     return each.agg(n.alias("containers"), t.alias("tokens"), F.coalesce(F.round(F.try_divide(t, n * capacity), 6), F.lit(1.0)).alias("filled"))
+
+
+def invariants(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str | None = None) -> DataFrame:
+    """One row of what must hold of a packing: documents placed, and how often a rule is broken (0 each).
+
+    ``lost_tokens``: tokens of the documents less those placed; ``gaps``: pieces that do not begin where the one before
+    ended; ``overfull``: containers above the capacity; ``split``: documents within the capacity in several pieces.
+    """
+    placed = shared_checkpoint(documents.sparkSession, pack(documents, capacity, tokenizers))
+    sizes = token_counts(documents, ["doc_id"], tokenizers).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("had"))
+    per = placed.groupBy("doc_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("n"), F.max("token_end").alias("end"), F.count("*").alias("pieces"), F.count_if(F.col("piece") == 0).alias("copies"))
+    by_doc = per.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("placed"), F.count_if(F.col("n") != F.col("end") * F.col("copies")).alias("gaps"), F.count_if((F.col("end") <= capacity) & (F.col("pieces") > F.col("copies"))).alias("split"))
+    over = containers(placed, capacity).agg(F.count_if(F.col("unused") < 0).alias("overfull"))
+    return by_doc.join(sizes).join(over).select("documents", (F.col("had") - F.col("placed")).alias("lost_tokens"), "gaps", "split", "overfull")

@@ -28,13 +28,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pieces": lambda s, d: split.pieces(table(s, d, "chunks")),
     "p7_packed": lambda s, d: packing.pack(table(s, d, "documents")),
     "p7_fill": lambda s, d: packing.fill(packing.pack(table(s, d, "documents"))),
+    "p7_invariants": lambda s, d: packing.invariants(table(s, d, "documents")),
     "p8_mixture": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
     "p8_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
+    "p8_invariants": lambda s, d: mixing.invariants(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p9_found": lambda s, d: encoding.encoding_found(table(s, d, "documents")),
     "p9_restored": lambda s, d: encoding.restore(table(s, d, "documents")),
 }
 
-#: A chunk comes out in pieces exactly if it is longer than the limit; what the pieces are is tested by putting them together.
+#: Packings and mixtures hold their invariants; a chunk comes out in pieces exactly if it is longer than the limit; what the pieces are is tested by putting them together.
 ORACLES: dict[str, str] = {
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS lost_tokens, 0::BIGINT AS gaps, 0::BIGINT AS split, 0::BIGINT AS overfull FROM documents WHERE length(text) > 0",
+    "p8_invariants": "SELECT 0::BIGINT AS over_repeats, 0::BIGINT AS strange, 0::BIGINT AS partial, 0::BIGINT AS off_share, 0::BIGINT AS unsummed",
     "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 2000",
 }
