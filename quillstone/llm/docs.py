@@ -76,15 +76,33 @@ _SPACE = re.compile(r"\s*")
 _WORD = re.compile(r"[\w$]+")
 _OPEN = re.compile(r"\s*\{")
 _HEADER_END = re.compile(r"[{(;]")
+_HEADER_MARK = re.compile(r"[(\[{:]")
+_BODY_MARK = re.compile(r"[{;]")
+_ANGLE = re.compile(r"[<>]")
 _MEMBER_MARK = re.compile(r"[()\[\]{};]")
 _FUNCTION_HEAD = re.compile(r"function\s*\*?\s*[\w$]*\s*")
 
 
 def _before(code: str, at: int) -> int:
     """The end of the code before ``at``, blanks passed over."""
-    while at > 0 and code[at - 1].isspace():
-        at -= 1
-    return at
+    while at > 0:
+        begin = max(0, at - 256)
+        if part := code[begin:at].rstrip():
+            return begin + len(part)
+        at = begin
+    return 0
+
+
+def _lead(code: str, at: int, words: frozenset[str]) -> int:
+    """Where the ``words`` right before ``at`` begin."""
+    while True:
+        end = _before(code, at)
+        begin = end
+        while begin > 0 and code[begin - 1].isalpha():
+            begin -= 1
+        if end == at or code[begin:end] not in words or begin > 0 and (code[begin - 1].isalnum() or code[begin - 1] in "_$."):
+            return at
+        at = begin
 
 
 def closing(code: str, at: int) -> int:
@@ -103,8 +121,9 @@ _GO_FUNC = re.compile(r"^func\b[ \t]*(?P<receiver>\()?", re.M)
 _GO_NAME = re.compile(r"[ \t]*(?P<name>[^\W\d]\w*)[ \t]*(?=[\[(])")
 _RUST_FN = re.compile(r"(?<![\w.])(?P<lead>(?:(?:pub(?:\s*\([^()]*\))?|default|const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*)fn\s+(?:r#)?(?P<name>[^\W\d]\w*)\s*(?=[<(])")
 _PY_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)", re.M)
-_JS_FUNCTION = re.compile(r"(?<![\w$.])(?P<lead>(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:async\s+)?)function\b\s*\*?\s*(?P<name>[A-Za-z_$][\w$]*)\s*(?=[<(])")
-_JS_CONST = re.compile(r"(?<![\w$.])(?P<lead>(?:export\s+)?const\s+)(?P<name>[A-Za-z_$][\w$]*)\s*(?::(?:[^=;{}]|=>)*?)?=(?!=)\s*(?P<value>async\b\s*(?=function\b|\(|<|[A-Za-z_$])|(?=function\b|\(|<|[A-Za-z_$]))")
+_JS_FUNCTION = re.compile(r"function\b\s*\*?\s*(?P<name>[A-Za-z_$][\w$]*)\s*(?=[<(])")
+_JS_LEADS = frozenset(("export", "default", "declare", "async"))
+_JS_CONST = re.compile(r"const\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?::(?:[^=;{}]|=>)*?)?=(?!=)\s*(?P<value>async\b\s*(?=function\b|\(|<|[A-Za-z_$])|(?=function\b|\(|<|[A-Za-z_$]))")
 _JS_ARROW_AFTER = re.compile(r"\s*(?::[^=;{}]*?(?:\{[^{}]*\}[^=;{}]*)?)?=>")
 _JS_CLASS = re.compile(r"(?<![\w$.])class\b(?=[\s{])")
 _JS_DECORATOR = re.compile(r"@[\w$.]+")
@@ -114,7 +133,7 @@ _JS_METHOD = re.compile(r"(?P<mods>(?:(?:public|private|protected|static|async|o
 def _angle(code: str, at: int) -> int:
     """The place after the ``<...>`` at ``at``."""
     depth = 0
-    for m in re.compile(r"[<>]").finditer(code, at):
+    for m in _ANGLE.finditer(code, at):
         depth += 1 if m[0] == "<" else (0 if code[m.start() - 1] in "=-" else -1)
         if depth == 0:
             return m.end()
@@ -134,7 +153,7 @@ def _after_params(code: str, at: int) -> int:
 def _body(code: str, at: int) -> int:
     """The ``{`` of the body whose header has its parameters before ``at``; -1 for a declaration without one."""
     while at >= 0:
-        m = re.compile(r"[{;]").search(code, at)
+        m = _BODY_MARK.search(code, at)
         if not m or m[0] == ";":
             return -1
         before = code[at : m.start()].rstrip()
@@ -190,14 +209,25 @@ def _class_members(code):
                     break
 
 
+def _joined(code: str, at: int) -> bool:
+    """Whether what begins at ``at`` is the end of a longer name, or a member."""
+    return at > 0 and (code[at - 1].isalnum() or code[at - 1] in "_$.")
+
+
 def _script(code):
     for m in _JS_FUNCTION.finditer(code):
-        end = _before(code, m.start())
-        before = code[end - 1 : end] if not m["lead"].startswith("export") else ""
-        if before in ("", ";", "{", "}", ")", '"') or "\n" in code[end : m.start()] and before not in tuple("=(,:?&|[+"):
-            yield m.start(), m.start("name"), m["name"], _body(code, _after_params(code, m.end()))
+        if _joined(code, m.start()):
+            continue
+        start = _lead(code, m.start(), _JS_LEADS)
+        end = _before(code, start)
+        before = code[end - 1 : end] if not code.startswith("export", start) else ""
+        if before in ("", ";", "{", "}", ")", '"') or "\n" in code[end:start] and before not in tuple("=(,:?&|[+"):
+            yield start, m.start("name"), m["name"], _body(code, _after_params(code, m.end()))
     depth = at = 0
     for m in _JS_CONST.finditer(code):
+        if _joined(code, m.start()):
+            continue
+        start = _lead(code, m.start(), frozenset(("export",)))
         depth += code.count("{", at, m.start()) - code.count("}", at, m.start())
         at = m.start()
         if depth > 0:
@@ -205,13 +235,13 @@ def _script(code):
         p = m.end()
         if code.startswith("function", p):
             head = _FUNCTION_HEAD.match(code, p).end()
-            yield m.start(), m.start("name"), m["name"], _body(code, _after_params(code, head))
+            yield start, m.start("name"), m["name"], _body(code, _after_params(code, head))
             continue
         end = _after_params(code, p) if code[p : p + 1] in "(<" else _WORD.match(code, p).end()
         arrow = _JS_ARROW_AFTER.match(code, end) if end >= 0 else None
         if arrow:
             rest = _OPEN.match(code, arrow.end())
-            yield m.start(), m.start("name"), m["name"], rest.end() - 1 if rest else -1
+            yield start, m.start("name"), m["name"], rest.end() - 1 if rest else -1
     for a, b in _class_members(code):
         # the member may follow fields that no semicolon ends: it begins on one of the lines of the header
         for start in _line_starts(code, a, b):
@@ -257,7 +287,7 @@ def _python(code):
     for m in _PY_DEF.finditer(code):
         at = m.end()
         while at >= 0:
-            n = re.compile(r"[(\[{:]").search(code, at)
+            n = _HEADER_MARK.search(code, at)
             if not n:
                 at = -1
             elif n[0] == ":":
@@ -385,6 +415,8 @@ _FILLER = set(
 )
 
 
+_AFTER_NAME = re.compile(r"\s*(?:\(\))?\s*(?::|-|–|—|is|are)?\s*")
+_WORDY = re.compile(r"\w")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_\W]+")
 
 
@@ -437,8 +469,8 @@ def description(name: str, doc: str | None) -> str | None:
     if name in ("__init__", "constructor"):
         own |= {_stem(w) for w in ("init", "initialize", "construct", "build", "create", "make", "instance", "object", "new")}
     for s in sentences:
-        bare = re.sub(rf"^{re.escape(name)}\s*(?:\(\))?\s*(?::|-|–|—|is|are)?\s*", "", s) if s.lower().startswith(name.lower()) else s
-        if not re.search(r"\w", bare) or _CODE_LINE.match(s) or _PLACEHOLDER.match(bare.strip()) or _PLACEHOLDER.match(s) or _POINTER.match(bare.strip()) or _POINTER.match(s):
+        bare = s[_AFTER_NAME.match(s, len(name)).end() :] if s.startswith(name) else s
+        if not _WORDY.search(bare) or _CODE_LINE.match(s) or _PLACEHOLDER.match(bare.strip()) or _PLACEHOLDER.match(s) or _POINTER.match(bare.strip()) or _POINTER.match(s):
             continue
         if [w for w in _words(bare) if _stem(w) not in own and w not in _FILLER and w != "init"]:
             return text

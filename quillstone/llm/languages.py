@@ -302,7 +302,7 @@ Postfix   <- 'await'? Atom (Args / '[' Slices ']' / '.' ID)*
 Args      <- '(' Flat? ')' / '(' ArgList ')'
 Flat      <- One (',' One)* ','?
 One       <- NUM / STR / ID ('.' ID)*
-ArgList   <- Named Comp / Position (',' Position)* (',' Keywords)? ','? / Keywords ','?
+ArgList   <- Position (Comp / (',' Position)* (',' Keywords)? ','?) / Keywords ','?
 Position  <- '*' Test / !(ID '=') Named
 Keywords  <- KeyOrStar (',' KeyOrStar)* (',' KeyOrDouble)* / KeyOrDouble (',' KeyOrDouble)*
 KeyOrStar <- ID '=' Test / '*' Test
