@@ -65,7 +65,7 @@ _PHONE_WORDS = re.compile(r"(?i)\b(?:call(?: me| us| him| her| them)?(?: on| at)
 _NUMBER_WORDS = re.compile(r"(?i)\b(?:ticket|order|part|code|build|port|version|isbn\S*|issn|serial|commit|revision|line|retry|item|sku|invoice|ref(?:erence)?|id|key|block|page|hash|ip|running|row|offset|batch)\b[ \t]*[#:=]?[ \t]*$")
 
 _ID_LABEL = re.compile(
-    r"(?i)(?<!\w)(?:social[ -]security(?: (?:number|no\.?|num))?|ssn|itin|national id(?:entity)?(?: (?:number|no\.?|card))?|national insurance(?: (?:number|no\.?))?|nino"
+    r"(?<!\w)(?:social[ -]security(?: (?:number|no\.?|num))?|ssn|itin|national id(?:entity)?(?: (?:number|no\.?|card))?|national insurance(?: (?:number|no\.?))?|nino"
     r"|(?:id|identity) card(?: (?:number|no\.?))?|identity (?:number|no\.?)|passport(?: (?:number|no\.?))?|reisepass(?:nummer)?|personalausweis(?:nummer)?|ausweis(?:nummer)?"
     r"|driv(?:er'?s?|er’s|ing) licen[cs]e(?: (?:number|no\.?))?|f(?:ü|ue)hrerschein(?:nummer)?|personal (?:number|no\.?)|personnummer|tax (?:id|number|identification number)|steuer-?id(?:nummer)?"
     r"|ni (?:number|no\.?)|tin|ahv(?:-?(?:nr\.?|nummer))?|avs|pesel|dni|nie|nif|cpf|bsn|insee|codice fiscale|aadhaar|medicare(?: number)?|iban|(?:credit |debit )?card number)(?!\w)"
@@ -232,8 +232,15 @@ def _phones(text):
         yield m.start(), m.end(), "phone", score
 
 
+_SIX_DIGITS = re.compile(r"(?:\D*\d){6}")
+
+
 def _ids(text):
-    for m in _ID_LABEL.finditer(text):
+    # no kind of number has fewer than six digits
+    if not _SIX_DIGITS.match(text):
+        return
+    low = text.lower()
+    for m in _ID_LABEL.finditer(low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)):
         v = _ID_VALUE.match(text, m.end())
         if v:
             value = v["value"].rstrip(" ./-")
