@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoint
+from ..session import few, shared_checkpoint
 from .common import map_rows, project_of, rel_of
 
 #: A mined pattern needs this many files with evidence, in this many projects, and this share of all its files.
@@ -368,7 +368,8 @@ def _candidates(rel: Column) -> Column:
 
 def _all_candidates() -> Column:
     """Patterns of a file: of its path, of its comment lines, of its shape."""
-    return F.concat(_candidates(F.col("rel_path")), F.coalesce("lines", F.array().cast("array<string>")), F.when(F.col("minified"), F.array(F.lit("shape:dense"))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(_candidates(F.col("rel_path")), none), F.coalesce("lines", none), F.when(F.col("minified"), F.array(F.lit("shape:dense"))).otherwise(none))
 
 
 def mine(paths: DataFrame) -> DataFrame:
@@ -445,13 +446,14 @@ def provenance(files: DataFrame, upstream: DataFrame, layout: str | None = None)
     known = seen.join(said, "file_id", "left")
     named = F.coalesce("excluded", F.col("convention") | F.col("generated") | F.col("foreign") | F.col("copied"))
     known = known.withColumn("named", named).withColumn("evident", F.coalesce("excluded", named | F.col("minified") | F.col("data")))
-    patterns = mine(known)
+    # few patterns hold, and they are written once: they are sent to the files, which then need not be shuffled to them
+    patterns = shared_checkpoint(spark, mine(known))
     declaring = rules.select("project").distinct().withColumn("declares", F.lit(True))
     candidates = known.select("file_id", _all_candidates().alias("all"))
     each = candidates.select("file_id", F.filter("all", lambda c: c.startswith("pair:") | c.startswith("line:")).alias("pairs"), F.explode("all").alias("pattern"))
-    met = each.join(patterns, "pattern").where(~F.arrays_overlap("pairs", "except_for")).drop("pairs", "except_for")
+    met = each.join(few(patterns), "pattern").where(~F.arrays_overlap("pairs", "except_for")).drop("pairs", "except_for")
     lines = patterns.where(F.col("pattern").startswith("line:")).drop("except_for").withColumn("h", F.xxhash64("pattern"))
-    met = met.unionByName(known.select("file_id", F.explode("below").alias("h")).join(lines, "h").select(*met.columns))
+    met = met.unionByName(known.select("file_id", F.explode("below").alias("h")).join(few(lines), "h").select(*met.columns))
     by_path = met.groupBy("file_id").agg(F.max_by("pattern", F.struct(F.col("evident") / F.col("files"), "evident", "pattern")).alias("by_pattern"))
     out = known.join(by_path, "file_id", "left").join(declaring, "project", "left")
     reason = F.expr(
