@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import decrypted, is_text, printable_runs, sha256
 from ..functions.text import base_name
+from ..session import shared_checkpoint
 
 FILES = "path string, mod_time timestamp, size bigint, content binary"
 
@@ -18,16 +19,13 @@ FILES = "path string, mod_time timestamp, size bigint, content binary"
 def scan(spark: SparkSession, root: str, project_id: str, hidden: bool = True) -> DataFrame:
     """The files below ``root`` as the table of files: project_id, path, rel_path, content, mod_time, hash, size.
 
-    Spark's file source passes over names that begin with a dot or underscore.  With ``hidden`` those are listed on the
-    driver (names only) and read in tasks.  Files that are not text have no content.
+    Spark's file source passes over names that begin with a dot or underscore.  With ``hidden`` those are listed and read
+    in tasks too, by the file system of ``root``.  Files that are not text have no content.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rows = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("modificationTime").alias("mod_time"), F.col("length").alias("size"), "content")
     if hidden:
-        names = list(hidden_files(root))
-        if names:
-            listed = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names) // 256 + 1))
-            rows = rows.unionByName(listed.mapInArrow(_read, FILES))
+        rows = rows.unionByName(hidden_files(spark, root).mapInArrow(_reader(root), FILES))
     prefix = root.rstrip("/")
     return rows.select(
         F.lit(project_id).alias("project_id"),
@@ -40,30 +38,57 @@ def scan(spark: SparkSession, root: str, project_id: str, hidden: bool = True) -
     )
 
 
-def hidden_files(root: str) -> Iterator[str]:
-    """Files whose name, or a directory above it below the root, begins with a dot or underscore."""
-    for folder, _, names in os.walk(root):
-        inside = any(part[:1] in "._" for part in os.path.relpath(folder, root).split(os.sep) if part != ".")
-        for name in names:
-            if inside or name[:1] in "._":
-                yield os.path.join(folder, name)
+def hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path): files whose name, or a directory above it below the root, begins with a dot or underscore.
 
-
-def _read(batches):
+    The tree is listed level by level, the directories of a level in tasks; the driver sees no names.
+    """
     import pyarrow as pa
 
-    for b in batches:
-        rows: list[tuple] = []
-        for path in b.column(0).to_pylist():
-            try:
-                with open(path, "rb") as f:
-                    data = f.read()
-                rows.append((path, int(os.path.getmtime(path) * 1e6), len(data), data))
-            except OSError:  # gone between the listing and the read
-                continue
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
+    def entries(batches):
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(root)
+        for b in batches:
+            rows: list[tuple] = []
+            for path, inside in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                    rows.append((info.path, info.type == fs.FileType.Directory, inside or info.base_name[:1] in "._"))
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.bool_()))], names=["path", "folder", "inside"])
+
+    from pyarrow import fs
+
+    level = spark.createDataFrame([(fs.FileSystem.from_uri(root)[1], False)], "path string, inside boolean")
+    found = None
+    while True:
+        listed = shared_checkpoint(spark, level.mapInArrow(entries, "path string, folder boolean, inside boolean"))
+        files = listed.where("inside and not folder").select("path")
+        found = files if found is None else found.unionByName(files)
+        level = listed.where("folder").select("path", "inside").repartition("path")
+        if level.isEmpty():
+            return found.repartition("path")
+
+
+def _reader(root: str):
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(root)
         kinds = [pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["path", "mod_time", "size", "content"])
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                try:
+                    info = system.get_file_info(path)
+                    with system.open_input_stream(path) as f:
+                        data = f.read()
+                except OSError:  # gone between the listing and the read
+                    continue
+                columns = [[path], [int(info.mtime.timestamp() * 1e6)], [len(data)], [data]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["path", "mod_time", "size", "content"])
+
+    return read
 
 
 def ignore_files(files: DataFrame) -> DataFrame:
@@ -73,6 +98,14 @@ def ignore_files(files: DataFrame) -> DataFrame:
     return own.select(root.alias("root"), F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("dir"), "content")
 
 
+def memory_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, provider, content) of the remembered Markdown files below ``folder``; the provider is that of the header, else the directory's name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
+    path, text = F.regexp_replace("path", "^file:(//)?", ""), F.decode("content", "UTF-8")
+    named = F.nullif(F.regexp_extract(text, r"(?m)^- \*\*Provider:\*\* *(\S.*?)\s*$", 1), F.lit(""))
+    return files.select(path.alias("path"), F.coalesce(named, F.regexp_extract(path, "([^/]*)/[^/]*$", 1)).alias("provider"), text.alias("content"))
+
+
 PROJECT = "path string, name string, extensions array<string>, include array<string>, exclude array<string>, max_file_size_mb int"
 
 

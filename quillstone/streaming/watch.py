@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,6 +41,14 @@ def follow(changes: DataFrame, read: Callable[[DataFrame], DataFrame], index, ch
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**options).start()
 
 
+def every(spark: SparkSession, act: Callable[[], object], checkpoint: str, period: str = "5 minutes") -> StreamingQuery:
+    """Runs ``act`` once at the start and then every ``period``, until the query is stopped: a snapshot of the files against the
+    index (``lambda: index.update(scan(...))``), a memory against its notes (``engine.sync_memory``).  What it does must
+    be the same when done again, as these are."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda rows, n: act() and None).option("checkpointLocation", checkpoint).trigger(processingTime=period).start()
+
+
 def distinct_until_changed(states: DataFrame, order: str = "updated_at", key: str = "job_id") -> DataFrame:
     """The states of a job that differ from the one before."""
     from pyspark.sql import Window

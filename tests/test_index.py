@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from quillstone.plans.index import Index
 from quillstone.plans.memory import Memory
 from quillstone.plans.progress import Progress, State
 from quillstone.sources import chats, chunking, config, scan, sink
-from quillstone.streaming.watch import debounce, distinct_until_changed, follow
+from quillstone.streaming.watch import debounce, distinct_until_changed, every, follow
 
 FILES = "project_id string, path string, rel_path string, content string, mod_time timestamp_ntz, hash string, size bigint"
 
@@ -309,6 +310,29 @@ def test_follow_keeps_the_index(spark, files, projects, tmp_path):
     assert index.state().count() == 2
 
 
+def test_a_snapshot_is_taken_every_period(spark, files, tmp_path):
+    index = Index(spark, str(tmp_path / "index"))
+    now = {"files": files.where("rel_path = 'a.go'")}
+    q = every(spark, lambda: index.update(now["files"].select("project_id", "path", "rel_path", "content")), str(tmp_path / "cp"), "1 second")
+    try:
+        for want in (1, 3):
+            end = time.time() + 120
+            while time.time() < end and index.state().count() != want and q.exception() is None:
+                time.sleep(1)
+            assert q.exception() is None and index.state().count() == want
+            now["files"] = files
+    finally:
+        q.stop()
+
+
+def test_memory_files(spark, tmp_path):
+    (tmp_path / "cascade").mkdir()
+    (tmp_path / "cascade" / "a.md").write_text("# A\n\n- **Provider:** other\n")
+    (tmp_path / "cascade" / "b.md").write_text("# B\n")
+    (tmp_path / "cascade" / "c.txt").write_text("x")
+    assert {(os.path.basename(r.path), r.provider) for r in scan.memory_files(spark, str(tmp_path)).collect()} == {("a.md", "other"), ("b.md", "cascade")}
+
+
 def test_changed_rules_hold_from_the_next_batch_on(spark, files, projects, tmp_path):
     index = Index(spark, str(tmp_path / "index"))
     rules = {"now": projects}
