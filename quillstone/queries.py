@@ -250,7 +250,7 @@ def path_allowed(spark, d):
 
 @_query(
     """WITH f AS (SELECT DISTINCT path, rel_path, left(path, greatest(len(path) - len(rel_path) - 1, 0)) AS root FROM files WHERE path IS NOT NULL AND rel_path IS NOT NULL)
-SELECT path, root IN (SELECT path FROM projects) AND CASE WHEN regexp_matches(rel_path, '^(?:.*/)?tools/') THEN true WHEN regexp_matches(rel_path, '^(?:.*/)?README[^/]*(?:/.*)?$') THEN false ELSE regexp_matches(rel_path, '^(?:.*/)?[^/]*\.md(?:/.*)?$') END AS ignored FROM f"""
+SELECT path, root IN (SELECT path FROM projects) AND CASE WHEN regexp_matches(rel_path, '^(?:.*/)?tools/') THEN true WHEN regexp_matches(rel_path, '^(?:.*/)?README[^/]*(?:/.*)?$') THEN false ELSE regexp_matches(rel_path, '^(?:.*/)?[^/]*\\.md(?:/.*)?$') END AS ignored FROM f"""
 )
 def ignored_files(spark, d):
     """Every file, by an ignore file at the root of each project."""

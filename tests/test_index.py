@@ -310,10 +310,10 @@ def test_follow_keeps_the_index(spark, files, projects, tmp_path):
     assert index.state().count() == 2
 
 
-def test_a_snapshot_is_taken_every_period(spark, files, tmp_path):
+def test_a_snapshot_is_taken_every_period(spark, files, projects, tmp_path):
     index = Index(spark, str(tmp_path / "index"))
     now = {"files": files.where("rel_path = 'a.go'")}
-    q = every(spark, lambda: index.update(now["files"].select("project_id", "path", "rel_path", "content")), str(tmp_path / "cp"), "1 second")
+    q = every(spark, lambda: index.update(now["files"], projects), str(tmp_path / "cp"), "1 second")
     try:
         for want in (1, 3):
             end = time.time() + 120
