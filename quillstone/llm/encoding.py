@@ -55,12 +55,13 @@ CHAINS: tuple[tuple[str, ...], ...] = (
 #: Chains that turn every run of non-ASCII characters by itself, and those whose bytes may take in the ASCII character after it.
 BY_RUN = tuple(i for i, chain in enumerate(CHAINS) if chain[0] not in MULTI)
 BY_STRETCH = tuple(i for i, chain in enumerate(CHAINS) if chain[0] in MULTI)
-#: Pieces of units whose gains a task remembers, and characters a remembered piece may have.
+#: Pieces of units whose gains a task remembers, and characters a remembered piece may have; the same for the run pairs whose chains it remembers.
 REMEMBERED, REMEMBERED_CHARS = 20_000, 16
+REMEMBERED_RUNS, REMEMBERED_RUN_CHARS = 20_000, 64
 
-_SPLIT = re.compile(r"[^\n]+?(?:[.!?。！？](?=\s|$|[^\x00-\x7f])|\n|$)", re.M)
+_SPLIT = re.compile(r"[^\n][^\n.!?。！？]*+(?:[.!?。！？](?!\s|$|[^\x00-\x7f])[^\n.!?。！？]*+)*+(?:[.!?。！？]|\n|$)", re.M)
 #: Sentences and lines by their ASCII marks alone, which garbling leaves as they are.
-_SPLIT_ASCII = re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|\n|$)", re.M)
+_SPLIT_ASCII = re.compile(r"[^\n][^\n.!?]*+(?:[.!?](?!\s|$)[^\n.!?]*+)*+(?:[.!?]|\n|$)", re.M)
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _RUNS = re.compile(r"[^\x00-\x7f]+")
 #: Non-ASCII characters with single ASCII ones between them: no encoding reads bytes of two such stretches as one character.
@@ -280,20 +281,63 @@ def align(garbled: str, clean: str) -> list[tuple[str, str]] | None:
     return [x for x in zip(g, c) if x[0] != x[1]]
 
 
+def run_chains(garbled: str, clean: str) -> frozenset[int]:
+    """The chains that make the garbled run of the clean one; each true encoding encodes the run once."""
+    out, data = [], {}
+    for i, chain in enumerate(CHAINS):
+        true, wrong = chain[:2]
+        if true not in data:
+            try:
+                data[true] = clean.encode(true)
+            except UnicodeEncodeError:
+                data[true] = None
+        read = data[true]
+        if read is None:
+            continue
+        # a single-byte encoding shows every byte as one character
+        if len(chain) == 2 and wrong in SINGLE and (len(read) != len(garbled) or _to_chars(wrong)[read[0]] != garbled[0]):
+            continue
+        text = _read(read, wrong)
+        if text is not None and len(chain) > 2:
+            text = garble(text, chain[2:])
+        if text == garbled:
+            out.append(i)
+    return frozenset(out)
+
+
+def explain_runs(runs: list[tuple[str, str]] | None, seen: dict | None = None) -> list[int]:
+    """The chains that make each of the garbled runs of its clean one; ``seen`` holds what is known of run pairs."""
+    left: frozenset[int] | None = None
+    for run in runs or ():
+        found = seen.get(run) if seen is not None else None
+        if found is None:
+            found = run_chains(*run)
+            if seen is not None and len(run[0]) + len(run[1]) <= REMEMBERED_RUN_CHARS:
+                if len(seen) >= REMEMBERED_RUNS:
+                    seen.clear()
+                seen[run] = found
+        left = found if left is None else left & found
+        if not left:
+            break
+    return sorted(left or ())
+
+
 def explain(garbled: str, clean: str) -> list[int]:
     """The chains that make each garbled run of the pair of its clean one."""
-    runs = align(garbled, clean)
-    if not runs:
-        return []
-    return [i for i, chain in enumerate(CHAINS) if all(garble(c, chain) == g for g, c in runs)]
+    return explain_runs(align(garbled, clean))
 
 
 def _make_explain():
+    seen: dict[tuple[str, str], frozenset[int]] = {}
+
     def row(one, other):
+        runs = align(one, other)
+        if not runs:
+            return
         # the commoner one may be the garbled one where a skeleton has few records
-        for garbled, clean in ((one, other), (other, one)):
-            if found := explain(garbled, clean):
-                chars = set("".join(g for g, _ in align(garbled, clean)))
+        for each in (runs, [(c, g) for g, c in runs]):
+            if found := explain_runs(each, seen):
+                chars = set("".join(g for g, _ in each))
                 for i in found:
                     yield i, ""
                     for c in chars:

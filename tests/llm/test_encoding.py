@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +130,40 @@ def test_lost_characters_come_back_from_a_twin(spark):
     assert got[12].text == rows[-1][1]
     assert {r.doc_id for r in E.encoding_found(df).collect()} == {10, 11, 12}
     assert E.fits("a\ufffdb", "aéb") and not E.fits("a\ufffdb", "ab") and not E.fits("é\ufffd", "öü")
+
+
+def test_chains_of_a_run_pair_are_those_that_garble_it():
+    runs = [(g, c) for s in SENTENCES for c in E._RUNS.findall(s) for chain in E.CHAINS if (g := E.garble(c, chain))]
+    for g, c in dict.fromkeys([*runs, *((c, g) for g, c in runs), ("é", "éé"), ("\x85é", "…é"), ("\U0001f600", "ðŸ˜€")]):
+        assert E.run_chains(g, c) == {i for i, chain in enumerate(E.CHAINS) if E.garble(c, chain) == g}
+        pairs = E.align(f"a {g} b é", f"a {c} b Ã©")
+        assert E.explain(f"a {g} b é", f"a {c} b Ã©") == [i for i, chain in enumerate(E.CHAINS) if pairs and all(E.garble(c, chain) == g for g, c in pairs)]
+
+
+def test_a_run_pair_is_tried_once(monkeypatch):
+    reads, read = [], E._read
+    monkeypatch.setattr(E, "_read", lambda *a: reads.append(a) or read(*a))
+    row = E._make_explain()
+    first = list(row("nr 0 mÃ³dulo Ã© â€”", "nr 0 módulo é —"))
+    tried = len(reads)
+    assert (E.CHAINS.index(("utf-8", "cp1252")), "") in first and 0 < tried <= 6 * len(E.CHAINS)
+    for i in range(1, 50):
+        assert sorted(row(f"nr {i} mÃ³dulo Ã© â€”", f"nr {i} módulo é —")) == sorted(first)
+    assert len(reads) == tried
+
+
+def test_remembered_run_pairs_stay_few():
+    seen = {}
+    for i in range(E.REMEMBERED_RUNS + 10):
+        E.explain_runs([(chr(0x4E00 + i % 20_000), chr(0x400 + i // 20_000))], seen)
+    assert 0 < len(seen) <= E.REMEMBERED_RUNS
+    E.explain_runs([("é" * 1_000_000, "ü" * 1_000_000)], seen)
+    assert max(len(g) + len(c) for g, c in seen) <= E.REMEMBERED_RUN_CHARS
+
+
+def test_units_end_where_a_lazy_search_ends_them():
+    lazy, lazy_ascii = re.compile(r"[^\n]+?(?:[.!?。！？](?=\s|$|[^\x00-\x7f])|\n|$)", re.M), re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|\n|$)", re.M)
+    rnd = random.Random(5)
+    for text in ["", "\n", ".", "...", ".\n", "a.\n\nb", "。。a", *("".join(rnd.choice("ab .!?。！？é\n\r\u2028\x85") for _ in range(rnd.randrange(40))) for _ in range(20_000))]:
+        assert E.units(text) == [m.span() for m in lazy.finditer(text)]
+        assert E._SPLIT_ASCII.findall(text) == lazy_ascii.findall(text)
