@@ -22,31 +22,72 @@ from .syntax import SOURCE_PATH, has_jsx, language_of, parses
 # blanking --------------------------------------------------------------------------------------------------------
 
 _LINE = r"(?P<line>//[^\n]*)"
+#: Each pattern steps over what begins nothing in one go and ends at a mark; ``none`` is a mark that begins nothing either.
 _STATES = {
-    "go": re.compile(rf"{_LINE}|(?P<block>{L.BLOCK})|(?P<string>{L.STRING_D}|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)')", re.S),
-    "rust": re.compile(rf"{_LINE}|(?P<block>{L._BLOCK3})|(?P<string>(?<!\w)(?:{L._RAW})|b?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\n]|\\(?:u\{{[0-9a-fA-F_]+\}}|x[0-9a-fA-F]{{2}}|.))')|(?P<open>/\*|(?<!\w)b?r\#+\")", re.S),
-    "javascript": re.compile(
-        rf"{_LINE}|(?P<block>{L.BLOCK})|(?:=>|&&|\|\||\?\?|===?|!==?|[=(,:\[!&|?{{;+\-*%~^]|\breturn\b|\btypeof\b|\bcase\b)\s*(?P<regex>{L._RE_LITERAL})|(?P<string>{L.STRING_D}|{L.STRING_S}|{L._TEMPLATE})|(?P<open>`)", re.S
+    "go": re.compile(rf"[^/\"'`]*+(?:{_LINE}|(?P<block>{L.BLOCK})|(?P<string>{L.STRING_D}|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)')|(?P<none>.))", re.S),
+    "rust": re.compile(
+        rf"(?:[^/\"'br]++|b(?!r?[\"'\#])|r(?![\"\#]))*+(?:{_LINE}|(?P<block>{L._BLOCK3})|(?P<string>(?<!\w)(?:{L._RAW})|b?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\n]|\\(?:u\{{[0-9a-fA-F_]+\}}|x[0-9a-fA-F]{{2}}|.))')|(?P<open>/\*|(?<!\w)b?r\#+\")|(?P<none>.))", re.S
     ),
-    "python": re.compile(rf"(?P<line>#[^\n]*)|(?P<string>(?<!\w){L._PY_STRING})", re.S),
+    "javascript": re.compile(rf"[^/\"'`]*+(?:{_LINE}|(?P<block>{L.BLOCK})|(?P<string>{L.STRING_D}|{L.STRING_S}|{L._TEMPLATE})|(?P<open>`)|(?P<none>.))", re.S),
+    "python": re.compile(rf"[^\#\"']*+(?:(?P<line>#[^\n]*)|(?P<string>{L._PY_STRING})|(?P<none>.))", re.S),
 }
 _STATES["typescript"] = _STATES["javascript"]
 #: Language -> the end of what its pattern only opens.
 _ENDS = {"rust": L.rust_end, "javascript": L.template_end, "typescript": L.template_end}
+#: Language -> what begins with a slash where an operand may stand.
+_REGEX = dict.fromkeys(("javascript", "typescript"), re.compile(L._RE_LITERAL).match)
+_PREFIX = re.compile(L._PY_PREFIX)
+
+
+def _wordy(c: str) -> bool:
+    return c.isalnum() or c == "_"
 
 
 def _states(language: str, text: str):
     """(start, end, kind) of each string, comment and regular expression."""
-    at = 0
-    while m := _STATES[language].search(text, at):
+    at, match = 0, _STATES[language].match
+    while m := match(text, at):
         kind = m.lastgroup
-        a, at = m.span(kind)
-        if kind == "open":
-            end = _ENDS[language](text, a)
-            if end < 0:
+        a, end = m.span(kind)
+        if kind == "none" and text[a] == "/" and language in _REGEX and _operand(text, at, a) and (r := _REGEX[language](text, a)):
+            kind, end = "regex", r.end()
+        elif kind == "string" and language == "python" and a > at and _wordy(text[a - 1]):
+            begin = _prefixed(text, at, a)
+            if begin < 0:
+                at = a + 1
+                continue
+            a = begin
+        elif kind == "open":
+            if (close := _ENDS[language](text, a)) < 0:
+                at = end
                 continue
-            kind, at = "block" if m[0] == "/*" else "string", end
-        yield a, at, kind
+            kind, end = "block" if text.startswith("/*", a) else "string", close
+        at = end
+        if kind != "none":
+            yield a, end, kind
+
+
+def _operand(text: str, low: int, at: int) -> bool:
+    """Whether an operand, and so a regular expression, may begin at ``at``: an operator or such a word stands before it, from ``low`` on."""
+    while at > low and text[at - 1].isspace():
+        at -= 1
+    if at <= low:
+        return False
+    if text[at - 1] in "=(,:[!&|?{;+-*%~^" or text.endswith("=>", low, at):
+        return True
+    for word in ("return", "typeof", "case"):
+        if text.endswith(word, low, at):
+            begin = at - len(word)
+            return begin == 0 or not _wordy(text[begin - 1])
+    return False
+
+
+def _prefixed(text: str, low: int, quote: int) -> int:
+    """Where the string prefix right before ``quote`` begins, or -1 if a longer word or none stands there."""
+    begin = quote
+    while begin > low and quote - begin < 3 and _wordy(text[begin - 1]):
+        begin -= 1
+    return begin if _PREFIX.fullmatch(text, begin, quote) else -1
 
 
 def _blank(s: str) -> str:
@@ -119,13 +160,15 @@ def closing(code: str, at: int) -> int:
 
 _GO_FUNC = re.compile(r"^func\b[ \t]*(?P<receiver>\()?", re.M)
 _GO_NAME = re.compile(r"[ \t]*(?P<name>[^\W\d]\w*)[ \t]*(?=[\[(])")
-_RUST_FN = re.compile(r"(?<![\w.])(?P<lead>(?:(?:pub(?:\s*\([^()]*\))?|default|const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*)fn\s+(?:r#)?(?P<name>[^\W\d]\w*)\s*(?=[<(])")
-_PY_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)", re.M)
+_RUST_FN = re.compile(r"fn\s+(?:r#)?(?P<name>[^\W\d]\w*)\s*(?=[<(])")
+_RUST_LEADS = frozenset(("pub", "default", "const", "async", "unsafe", "extern"))
+_PY_DEF = re.compile(r"def[ \t]+(?P<name>[^\W\d]\w*)")
+_PY_LEAD = re.compile(r"[ \t]*(?:async[ \t]+)?")
 _JS_FUNCTION = re.compile(r"function\b\s*\*?\s*(?P<name>[A-Za-z_$][\w$]*)\s*(?=[<(])")
 _JS_LEADS = frozenset(("export", "default", "declare", "async"))
 _JS_CONST = re.compile(r"const\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?::(?:[^=;{}]|=>)*?)?=(?!=)\s*(?P<value>async\b\s*(?=function\b|\(|<|[A-Za-z_$])|(?=function\b|\(|<|[A-Za-z_$]))")
 _JS_ARROW_AFTER = re.compile(r"\s*(?::[^=;{}]*?(?:\{[^{}]*\}[^=;{}]*)?)?=>")
-_JS_CLASS = re.compile(r"(?<![\w$.])class\b(?=[\s{])")
+_JS_CLASS = re.compile(r"class\b(?<![\w$.]class)(?=[\s{])")
 _JS_DECORATOR = re.compile(r"@[\w$.]+")
 _JS_METHOD = re.compile(r"(?P<mods>(?:(?:public|private|protected|static|async|override|abstract|declare|readonly|get|set)\s+(?=[\w$#*\[]))*)\*?\s*#?(?P<name>[A-Za-z_$][\w$]*)\s*\??\s*(?=[<(])")
 
@@ -144,7 +187,7 @@ def _after_params(code: str, at: int) -> int:
     """The place after type parameters and the parameter list that begin at ``at``; -1 if there is no list."""
     if at >= 0 and code[at : at + 1] == "<":
         at = _angle(code, at)
-        at = len(code) - len(code[at:].lstrip()) if at >= 0 else -1
+        at = _SPACE.match(code, at).end() if at >= 0 else -1
     elif at >= 0 and code[at : at + 1] == "[":
         at = closing(code, at)
     return closing(code, at) if at >= 0 and code[at : at + 1] == "(" else -1
@@ -174,7 +217,34 @@ def _go(code):
 
 def _rust(code):
     for m in _RUST_FN.finditer(code):
-        yield m.start(), m.start("name"), m["name"], _body(code, _after_params(code, m.end()))
+        if m.start() > 0 and (_wordy(code[m.start() - 1]) or code[m.start() - 1] == "."):
+            continue
+        yield _rust_start(code, m.start()), m.start("name"), m["name"], _body(code, _after_params(code, m.end()))
+
+
+def _rust_start(code: str, at: int) -> int:
+    """Where the visibility and qualifiers before the ``fn`` at ``at`` begin."""
+    while True:
+        end = stop = _before(code, at)
+        if end in (0, at):
+            return at
+        last, words = code[end - 1], _RUST_LEADS
+        if last == ")":
+            begin = code.rfind("(", 0, end)
+            if begin < 0 or code.find(")", begin) < end - 1:
+                return at
+            stop, words = _before(code, begin), ("pub",)
+        elif last == '"':
+            begin = code.rfind('"', 0, end - 1)
+            if begin < 0:
+                return at
+            stop, words = _before(code, begin), ("extern",)
+        begin = stop
+        while begin > 0 and _wordy(code[begin - 1]):
+            begin -= 1
+        if code[begin:stop] not in words or begin > 0 and code[begin - 1] == ".":
+            return at
+        at = begin
 
 
 def _class_members(code):
@@ -285,13 +355,15 @@ def _after_decorators(code: str, at: int) -> int:
 
 def _python(code):
     for m in _PY_DEF.finditer(code):
-        at = m.end()
+        line, at = code.rfind("\n", 0, m.start()) + 1, m.end()
+        if not _PY_LEAD.fullmatch(code, line, m.start()):
+            continue
         while at >= 0:
             n = _HEADER_MARK.search(code, at)
             if not n:
                 at = -1
             elif n[0] == ":":
-                yield m.start(), m.start("name"), m["name"], n.end()
+                yield line, m.start("name"), m["name"], n.end()
                 break
             else:
                 at = closing(code, n.start())
@@ -499,15 +571,17 @@ def _end(language: str, code: str, start: int, body: int) -> int:
         end = closing(code, body)
         return end if end >= 0 else len(code)
     line = code.rfind("\n", 0, start) + 1
-    indent = len(code[line:start]) + len(code[start:]) - len(code[start:].lstrip(" \t"))
-    end = code.find("\n", body)
-    while 0 <= end < len(code):
-        stop = code.find("\n", end + 1)
-        row = code[end + 1 : stop if stop >= 0 else len(code)]
-        if row.strip() and len(row) - len(row.lstrip(" \t")) <= indent:
-            return end
-        end = stop
-    return len(code)
+    m = _dedent(_PAD.match(code, start).end() - line).search(code, body)
+    return m.start() if m else len(code)
+
+
+_PAD = re.compile(r"[ \t]*")
+
+
+@lru_cache(maxsize=1_000)
+def _dedent(indent: int) -> re.Pattern:
+    """The line end before a line that is not blank and stands ``indent`` blanks from the left or less."""
+    return re.compile(rf"\n[ \t]{{0,{indent}}}+(?![ \t])(?=[^\S\n]*+\S)")
 
 
 PAIRS = "file_id bigint, project string, language string, line_no int, symbol string, signature string, description string, code string"

@@ -45,12 +45,17 @@ def alphabet(words: str, operators: str, classes: dict[str, str]) -> dict[str, s
 
 
 class Lexer:
-    """``opener`` matches a token that only opens what the pattern cannot match; ``close`` (text, start) gives its end or -1."""
+    """``blanks`` (characters) and ``comment`` match what has no kind: the pattern matches it too, but ``kinds`` passes over it.
 
-    def __init__(self, pattern: str, classify, finish=None, opener: str | None = None, close=None):
+    ``opener`` matches a token that only opens what the pattern cannot match, and is BAD by itself; ``close`` (text, start)
+    gives its end or -1.
+    """
+
+    def __init__(self, pattern: str, classify, blanks: str, comment: str, finish=None, opener: str | None = None, close=None):
         self.pattern = re.compile(pattern, re.S)
         self.findall = self.pattern.findall
-        self.names = Kinds(classify)
+        self.words = re.compile(rf"[{blanks}]*+(?:{comment}|({pattern})|\Z)", re.S).findall
+        self.names = Kinds(lambda t: classify(t) if t else "")
         self.finish = finish
         self.opens = re.compile(opener).fullmatch if opener else None
         self.close = close
@@ -74,7 +79,10 @@ class Lexer:
         return out
 
     def kinds(self, text: str) -> str:
-        raw = "".join(map(self.names.__getitem__, self.tokens(text)))
+        found = self.words(text)
+        raw = "".join(map(self.names.__getitem__, found))
+        if self.opens and BAD in raw and any(map(self.opens, set(found))):
+            raw = "".join(map(self.names.__getitem__, self.tokens(text)))
         return self.finish(raw) if self.finish else raw
 
     def offset(self, text: str, kinds: str, at: int) -> int:
@@ -103,7 +111,7 @@ GO = alphabet(GO_WORDS, GO_OPS, {"ID": "i", "NUM": "n", "STR": "s", "CHAR": "c",
 GO["SEMI"] = ";" + VSEMI
 _GO_CLASSES = {"ID", "NUM", "STR", "CHAR", "EOF", "VSEMI", "SEMI"}
 _GO_NUMBER = r"(?:0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)i?(?!\w)"
-_GO_PATTERN = rf"""[ \t\r]+|\n|//[^\n]*|{BLOCK}|[^\W\d]\w*|{_GO_NUMBER}|{STRING_D}|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)'|&\^=|<<=|>>=|\.\.\.|&\^|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|."""
+_GO_PATTERN = rf"""[^\W\d]\w*|[ \t\r]+|\n|//[^\n]*|{BLOCK}|{_GO_NUMBER}|{STRING_D}|`[^`]*`|'(?:[^'\\\n]|\\[^\n][0-9a-fA-F]*)'|&\^=|<<=|>>=|\.\.\.|&\^|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|."""
 
 
 def _go_kind(t: str) -> str:
@@ -126,7 +134,7 @@ def _go_kind(t: str) -> str:
 
 
 _GO_END = re.compile("(?<=[insc)\\]}" + "".join(GO[w] for w in ("break", "continue", "fallthrough", "return", "++", "--")) + "])\n+")
-GO_LEXER = Lexer(_GO_PATTERN, _go_kind, lambda raw: _GO_END.sub(VSEMI, raw + "\n").replace("\n", ""))
+GO_LEXER = Lexer(_GO_PATTERN, _go_kind, r" \t\r", r"//[^\n]*+", lambda raw: _GO_END.sub(VSEMI, raw + "\n").replace("\n", ""))
 
 
 # Rust ----------------------------------------------------------------------------------------------------------
@@ -142,7 +150,7 @@ _BLOCK1 = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
 _BLOCK2 = rf"/\*(?:[^*/]|\*(?!/)|{_BLOCK1}|/(?!\*))*+\*/"
 _BLOCK3 = rf"/\*(?:[^*/]|\*(?!/)|{_BLOCK2}|/(?!\*))*+\*/"
 _RUST_OPENER = r"/\*|b?r\#+\""
-_RUST_PATTERN = rf"""[ \t\r\n]+|//[^\n]*|{_BLOCK3}|{_RAW}|{_RUST_OPENER}|b?"(?:[^"\\]|\\.)*+"|b?'(?:[^'\\\n]|\\(?:u\{{[0-9a-fA-F_]+\}}|x[0-9a-fA-F]{{2}}|.))'|'[^\W\d]\w*|r\#[^\W\d]\w*|[^\W\d]\w*|(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?!\w)|<<=|\.\.\.|\.\.=|<<|->|=>|::|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|==|!=|<=|\.\.|."""
+_RUST_PATTERN = rf"""[^\W\d]\w*+(?![\"'\#])|[ \t\r\n]+|//[^\n]*|{_BLOCK3}|{_RAW}|{_RUST_OPENER}|b?"(?:[^"\\]|\\.)*+"|b?'(?:[^'\\\n]|\\(?:u\{{[0-9a-fA-F_]+\}}|x[0-9a-fA-F]{{2}}|.))'|'[^\W\d]\w*|r\#[^\W\d]\w*|[^\W\d]\w*|(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?!\w)|<<=|\.\.\.|\.\.=|<<|->|=>|::|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|==|!=|<=|\.\.|."""
 
 
 _COMMENT_MARK = re.compile(r"/\*|\*/")
@@ -182,7 +190,7 @@ def _rust_kind(t: str) -> str:
     return "i" if c == "_" or c.isalpha() else BAD
 
 
-RUST_LEXER = Lexer(_RUST_PATTERN, _rust_kind, opener=_RUST_OPENER, close=rust_end)
+RUST_LEXER = Lexer(_RUST_PATTERN, _rust_kind, r" \t\r\n", r"//(?!/(?!/))[^\n]*+", opener=_RUST_OPENER, close=rust_end)
 
 
 # JavaScript and TypeScript -------------------------------------------------------------------------------------
@@ -202,7 +210,7 @@ _JS_CLASSES = {"NUM", "STR", "TPL", "RE", "EOF", "VSEMI", "SUB", "ENDSUB", "NAME
 _TEMPLATE = rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{(?:[^{{}}`\"'/]|{STRING_D}|{STRING_S})*+\}})*+`"
 _RE_LITERAL = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*"
 _JS_NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$])"
-_JS_PATTERN = rf"""[ \t\r\f\v\xa0\ufeff]+|\n|//[^\n]*|{BLOCK}|(?:=>|&&|\|\||\?\?|===?|!==?|[=(,:\[!&|?{{;+\-*%~^]|return\b|typeof\b|case\b)\s*{_RE_LITERAL}|(?:[^\W\d]|\$)[\w$]*|{_JS_NUMBER}|{STRING_D}|{STRING_S}|{_TEMPLATE}|=>|\.\.\.|\?\.(?!\d)|\?\?=?|&&=?|\|\|=?|===?|!==?|\*\*=?|<<=?|[+\-*/%&|^]=|\+\+|--|<=|."""
+_JS_PATTERN = rf"""[abd-qsu-zA-Z_$][\w$]*+|[ \t\r\f\v\xa0\ufeff]+|\n|//[^\n]*|{BLOCK}|(?:=>|&&|\|\||\?\?|===?|!==?|[=(,:\[!&|?{{;+\-*%~^]|return\b|typeof\b|case\b)\s*{_RE_LITERAL}|(?:[^\W\d]|\$)[\w$]*|{_JS_NUMBER}|{STRING_D}|{STRING_S}|{_TEMPLATE}|=>|\.\.\.|\?\.(?!\d)|\?\?=?|&&=?|\|\|=?|===?|!==?|\*\*=?|<<=?|[+\-*/%&|^]=|\+\+|--|<=|."""
 
 
 _TEMPLATE_MARK = re.compile(r"\\.|`|\$\{", re.S)
@@ -288,7 +296,7 @@ def _js_finish(raw: str) -> str:
     return _JS_RETURN.sub(VSEMI, _JS_SIGNATURE.sub(VSEMI, _JS_END.sub(VSEMI, raw))).replace("\n", "")
 
 
-JS_LEXER = Lexer(_JS_PATTERN, _js_kind, _js_finish, "`", template_end)
+JS_LEXER = Lexer(_JS_PATTERN, _js_kind, r" \t\r\f\v\xa0\ufeff", r"//[^\n]*+", _js_finish, "`", template_end)
 
 
 _JSX_HINT = re.compile(r"</[A-Za-z>]|/>")
@@ -393,7 +401,7 @@ _PY_CLASSES = {"NUM", "STR", "EOF", "NL", "IN", "OUT", "SUB", "ENDSUB", "FMT", "
 _PY_PREFIX = r"(?:[rRbBuUfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?"
 _PY_STRING = rf'''{_PY_PREFIX}(?:"""(?:[^"\\]|\\.|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')'''
 _PY_NUMBER = r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[1-9](?:_?\d)*|0(?:_?0)*)(?![\d.eEjJ_])|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d+)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d+)[jJ]?|\d(?:_?\d)*\.[jJ]?|\d(?:_?\d)*[jJ]))(?!\w)"
-_PY_PATTERN = rf"""\n[ \t\f]*|[ \t\f\r]+|\\\r?\n|\#[^\n]*|{_PY_STRING}|[^\W\d]\w*|{_PY_NUMBER}|\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|>>|<<|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|<=|>=|==|!=|."""
+_PY_PATTERN = rf"""[^\W\d]\w*+(?![\"'])|\n[ \t\f]*|[ \t\f\r]+|\\\r?\n|\#[^\n]*|{_PY_STRING}|[^\W\d]\w*|{_PY_NUMBER}|\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|>>|<<|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|<=|>=|==|!=|."""
 
 
 def _fstring(t: str) -> str | None:
@@ -527,13 +535,18 @@ def _depth(kinds: str) -> int:
     return sum(map(kinds.count, "([{")) - sum(map(kinds.count, ")]}"))
 
 
+def _line(raw: str) -> tuple[int, str, int]:
+    """(width of the indentation, kinds, ``_depth``) of a line: blanks, "\\0", kinds."""
+    pad, _, kinds = raw.partition("\0")
+    return _width(pad), kinds, _depth(kinds)
+
+
 class PythonLexer(Lexer):
     """Adds NEWLINE, INDENT and DEDENT from the blanks at the start of each logical line."""
 
-    def __init__(self, pattern, classify):
-        super().__init__(pattern, classify)
-        self.depths = Kinds(_depth)
-        self.blanks = Kinds(_width)
+    def __init__(self, pattern, classify, blanks, comment):
+        super().__init__(pattern, classify, blanks, comment)
+        self.lines = Kinds(_line)
 
     def kinds(self, text: str) -> str:
         out = self._kinds(text)
@@ -542,21 +555,20 @@ class PythonLexer(Lexer):
         return out
 
     def _kinds(self, text: str) -> str:
-        names, depths, blanks = self.names, self.depths, self.blanks
+        names, lines = self.names, self.lines
         at = re.match(r"\ufeff?[ \t\f]*", text).end()
-        raw = "".join(map(names.__getitem__, self.findall(text, at))).split("\n")
+        raw = "".join(map(names.__getitem__, self.words(text, at))).split("\n")
         # a line break's kind is "\n", the line's blanks and "\0", so that each line brings its indentation
         raw[0] = text[:at] + "\0" + raw[0]
         out: list[str] = []
         stack, top, depth, line = [0], 0, 0, ""
         for x in raw:
-            pad, _, k = x.partition("\0")
+            n, k, opened = lines[x]
             if depth > 0:
                 line += k
             elif not k:
                 continue
             else:
-                n = blanks[pad] if pad else 0
                 if n != top:
                     if n > top:
                         stack.append(n)
@@ -569,7 +581,7 @@ class PythonLexer(Lexer):
                             out.append(BAD)
                     top = stack[-1]
                 line = k
-            depth += depths[k]
+            depth += opened
             if depth <= 0:
                 depth = 0
                 out.append(line)
@@ -583,4 +595,4 @@ class PythonLexer(Lexer):
 
 
 _PY_STRINGS = re.compile(_PY_STRING, re.S)
-PY_LEXER = PythonLexer(_PY_PATTERN, _py_kind)
+PY_LEXER = PythonLexer(_PY_PATTERN, _py_kind, r" \t\f\r", r"\#[^\n]*+")

@@ -5,8 +5,9 @@ which every character stands for one token, so a terminal is one character.  Two
 
 * a sub-expression that reaches no recursive rule is regular, and a PEG without recursion means exactly the same as a
   regular expression with atomic choices and possessive repeats, so it becomes one compiled pattern;
-* every other rule becomes a function.  A rule that several places call keeps a packrat table per input, and a rule
-  marked ``%`` also keeps a table of whole statements seen before, across inputs (see ``span``).
+* every other rule becomes a function, which is entered only where the token at hand can begin it.  A rule that several
+  places call keeps its ends per input (packrat), and a rule marked ``%`` also keeps a table of whole statements seen
+  before, across inputs (see ``span``).
 
 ``Peg.trace`` is a second compilation without patterns which records the furthest token any terminal failed at.
 """
@@ -131,7 +132,8 @@ class Peg:
         uses = Counter(c for r in self.rules.values() for c in _calls(r))
         reach = {r: self._reach(r) for r in self.rules}
         self.recursive = {r for r in self.rules if any(x in reach[x] for x in reach[r] | {r})}
-        self.memo = {r for r in self.recursive if uses[r] > 1}
+        self.memo = {r: n for n, r in enumerate(sorted(r for r in self.recursive if uses[r] > 1))}
+        self.first = self._firsts()
         self.parse_from = self._compile(trace=False)
         self._traced = None
 
@@ -144,6 +146,35 @@ class Peg:
                     todo.append(c)
         return seen
 
+    def _begins(self, node, first) -> tuple[frozenset[str], bool]:
+        """(tokens that ``node`` can begin with, whether it can match without consuming one)."""
+        op = node[0]
+        if op == "set":
+            return frozenset(node[1]), False
+        if op == "call":
+            return first[node[1]]
+        if op in ("and", "not"):
+            return frozenset(), True
+        if op in ("seq", "alt"):
+            chars: frozenset[str] = frozenset()
+            empty = op == "seq"
+            for x in node[1:]:
+                more, nothing = self._begins(x, first)
+                chars |= more
+                if op == "alt":
+                    empty = empty or nothing
+                elif not nothing:
+                    return chars, False
+            return chars, empty
+        chars, empty = self._begins(node[1], first)
+        return chars, empty or op != "plus"
+
+    def _firsts(self) -> dict[str, tuple[frozenset[str], bool]]:
+        first = {r: (frozenset(), False) for r in self.rules}
+        while (more := {r: self._begins(x, first) for r, x in self.rules.items()}) != first:
+            first = more
+        return first
+
     def parse(self, kinds: str) -> int:
         return self.parse_from(kinds + END, 0, {})
 
@@ -171,7 +202,14 @@ class Peg:
         def line(depth, s):
             code.append("  " * depth + s)
 
-        def emit(node, d, quiet=False):
+        def can_begin(node):
+            """A test that fails only where ``node`` does, or None."""
+            chars, empty = self._begins(node, self.first)
+            if trace or empty or not chars:
+                return None
+            return f"s[p] == {min(chars)!r}" if len(chars) == 1 else f"s[p] in {''.join(sorted(chars))!r}"
+
+        def emit(node, d, quiet=False, tested=False):
             op = node[0]
             if not trace and op != "set" and self._regular(node):
                 rx = fresh("rx")
@@ -191,7 +229,8 @@ class Peg:
                 if trace and quiet:  # a predicate's own failures say nothing about the input
                     line(d, f"keep = F[0]; p = r_{node[1]}(s, p, M); F[0] = keep")
                 else:
-                    line(d, f"p = r_{node[1]}(s, p, M)")
+                    test = None if tested else can_begin(node)
+                    line(d, f"p = r_{node[1]}(s, p, M)" + (f" if {test} else -1" if test else ""))
             elif op == "seq":
                 parts, run = [], []
                 for x in node[1:]:
@@ -208,7 +247,7 @@ class Peg:
                     if k:
                         line(d, "if p >= 0:")
                         d += 1
-                    emit(x, d, quiet)
+                    emit(x, d, quiet, tested and not k)
             elif op == "alt":
                 q = fresh("q")
                 line(d, f"{q} = p")
@@ -217,23 +256,32 @@ class Peg:
                         line(d, "if p < 0:")
                         d += 1
                         line(d, f"p = {q}")
-                    emit(x, d, quiet)
+                    if x[0] not in ("set", "call") and (test := can_begin(x)):
+                        line(d, f"if {test}:")
+                        emit(x, d + 1, quiet, True)
+                        line(d, "else: p = -1")
+                    else:
+                        emit(x, d, quiet)
             elif op in ("star", "plus"):
                 q = fresh("q")
                 if op == "plus":
                     emit(node[1], d, quiet)
                     line(d, "if p >= 0:")
                     d += 1
-                line(d, "while True:")
+                test = can_begin(node[1])
+                line(d, f"while {test or True}:")
                 line(d + 1, f"{q} = p")
-                emit(node[1], d + 1, quiet)
+                emit(node[1], d + 1, quiet, bool(test))
                 line(d + 1, f"if p <= {q}:")
                 line(d + 2, f"p = {q}")
                 line(d + 2, "break")
             elif op == "opt":
                 q = fresh("q")
+                if test := can_begin(node[1]):
+                    line(d, f"if {test}:")
+                    d += 1
                 line(d, f"{q} = p")
-                emit(node[1], d, quiet)
+                emit(node[1], d, quiet, bool(test))
                 line(d, f"if p < 0: p = {q}")
             else:
                 q = fresh("q")
@@ -262,14 +310,12 @@ class Peg:
                 line(0, f"def b_{name}(s, p, M):")
             memo = name in self.memo
             if memo:
-                line(1, f"T = M.get({name!r})")
-                line(1, f"if T is None: T = M[{name!r}] = {{}}")
-                line(1, "v = T.get(p)")
+                line(1, f"k = p * {len(self.memo)} + {self.memo[name]}")
+                line(1, "v = M.get(k)")
                 line(1, "if v is not None: return v")
-                line(1, "p0 = p")
             emit(node, 1)
             if memo:
-                line(1, "T[p0] = p")
+                line(1, "M[k] = p")
             line(1, "return p")
         exec("\n".join(code), env)  # noqa: S102 - the source is generated from the grammar above
         return env[f"r_{self.start}"]
